@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mixing", "quality_rules")
+MODULES = ("toxicity", "mixing", "warc", "language", "token_store", "quality_rules")
 
 
 def queries() -> dict:
