@@ -14,7 +14,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, fresh, table, words
+from .common import SPACE, fresh, table, words, written
 
 SYMBOLS = "#*$%&|<>"
 #: Other ASCII marks, by rule.
@@ -142,10 +142,10 @@ def distances(name: dict[str, str], reference) -> tuple[Column, Column]:
     return F.sqrt(F.greatest(by_class, F.lit(0.0))), F.sqrt(F.greatest(word, F.lit(0.0)))
 
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", lang: str = "lang", without: tuple[str, ...] = ()) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept.
 
-    Columns of docs with these names are replaced.  A null or empty text has no words and fails
+    Columns of docs with these names are replaced; those in `without` are left out of the result.  A null or empty text has no words and fails
     the base rules.  A null or unlisted language adds to no reference, but the text is compared
     with all of them; where there is none (an empty table), the base rules decide.  Texts under
     the guards aren't judged by the histogram in question.  Repeated rows are judged alike.
@@ -153,6 +153,9 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     own = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in (*own, "base_failed", "kept")])
     measured, name = measure(docs, text)
+    # both the references and the verdicts need the measures; what they are made of isn't kept
+    measured = written(measured.drop(name["text"], name["words"], name["common"], *without), "measured")
+    docs = docs.drop(*without)
     kept = F.lit(False)
     found = references(measured, name, lang)
     for _, reference in sorted(found.items()):
@@ -165,7 +168,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return judge(docs).drop("text", "lang")
+    return judge(docs, without=("text",)).drop("lang")
 
 
 QUERIES = {"op10_quality_rules": op10_quality_rules}
