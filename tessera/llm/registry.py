@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("toxicity", "mixing", "warc", "language", "suffix", "token_store", "quality_rules")
+MODULES = ("toxicity", "mixing", "warc", "language", "suffix", "token_store", "jaccard", "quality_rules")
 
 
 def queries() -> dict:
