@@ -43,6 +43,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
+def bind(value: Column, body) -> Column:
+    """body(value) with value worked out once: used inside a lambda, a plain column may be worked out for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, with underscores added until no column of df has it (whatever the case)."""
     taken = {c.lower() for c in df.columns}

@@ -14,7 +14,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, fresh, table, words, written
+from .common import SPACE, bind, fresh, table, words, written
 
 SYMBOLS = "#*$%&|<>"
 #: Other ASCII marks, by rule.
@@ -50,15 +50,10 @@ def repeated_words(w: Column, n: Column, window: int = WINDOW) -> Column:
     Each window is hashed to 64 bits.  Only where two are equal, the hashes, cut to leave
     room for the window's place, are sorted and neighbours compared.
     """
-    found = _bind(F.transform(w, lambda x: F.xxhash64(x)), lambda h: _covered(h, F.size(h), window))
+    found = bind(F.transform(w, lambda x: F.xxhash64(x)), lambda h: _covered(h, F.size(h), window))
     return F.when(n > window, found).otherwise(F.lit(0)).cast("long")
 
 
-def _bind(value: Column, body) -> Column:
-    """body(value) with value worked out once: used inside a lambda, a plain column may be worked out for every element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _covered(hashes: Column, n: Column, window: int) -> Column:
     lanes = F.transform(F.sequence(F.lit(1), n - (window - 1)), lambda i: F.xxhash64(F.slice(hashes, i, window)))
     mask = (F.lit(1).cast("long") * F.pow(F.lit(2.0), F.ceil(F.log2(n.cast("double"))) + 1).cast("long")) - 1
@@ -73,7 +68,7 @@ def _covered(hashes: Column, n: Column, window: int) -> Column:
         return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
 
     packed = lambda g: F.sort_array(F.transform(g, lambda h, i: h.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long"))))
-    return _bind(lanes, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0).cast("long")).otherwise(_bind(packed(g), lambda s: _bind(marked(s), total))))
+    return bind(lanes, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0).cast("long")).otherwise(bind(packed(g), lambda s: bind(marked(s), total))))
 
 
 def measure(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
@@ -98,7 +93,7 @@ def measure(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, s
     out = out.withColumn(name["classes"], F.concat(F.slice(c, 1, 4), F.array(rest), F.slice(c, 5, 1)))
     x = F.col(name["common"])
     counts = lambda x: F.transform(F.array_distinct(x), lambda v: F.struct(v.alias("w"), (F.size(x) - F.size(F.array_remove(x, v))).cast("long").alias("c")))
-    out = out.withColumn(name["counts"], _bind(x, counts))
+    out = out.withColumn(name["counts"], bind(x, counts))
     return out, name
 
 
