@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("toxicity", "mixing", "decontamination", "warc", "language", "suffix", "token_store", "jaccard", "quality_rules")
+MODULES = ("toxicity", "mixing", "decontamination", "quality_model", "warc", "language", "suffix", "token_store", "jaccard", "quality_rules")
 
 
 def queries() -> dict:
