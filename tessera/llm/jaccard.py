@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .arrays import Spans, joined, mixed, pieces, runs, split
-from .common import SPACE, table, written
+from .common import SPACE, fresh, table, written
 from .components import components
 
 N, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -333,9 +333,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs with one document of each component, that of the smallest key; rows without a key stay."""
     found = written(near_duplicates(docs, key, text, **options), "components")
-    gone = found.where("id <> component_id").select(F.col("id").alias("jk_id"), F.col("text_key").alias("jk_text")).distinct()
+    id_, of = fresh(docs, "jk_id"), fresh(docs, "jk_text")
+    gone = found.where("id <> component_id").select(F.col("id").alias(id_), F.col("text_key").alias(of)).distinct()
     text_key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    kept = docs.join(gone, (docs[key].cast("long") == F.col("jk_id")) & (text_key == F.col("jk_text")), "left_anti")
+    kept = docs.join(gone, (F.col(key).cast("long") == F.col(id_)) & (text_key == F.col(of)), "left_anti")
     if found.where("id IS NOT NULL").groupBy("id").count().where("count > 1").take(1):  # repeated keys: one row of each
         kept = kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(kept.where(F.col(key).isNull()))
     return kept

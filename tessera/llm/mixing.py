@@ -85,11 +85,13 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, F.col("n")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-def emit(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus itself: the columns of docs, a row as often as it is taken."""
-    times = fresh(docs, "mix_times")
-    mixed = mix(docs.withColumn(times, F.size(words(F.col("text")))), F.col(times), **options)
-    return mixed.where("copies > 0").withColumn(times, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+def emit(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The mixed corpus itself: the columns of docs, whatever their names, a row as often as it is taken."""
+    name = {c: f"c{i}_{c}" for i, c in enumerate(docs.columns)}
+    plain = docs.select([docs[c].alias(x) for c, x in name.items()] + [F.size(words(docs[text])).alias("mix_words")])
+    mixed = mix(plain, F.col("mix_words"), name[source], name[key], **options).where("copies > 0")
+    taken = mixed.select(*name.values(), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return taken.select([F.col(x).alias(c) for c, x in name.items()])
 
 
 QUERIES = {"op2_mix_sources": op2_mix_sources}
