@@ -28,13 +28,15 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from . import files
+from .arrays import pieces
 from .common import shared_dir, table, written
 
 MAGIC = b"TSRPAIR1"
 END = 1
 SHARD_TOKENS = 4_000_000
-ROUNDS, RULES_A_ROUND, MIN_COUNT = 4, 3000, 16
-CACHED_WORDS, CHUNK = 700_000, 2_000_000
+ROUNDS, RULES_A_ROUND, MIN_COUNT = 3, 3000, 16
+CACHED_WORDS, CHUNK = 1_000_000, 2_000_000
+_LETTER = np.isin(np.arange(256), np.arange(97, 123))
 INDEX = "part int, seq int, file string, n_docs long, n_tokens long"
 DOCS = "file string, place long, doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -46,11 +48,12 @@ def default_path() -> str:
 
 
 class Encoder:
-    """Ids of texts, as the tokenizer gives them for each whole text, then the end id.
+    """Ids of texts (UTF-8), as the tokenizer gives them for each whole text, then the end id.
 
-    The tokenizer drops white space and never joins what it separates, so a text's ids are
-    those of its words, split at spaces and line ends, in order.  Each word is encoded by the library
-    once and kept, up to CACHED_WORDS of them.  Texts that may hold special tokens are encoded whole.
+    The tokenizer drops white space, makes letters small and separates letters from marks, so a text's
+    ids are those of its words in order, split at spaces, at line ends and before a comma or stop
+    behind a letter.  Each word is encoded by the library once and kept, up to CACHED_WORDS of them.
+    Texts that may hold special tokens are encoded whole.
     """
 
     def __init__(self, path: str, end: int = END):
@@ -64,12 +67,12 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.place: dict[bytes, int] = {}
+        self.flat, self.used = np.zeros(1 << 20, np.uint16 if len(self.closes) <= 1 << 16 else np.uint32), 0
         self.start, self.length, self.n = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64), 0
-        self._put(["", "\n"], np.array([self.end]), np.array([0, 1]))
+        self._put([b"", b"\n"], np.array([self.end]), np.array([0, 1]))
 
-    def _put(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+    def _put(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
         """Keep words; ids holds theirs, one word after the other."""
         k, n = self.used + len(ids), self.n + len(words)
         while k > len(self.flat):
@@ -82,62 +85,51 @@ class Encoder:
         self.place.update(zip(words, range(self.n, n), strict=True))
         self.used, self.n = k, n
 
-    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of kept words, one word after the other, and where each word's end is."""
-        lengths = self.length[at]
-        ends = np.cumsum(lengths)
-        return self.flat[np.repeat(self.start[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)], ends
-
-    def _encode(self, words: list[str]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         """Keep new words.  One of letters only ends at the first token that closes a word, so many go to the library as one text."""
-        plain = [w for w in words if w.isalpha()]
+        texts = [w.decode() for w in words]
+        plain = [i for i, t in enumerate(texts) if t.isalpha()]
         for a in range(0, len(plain), 5000):
             some = plain[a : a + 5000]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, np.int64)
+            ids = np.array(self.library.encode_batch_fast([" ".join([texts[i] for i in some])], add_special_tokens=False)[0].ids, np.int64)
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(some):
-                self._put(some, ids, np.diff(ends, prepend=0))
-        rest = [w for w in words if w not in self.place]
-        found = [e.ids for e in self.library.encode_batch_fast(rest, add_special_tokens=False)]
-        self._put(rest, np.fromiter(chain.from_iterable(found), np.int64), np.array([len(x) for x in found], np.int64))
-
-    def _learn(self, words: list[str]) -> None:
-        """Keep new words.  Letters of ASCII and one mark are two pieces for the tokenizer; the letters are kept in small."""
-        place, pieces = self.place, []
-        for w in words:
-            core, mark = (w[:-1], w[-1]) if w[-1] in ",." else (w, "")
-            if core.isascii() and core.isalpha() and (mark or not core.islower()):
-                pieces.append((w, core.lower(), mark))
-        made = {w for w, _, _ in pieces}
-        self._encode([x for x in dict.fromkeys([p for _, *pair in pieces for p in pair] + [w for w in words if w not in made]) if x not in place])
-        pairs = np.array([(place[core], place[mark]) for w, core, mark in pieces], np.int64).reshape(-1, 2)
-        ids, ends = self._gather(pairs.ravel())
-        self._put([w for w, _, _ in pieces], ids, np.diff(ends[1::2], prepend=0))
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+                self._put([words[i] for i in some], ids, np.diff(ends, prepend=0))
+        rest = [i for i, w in enumerate(words) if w not in self.place]
+        found = [e.ids for e in self.library.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)]
+        self._put([words[i] for i in rest], np.fromiter(chain.from_iterable(found), np.int64), np.array([len(x) for x in found], np.int64))
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many each text has."""
         if self.n > CACHED_WORDS:
             self.clear()
-        words, counts = [], np.empty(len(texts), np.int64)
+        whole = {}
         for k, t in enumerate(texts):
-            before = len(words)
-            if "<|" in t:
-                if "\n" + t not in self.place:
-                    ids = np.array(self.library.encode(t, add_special_tokens=False).ids, np.int64)
-                    self._put(["\n" + t], ids, np.array([len(ids)]))
-                words.append("\n" + t)
-            else:
-                words += t.replace("\n", " ").split(" ")
-            words.append("\n")
-            counts[k] = len(words) - before
+            if b"<|" in t:
+                whole[k] = b"\n" + t
+                if whole[k] not in self.place:
+                    ids = np.array(self.library.encode(t.decode(), add_special_tokens=False).ids, np.int64)
+                    self._put([whole[k]], ids, np.array([len(ids)]))
+        flat = np.frombuffer(b" \n ".join([*(b"" if k in whole else t.replace(b"\n", b" ") for k, t in enumerate(texts)), b""]).lower(), np.uint8)
+        mark = np.flatnonzero((flat[1:] == 44) | (flat[1:] == 46)) + 1
+        mark = mark[_LETTER[flat[mark - 1]]]  # a comma or stop behind a letter
+        words = np.insert(flat, mark, 32).tobytes().split(b" ")
+        if whole:
+            out, k = [], 0
+            for w in words:
+                out += [whole[k], w] if w == b"\n" and k in whole else [w]
+                k += w == b"\n"
+            words = out
         at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(at < 0)
         if len(missing):
             absent = [words[i] for i in missing.tolist()]
             self._learn(list(dict.fromkeys(absent)))
             at[missing] = np.fromiter(map(self.place.__getitem__, absent), np.int64, len(absent))
-        ids, ends = self._gather(at)
-        return ids, np.diff(np.concatenate([[0], ends[np.cumsum(counts) - 1]]))
+        lengths = self.length[at]
+        ends = np.cumsum(lengths)
+        ids = self.flat[np.repeat(self.start[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.diff(ends[at == 1], prepend=0)
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
@@ -151,6 +143,15 @@ def encoder(path: str, end: int = END) -> Encoder:
     return _ENCODERS[path, end]
 
 
+_TABLE = 1 << 16
+
+
+def _slot(pair: np.ndarray) -> np.ndarray:
+    if pair.dtype == np.uint64:
+        return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
+    return ((pair * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
+
+
 def compress(ids: np.ndarray, starts: np.ndarray, first: int, rounds: int = ROUNDS, rules_a_round: int = RULES_A_ROUND, min_count: int = MIN_COUNT):
     """(symbols, starts of documents among them, rules as pairs): frequent pairs replaced, most frequent first.
 
@@ -174,16 +175,19 @@ def compress(ids: np.ndarray, starts: np.ndarray, first: int, rounds: int = ROUN
         often = often[: room if 0 < room < len(often) else len(often)]
         if not len(often):
             break
-        chosen = np.sort(ordered[edge[often]])
+        # a table of pairs by a hash of theirs; of pairs with the same hash the most frequent stays
+        chosen = ordered[edge[often]]
+        table = np.full(_TABLE, -1, np.int32)
+        slot = _slot(chosen)
+        table[slot[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]
+        chosen = np.sort(chosen[table[slot] == np.arange(len(chosen))])
+        table[:] = 0
+        table[_slot(chosen)] = np.arange(len(chosen), dtype=np.int32)
         half = np.uint64(32) if chosen.dtype == np.uint64 else np.uint32(16)
         left, right = (chosen >> half).astype(np.uint32), (chosen & chosen.dtype.type((1 << int(half)) - 1)).astype(np.uint32)
-        is_left, is_right = np.zeros(first + len(rules), bool), np.zeros(first + len(rules), bool)
-        is_left[left], is_right[right] = True, True
-        at = np.flatnonzero(is_left[s[:-1]] & is_right[s[1:]] & inner)
-        rule = np.searchsorted(chosen, pair[at])
-        rule[rule == len(chosen)] = 0
-        hit = chosen[rule] == pair[at]
-        at, rule = at[hit], rule[hit]
+        rule = table[_slot(pair)]
+        at = np.flatnonzero((chosen[rule] == pair) & inner)
+        rule = rule[at]
         fresh = np.ones(len(at), bool)
         fresh[1:] = np.diff(at) != 1
         run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
@@ -274,7 +278,7 @@ def write(docs: DataFrame, path: str | None = None, text: str = "text", key: str
     id are all written, in order of their texts.  Other columns are ignored.
     """
     path, folder = path or default_path(), folder or shared_dir(ship(docs.sparkSession))
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
 
     def store(batches):
@@ -294,18 +298,14 @@ def write(docs: DataFrame, path: str | None = None, text: str = "text", key: str
             ids, counts, names, size, seq = [], [], [], 0, seq + 1
             return row
 
-        for batch in batches:
-            keys, lengths = batch.column(0).to_pylist(), np.cumsum(np.array([len(t) + 1 for t in batch.column(1).to_pylist()] or [0]))
-            a = 0
-            while a < len(keys):
-                b = max(a + 1, int(np.searchsorted(lengths, (lengths[a - 1] if a else 0) + CHUNK, "right")))
-                got, n = encode(batch.column(1).slice(a, b - a).to_pylist())
-                ids.append(got)
-                counts.append(n)
-                names += keys[a:b]
-                size, a = size + len(got), b
-                if size >= shard_tokens:
-                    yield flush()
+        for b in pieces(batches, most=CHUNK):
+            got, n = encode(b.column(1).to_pylist())
+            ids.append(got)
+            counts.append(n)
+            names += b.column(0).to_pylist()
+            size += len(got)
+            if size >= shard_tokens:
+                yield flush()
         if names:
             yield flush()
 
