@@ -2,8 +2,10 @@
 
 1. Equal sets are one class, known by a hash of the set.
 2. Two sets of similarity t share one of the first n - ceil(t n) + 1 members in any order common
-   to all.  The order puts members that are frequent last (a bounded list, which only
-   steers the order); classes that share such a member meet in the bucket of the smallest of them.
+   to all.  Members with a hash below BELOW come first, rare ones before frequent ones, then the others by
+   hash; so only the former are counted.  Members of one class alone lead to nothing, and
+   with enough of them a class is done.  Classes that share one of their first members meet in
+   the bucket of the smallest of them.
 3. In a bucket, a tree stands over the sets, ordered by size: nodes hold the union of their sets' bitmaps
    and the range of sizes.  Both sides of a pair of nodes are descended together unless the
    sizes are too far apart, the common bits allow too small an overlap, or all is linked already.
@@ -26,8 +28,8 @@ from .components import components
 
 N, NUMERATOR, DENOMINATOR = 5, 75, 100
 BITS, FAN = 2048, 8
-#: A member counts as frequent from this count in a piece of text, and at most this many are listed.
-FREQUENT, LISTED = 4, 20_000
+#: The share of hashes whose members are counted, as a 63-bit number, and from where on a count makes no difference.
+BELOW, MOST_COUNTED = int(0.4 * (1 << 63)), 1_000_000
 PART = 3000
 _SEPARATES = np.isin(np.arange(256), np.frombuffer(SPACE.encode(), np.uint8))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -66,15 +68,14 @@ def class_of(members: np.ndarray) -> int | None:
     return int(mixed(np.add.reduce(mixed(members ^ np.uint64(0xA0761D6478BD642F)), keepdims=True) + np.uint64(len(members)))[0].view(np.int64))
 
 
-def prefix(members: np.ndarray, frequent: np.ndarray, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> np.ndarray:
-    n = len(members)
-    need = n - -(-n * numerator // denominator) + 1
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, members), len(frequent) - 1)
-        often = frequent[at] == members
-        if often.any():
-            members = np.concatenate([members[~often], members[often]])
-    return members[:need]
+def needed(n: int, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> int:
+    """How many members of a set of n have to be looked at."""
+    return n - -(-n * numerator // denominator) + 1 if n else 0
+
+
+def counted(members: np.ndarray, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> int:
+    """How many members, by hash, are told to the others: those below BELOW, or as many as are needed."""
+    return max(int(np.searchsorted(members >> np.uint64(1), np.uint64(BELOW))), needed(len(members), numerator, denominator))
 
 
 class Links:
@@ -170,32 +171,29 @@ def link(members: list[np.ndarray], hub: int | None = None, numerator: int = NUM
     return links.edges
 
 
-def _measure(n: int):
-    """Per text its size and class; per piece, as rows with a token, its frequent members."""
+def _measure(n: int, numerator: int, denominator: int):
+    """Per text its size, its class and how many of its members are told."""
 
     def run(batches):
         for b in pieces(batches, most=1 << 22):
             found = sets(b.column(2).to_pylist(), n)
-            every = np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-            start, count = runs(every)
-            often = count >= FREQUENT
-            token, count = every[start[often]].view(np.int64), count[often]
-            nothing = [None] * len(token)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (b.column(0).to_pylist() + nothing, b.column(1).to_pylist() + nothing, [len(x) for x in found] + nothing, [class_of(x) for x in found] + nothing, [None] * len(found) + token.tolist(), [None] * len(found) + count.tolist())], ["id", "text_key", "n", "class", "token", "count"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in ([len(x) for x in found], [class_of(x) for x in found], [counted(x, numerator, denominator) for x in found]))], ["id", "text_key", "n", "class", "told"])
 
     return run
 
 
-def _prefixes(n: int, frequent, numerator: int, denominator: int):
+def _members(n: int, numerator: int, denominator: int):
+    """(token, class) of the members that are told; a class that this task has met before isn't told again."""
+
     def run(batches):
-        listed, seen = frequent.value, set()
+        seen: set = set()
         for b in pieces(batches, most=1 << 20):
             tokens, classes = [], []
             for members in sets(b.column(0).to_pylist(), n):
                 c = class_of(members)
                 if c is not None and c not in seen:
                     seen.add(c)
-                    tokens.append(prefix(members, listed, numerator, denominator))
+                    tokens.append(members[: counted(members, numerator, denominator)] >> np.uint64(1))
                     classes.append((c, len(tokens[-1])))
             if len(seen) > 200_000:
                 seen.clear()
@@ -205,6 +203,48 @@ def _prefixes(n: int, frequent, numerator: int, denominator: int):
     return run
 
 
+def _shared(most: int):
+    """(class, rank, token) of tokens in several classes, from rows sorted by token and class.
+
+    rank is the number of classes, up to `most`; beyond BELOW it is one more than that.
+    """
+
+    def ranked(t, c, size):
+        rank = np.where(t < BELOW, np.minimum(size, most), most + 1)
+        return pa.RecordBatch.from_arrays([pa.array(c), pa.array(rank), pa.array(t)], ["class", "rank", "token"])
+
+    def run(batches):
+        t, c, large = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        for b in batches:
+            t, c = np.concatenate([t, b.column(0).to_numpy()]), np.concatenate([c, b.column(1).to_numpy()])
+            if not len(t):
+                continue
+            own = np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])])
+            t, c = t[own], c[own]
+            last = int(np.searchsorted(t, t[-1]))  # the last token may go on
+            if large is not None:  # a token with more than `most` classes, of which some were given out
+                n = int(np.searchsorted(t, large, "right"))
+                if n:
+                    yield ranked(t[:n], c[:n], np.full(n, most))
+                if n == len(t):
+                    t, c = t[:0], c[:0]
+                    continue
+                t, c, last, large = t[n:], c[n:], last - n, None
+            start, n = runs(t[:last])
+            size = np.repeat(n, n)
+            if (size > 1).any():
+                yield ranked(t[:last][size > 1], c[:last][size > 1], size[size > 1])
+            t, c = t[last:], c[last:]
+            if len(t) > most:
+                yield ranked(t, c, np.full(len(t), most))
+                large = int(t[0])
+                t, c = t[:0], c[:0]
+        if len(t) > 1:
+            yield ranked(t, c, np.full(len(t), len(t)))
+
+    return run
+
+
 def _hubs(batches):
     """(class, hub) of tokens in several classes, from rows sorted by token and class: the hub is a token's first class."""
     token = hub = None
@@ -278,7 +318,7 @@ def _solve(n: int, numerator: int, denominator: int, second: bool):
     return run
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, part: int = PART, listed: int = LISTED) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, part: int = PART, most_counted: int = MOST_COUNTED) -> DataFrame:
     """id, text_key (xxhash64 of the text), n_shingles, component_id of every row of docs.
 
     Two texts are linked when denominator * |common| >= numerator * |either|.  The component's id is
@@ -286,20 +326,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     other gets null.  A text that is null or has no word is empty and on its own.  Repeated rows
     are alike, so they share a component.  Other columns are ignored; an empty table gives an empty result.
     """
-    spark = ship(docs.sparkSession)
+    ship(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = written(rows.mapInArrow(_measure(n), "id long, text_key long, n long, class long, token long, count long"), "classes")
-    often = found.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.col("count").desc(), "token").limit(listed).collect()
-    frequent = spark.sparkContext.broadcast(np.sort(np.array([r["token"] for r in often], np.int64).view(np.uint64)))  # at most `listed` numbers
-    measured = found.where("token IS NULL")
-    classes = measured.where("class IS NOT NULL").groupBy("class").agg(F.min("text_key").alias("text_key"))
-    tokens = rows.select("text").mapInArrow(_prefixes(n, frequent, numerator, denominator), "token long, class long")
-    pairs = written(tokens.repartition("token").sortWithinPartitions("token", "class").mapInArrow(_hubs, "class long, hub long").distinct(), "buckets")
+    measured = written(rows.mapInArrow(_measure(n, numerator, denominator), "id long, text_key long, n long, class long, told long"), "classes")
+    classes = measured.where("class IS NOT NULL").groupBy("class").agg(F.min("text_key").alias("text_key"), F.min("n").alias("n"), F.min("told").alias("told"))
+    tokens = rows.select("text").mapInArrow(_members(n, numerator, denominator), "token long, class long")
+    shared = tokens.repartition("token").sortWithinPartitions("token", "class").mapInArrow(_shared(most_counted), "class long, rank long, token long")
+    # a class looks at as many members as it needs, in order; those of its own come first
+    of = shared.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("rank", "token"))).alias("shared"))  # at most a set's members
+    need = F.col("n") - F.ceil(F.col("n") * numerator / F.lit(denominator)) + 1
+    look = of.join(classes.select("class", "n", "told"), "class").withColumn("look", (need - (F.col("told") - F.size("shared"))).cast("int")).where("look > 0")
+    look = look.select("class", F.explode(F.slice("shared", F.lit(1), F.col("look"))).alias("s")).select(F.col("s.token").alias("token"), "class")
+    pairs = written(look.repartition("token").sortWithinPartitions("token", "class").mapInArrow(_hubs, "class long, hub long").distinct(), "buckets")
     sizes = written(pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > part), "large")
 
     def solve(buckets: DataFrame, second: bool) -> DataFrame:
         """buckets: class, hub, part, other."""
-        asked = buckets.join(classes, "class").groupBy("text_key").agg(F.collect_list(F.struct("hub", "part", "class", "other")).alias("buckets"))
+        asked = buckets.join(classes.select("class", "text_key"), "class").groupBy("text_key").agg(F.collect_list(F.struct("hub", "part", "class", "other")).alias("buckets"))
         dealt = rows.select("text_key", "text").join(asked, "text_key").select("text_key", "text", "buckets").mapInArrow(_deal(n), "hub long, part long, class long, other boolean, text string")
         return dealt.repartition("hub", "part").sortWithinPartitions("hub", "part", "class").mapInArrow(_solve(n, numerator, denominator, second), "a long, b long")
 
