@@ -127,8 +127,8 @@ def _term(p: Column, q: Column) -> Column:
 def distances(name: dict[str, str], reference) -> tuple[Column, Column]:
     """Jensen-Shannon distances of a row's classes and common words to a reference."""
     classes, shares, other = reference
-    c, n = F.col(name["classes"]), F.col(name["n_words"]).cast("double")
-    total = F.col(name["word_chars"]) + F.get(c, F.lit(len(CLASSES) - 1))
+    c, n = F.col(name["classes"]), F.greatest(F.col(name["n_words"]), F.lit(1)).cast("double")
+    total = F.greatest(F.col(name["word_chars"]) + F.get(c, F.lit(len(CLASSES) - 1)), F.lit(1))
     by_class = sum((_term(F.get(c, F.lit(i)) / total, F.lit(q)) for i, q in enumerate(classes)), F.lit(0.0))
     known = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]) if shares else F.create_map(F.lit(""), F.lit(0.0))
     q = lambda s: F.coalesce(F.element_at(known, s["w"]), F.lit(0.0))
@@ -155,7 +155,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", without: tupl
     found = references(measured, name, lang)
     for _, reference in sorted(found.items()):
         by_class, by_word = distances(name, reference)
-        kept |= ((F.col(name["word_chars"]) < GUARD_CHARS) | (by_class <= MAX_CLASS_DISTANCE)) & ((F.col(name["n_words"]) < GUARD_WORDS) | (by_word <= F.lit(MAX_WORD_DISTANCE) + F.lit(CHANCE) / F.sqrt(F.col(name["n_words"]).cast("double"))))
+        kept |= ((F.col(name["word_chars"]) < GUARD_CHARS) | (by_class <= MAX_CLASS_DISTANCE)) & ((F.col(name["n_words"]) < GUARD_WORDS) | (by_word <= F.lit(MAX_WORD_DISTANCE) + F.lit(CHANCE) / F.sqrt(F.greatest(F.col(name["n_words"]), F.lit(1)).cast("double"))))
     out = measured.select(*docs.columns, *[F.col(name[c]).alias(c) for c in own], (kept if found else F.lit(True)).alias("kept"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     return out.select(*docs.columns, *own, failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"))
