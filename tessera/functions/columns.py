@@ -21,6 +21,11 @@ def between(u: Column, low: float, high: float) -> Column:
     return F.lit(float(low)) + u * F.lit(float(high) - float(low))
 
 
+def bind(value: Column, body) -> Column:
+    """body(value) with value worked out once; inside a lambda, a plain column may be worked out for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
 
@@ -30,26 +35,41 @@ def doubles(xs: Column) -> Column:
 
 
 def dot(a: Column, b: Column) -> Column:
-    return total(F.zip_with(a, b, lambda x, y: x * y))
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
 def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
 
 
 def l2_normalize(a: Column, eps: float = 1e-12) -> Column:
     """a over the larger of its length and eps."""
-    return F.transform(a, lambda x: x / F.greatest(norm(a), F.lit(eps)))
+    return bind(F.greatest(norm(a), F.lit(eps)), lambda n: F.transform(a, lambda x: x / n))
+
+
+def distance(a: Column, b: Column, eps: float = 1e-8) -> Column:
+    """The length of a - b + eps, eps being added to every element."""
+    return norm(F.zip_with(a, b, lambda x, y: x - y + F.lit(eps)))
 
 
 def log_softmax(x: Column, temperature: float = 1.0) -> Column:
     """Log of the softmax of x / temperature; the largest value is taken off before exp."""
-    scaled = lambda v: v / F.lit(temperature)
-    top = F.array_max(x)
-    rest = F.log(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(scaled(v) - scaled(top))))
-    return F.transform(x, lambda v: scaled(v) - scaled(top) - rest)
+    t = F.lit(float(temperature))
+
+    def shifted(s: Column) -> Column:
+        return bind(F.log(F.aggregate(s, F.lit(0.0), lambda a, v: a + F.exp(v))), lambda rest: F.transform(s, lambda v: v - rest))
+
+    return bind(bind(F.array_max(x), lambda top: F.transform(x, lambda v: (v - top) / t)), shifted)
+
+
+def softmax(x: Column, temperature: float = 1.0) -> Column:
+    return F.transform(log_softmax(x, temperature), F.exp)
 
 
 def rotate(xs: Column, by: Column | int, n: int) -> Column:
     """Element k of the result is element (k + by) mod n."""
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.get(xs, F.pmod(k + by, F.lit(n))))
+
+
+def rounded(xs: Column, digits: int = 6) -> Column:
+    return F.transform(xs, lambda x: F.round(x, digits))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("operators.history", "operators.ingest", "operators.schedules")
 
 
 def _gather(attribute: str) -> dict:
