@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("operators.history", "operators.ingest", "operators.schedules", "operators.similarity")
+MODULES: tuple[str, ...] = ("operators.history", "operators.ingest", "operators.schedules", "operators.similarity", "operators.masks", "operators.losses")
 
 
 def _gather(attribute: str) -> dict:
