@@ -1,0 +1 @@
+"""Augmentation plans: which views an image gets, with what parameters."""
