@@ -108,22 +108,30 @@ def _spans(batches):
 
 
 def suffixes(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """All suffixes in order of their first `depth` symbols (under 512 each), by doubling."""
+    """All suffixes in order of their first `depth` symbols: each round sorts by three times as many symbols (twice, in very long arrays)."""
     n = len(symbols)
-    key, have = np.zeros(n, np.int64), 7
-    padded = np.concatenate([symbols.astype(np.int64), np.zeros(have, np.int64)])
+    alphabet = np.zeros(int(symbols.max()) + 1, np.int64)
+    alphabet[np.unique(symbols)] = 1
+    dense = np.cumsum(alphabet)[symbols]  # from 1; 0 stands for what is behind the end
+    bits = int(dense.max()).bit_length()
+    have = 63 // bits
+    padded, key = np.concatenate([dense, np.zeros(have, np.int64)]), np.zeros(n, np.int64)
     for j in range(have):
-        key = key << 9 | padded[j : j + n]
+        key = key << bits | padded[j : j + n]
+    times = 3 if n < 1 << 21 else 2
     while True:
         order = np.argsort(key)
         ordered = key[order]
-        new = np.concatenate([[False], ordered[1:] != ordered[:-1]])
-        rank = np.empty(n, np.int64)
+        new = np.ones(n, np.int64)
+        new[1:] = ordered[1:] != ordered[:-1]
+        rank = np.zeros(n + (times - 1) * have, np.int64)
         rank[order] = np.cumsum(new)
-        if have >= depth or rank[order[-1]] == n - 1:
+        if have >= depth or rank[order[-1]] == n:
             return order
-        key = rank << 32 | np.concatenate([rank[have:] + 1, np.zeros(min(have, n), np.int64)])[:n]
-        have *= 2
+        key = rank[:n]
+        for j in range(1, times):
+            key = key << (63 // times) | rank[j * have : j * have + n]
+        have *= times
 
 
 def open_boundaries(symbols: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
@@ -132,26 +140,32 @@ def open_boundaries(symbols: np.ndarray, order: np.ndarray, length: int) -> np.n
     Breadth-first backward extension: from the interval of each string of l symbols come those of
     all strings one symbol longer at the front; where such an interval ends at a boundary that is
     still open, the common prefix there is l, and the interval is extended in the next round.
+    Intervals are read by the transform's runs of equal symbols, few where much repeats.
     """
     n = len(symbols)
     last = symbols[order - 1].astype(np.int64)
     back = np.empty(n, np.int64)  # where a suffix goes when its preceding symbol is put in front
     back[np.argsort(last, kind="stable")] = np.arange(n)
+    first, width = runs(last)
+    end, symbol, goes = first + width, last[first], back[first]
+    of = np.repeat(np.arange(len(first)), width)
     still = np.ones(n + 1, bool)
     still[[0, n]] = False
-    lo, hi, mask = np.array([0]), np.array([n]), (1 << 26) - 1
+    lo, hi = np.array([0]), np.array([n])
     for l in range(length):
-        size = hi - lo
+        a, b = of[lo], of[hi - 1]
+        size = b - a + 1
         which = np.repeat(np.arange(len(lo)), size)
-        at = np.arange(len(which)) + np.repeat(lo - (np.cumsum(size) - size), size)
-        c = last[at]
+        run = np.arange(len(which)) + np.repeat(a - (np.cumsum(size) - size), size)
         if l:  # a string with a separator inside is of no use
-            own = c > 0
-            which, at, c = which[own], at[own], c[own]
-        key = np.sort((which << 9 | c) << 26 | back[at])
-        start, count = runs(key >> 26)
-        lo = key[start] & mask
-        hi = lo + count
+            own = symbol[run] > 0
+            which, run = which[own], run[own]
+        start, stop = np.maximum(lo[which], first[run]), np.minimum(hi[which], end[run])
+        # the extension by one symbol takes the first place of its first run and the last of its last
+        key, place = which << 9 | symbol[run], goes[run] + start - first[run]
+        by = np.argsort(key, kind="stable")
+        at, _ = runs(key[by])
+        lo, hi = place[by[at]], np.maximum.reduceat((place + stop - start)[by], at) if len(at) else at
         own = still[hi]
         lo, hi = lo[own], hi[own]
         still[hi] = False
@@ -167,7 +181,7 @@ def repeated(contexts: list[bytes], text: np.ndarray, place: np.ndarray, length:
     symbols[starts[1:] - 1] = 0
     order = suffixes(symbols, length)
     still = open_boundaries(symbols, order, length)
-    of = np.searchsorted(starts, np.arange(len(symbols)), "right") - 1
+    of = np.repeat(np.arange(len(contexts)), np.diff(starts))
     offset = np.arange(len(symbols)) - starts[of]
     whole = starts[of + 1] - 1 - starts[of] - offset >= length
     identity = (text[of] << 32 | (place[of] + offset))[order]
