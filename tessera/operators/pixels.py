@@ -32,13 +32,13 @@ def _at(i: Column, h: int, w: int) -> tuple[Column, Column, Column]:
 def remap(px: Column, source, h: int = H, w: int = W) -> Column:
     """The pixel at (c, y, x) of the result is that at source(c, y, x) = (y, x) of px, or a given column where source says so."""
 
-    def one(i: Column) -> Column:
+    def one(p: Column, i: Column) -> Column:
         c, y, x = _at(i, h, w)
         found = source(c, y, x)
-        value = F.get(px, (c * h + found[0]) * w + found[1])
+        value = F.get(p, (c * h + found[0]) * w + found[1])
         return value if len(found) == 2 else F.when(found[2], value).otherwise(found[3])
 
-    return F.transform(F.sequence(F.lit(0), F.lit(C * h * w - 1)), one)
+    return bind(px, lambda p: F.transform(F.sequence(F.lit(0), F.lit(C * h * w - 1)), lambda i: one(p, i)))
 
 
 def by_pixel(px: Column, change, h: int = H, w: int = W) -> Column:
@@ -60,9 +60,8 @@ def solarize(px: Column, threshold: float = 128.0) -> Column:
 
 def rotate(px: Column, quarters: Column, n: int = H) -> Column:
     """Counter-clockwise by quarters of a turn; square images."""
-    turn = lambda k: remap(px, k, n, n)
-    one, two, three = turn(lambda c, y, x: (x, n - 1 - y)), turn(lambda c, y, x: (n - 1 - y, n - 1 - x)), turn(lambda c, y, x: (n - 1 - x, y))
-    return F.when(quarters == 1, one).when(quarters == 2, two).when(quarters == 3, three).otherwise(px)
+    pick = lambda zero, one, two, three: F.when(quarters == 1, one).when(quarters == 2, two).when(quarters == 3, three).otherwise(zero)
+    return remap(px, lambda c, y, x: (pick(y, x, n - 1 - y, n - 1 - x), pick(x, n - 1 - y, n - 1 - x, y)), n, n)
 
 
 def flip(px: Column, horizontal: Column, vertical: Column, h: int = H, w: int = W) -> Column:
@@ -104,7 +103,7 @@ def denormalize(px: Column, collection: str = "benthic", h: int = H, w: int = W)
 def luma(px: Column, h: int = H, w: int = W) -> Column:
     """h * w values."""
     n = h * w
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: sum((F.get(px, i + c * n) * LUMA[c] for c in range(C)), F.lit(0.0)))
+    return bind(px, lambda p: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: sum((F.get(p, i + c * n) * LUMA[c] for c in range(C)), F.lit(0.0))))
 
 
 def grayscale(px: Column, h: int = H, w: int = W) -> Column:
@@ -127,13 +126,14 @@ def blur(px: Column, sigma: Column, radius: int = 1, h: int = H, w: int = W) ->
     def mirrored(i: Column, n: int) -> Column:
         return (n - 1) - F.abs((n - 1) - F.abs(i))
 
-    def along(weights: Column) -> Column:
+    def along(px: Column, weights: Column) -> Column:
         weigh = lambda values: sum((F.get(weights, F.lit(k)) * v for k, v in enumerate(values)), F.lit(0.0))
         rows = by_pixel(px, lambda v, c, y, x: weigh([F.get(px, (c * h + y) * w + mirrored(x + k, w)) for k in taps]), h, w)
         return bind(rows, lambda r: by_pixel(r, lambda v, c, y, x: weigh([F.get(r, (c * h + mirrored(y + k, h)) * w + x) for k in taps]), h, w))
 
     raw = F.array(*[F.exp(-0.5 * (F.lit(float(k)) / sigma) * (F.lit(float(k)) / sigma)) for k in taps])
-    return bind(bind(raw, lambda r: F.transform(r, lambda v: v / total(r))), along)
+    share = bind(raw, lambda r: bind(total(r), lambda t: F.transform(r, lambda v: v / t)))
+    return bind(px, lambda p: bind(share, lambda s: along(p, s)))
 
 
 def translate(px: Column, dy: Column, dx: Column, fill, h: int = H, w: int = W) -> Column:
@@ -149,8 +149,8 @@ def mask_pixels(px: Column, mask: Column, patch: int = 2, h: int = H, w: int = W
 def patchify(px: Column, patch: int = 2, h: int = H, w: int = W) -> Column:
     """(h / patch) * (w / patch) arrays of C * patch * patch values, a remainder is left out."""
     down, across = h // patch, w // patch
-    inner = lambda p, j: (F.get(px, ((j / (patch * patch)).cast("int") * h + (p / across).cast("int") * patch + (j / patch).cast("int") % patch) * w + (p % across) * patch + j % patch))
-    return F.transform(F.sequence(F.lit(0), F.lit(down * across - 1)), lambda p: F.transform(F.sequence(F.lit(0), F.lit(C * patch * patch - 1)), lambda j: inner(p, j)))
+    inner = lambda px, p, j: (F.get(px, ((j / (patch * patch)).cast("int") * h + (p / across).cast("int") * patch + (j / patch).cast("int") % patch) * w + (p % across) * patch + j % patch))
+    return bind(px, lambda q: F.transform(F.sequence(F.lit(0), F.lit(down * across - 1)), lambda p: F.transform(F.sequence(F.lit(0), F.lit(C * patch * patch - 1)), lambda j: inner(q, p, j))))
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,10 @@ def decoded(spark: SparkSession, folder: str, on_corrupt: str = "drop") -> DataF
         raw = raw.where("height >= 0")
     elif on_corrupt == "fail":
         raw = raw.where(F.when(F.col("height") < 0, F.raise_error(F.concat(F.lit("can't decode "), "origin"))).otherwise(F.lit(True)))
-    return raw.select(F.col("origin").alias("path"), "height", "width", F.col("nChannels").alias("n_channels"), F.col("data").alias("pixels"))
+    # Spark gives blue first, and one or four channels for gray and transparent images
+    order = lambda found, wanted: F.unhex(F.regexp_replace(F.hex("data"), found, wanted))
+    pixels = F.when(F.col("nChannels") == 1, order("(..)", "$1$1$1")).when(F.col("nChannels") == 4, order("(..)(..)(..)..", "$3$2$1")).otherwise(order("(..)(..)(..)", "$3$2$1"))
+    return raw.select(F.col("origin").alias("path"), "height", "width", F.when(F.col("height") >= 0, 3).otherwise(F.col("nChannels")).alias("n_channels"), pixels.alias("pixels"))
 
 
 def labels(spark: SparkSession, path: str) -> DataFrame:
