@@ -23,6 +23,8 @@ SPAN, MASKS = 8, ((0, 1, 2, 3, 7), (0, 1, 4, 5, 7), (0, 2, 5, 6, 7))
 WINDOW, NEEDED = 13, 10
 #: Up to this many seeds of the benchmark (12 bytes each and their overhead) are sent to every executor; beyond, both sides are shuffled.
 BROADCAST_SEEDS = 500_000
+#: Up to this many texts with hits, their 8-byte keys pick those texts before the shuffle; beyond, all texts are shuffled.
+BROADCAST_KEYS = 2_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -79,6 +81,8 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item: st
     hits = spread.join(side, "seed").select("text_key", "item_id", (F.floor(F.col("at") / len(MASKS)).cast("int") - F.col("place")).alias("diagonal")).distinct()
     # an item's tokens go along with its hits; there are few of both
     asked = written(hits.join(own, "item_id").groupBy("text_key").agg(F.collect_list(F.struct("item_id", "diagonal", "item")).alias("asked")), "hits")
+    if asked.count() <= BROADCAST_KEYS:
+        keyed = keyed.join(F.broadcast(asked.select("text_key")), "text_key", "left_semi")
     laid = keyed.join(asked, "text_key").select("text_key", hashed(F.col("text")).alias("tokens"), "asked")
     compare = lambda t: F.transform(F.col("asked"), lambda a: F.struct(a["item_id"].alias("item_id"), F.size(a["item"]).alias("n"), best_window(a["item"], t, a["diagonal"]).alias("matched")))
     found = laid.select("text_key", F.inline(bind(F.col("tokens"), compare)))

@@ -87,6 +87,7 @@ def test_passages_are_found_despite_replaced_words(spark):
 def test_beyond_the_bound_both_sides_are_shuffled(spark, sf, monkeypatch):
     want = sorted(map(tuple, decontamination.op3_decontamination(spark, sf).collect()))
     monkeypatch.setattr(decontamination, "BROADCAST_SEEDS", 0)
+    monkeypatch.setattr(decontamination, "BROADCAST_KEYS", 0)
     assert sorted(map(tuple, decontamination.op3_decontamination(spark, sf).collect())) == want
 
 
