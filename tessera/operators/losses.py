@@ -111,19 +111,22 @@ def sinkhorn_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinkhorn(two, "batch", ["vec_id", "view"], "x").where("k < 8").select("vec_id", "view", "k", F.round("q", 6).alias("q"))
 
 
-def _dino(spark, sf_dir, first: int, n: int, skip_same: bool) -> DataFrame:
+def _dino(spark, sf_dir) -> DataFrame:
+    """batch, g and l: the global and the local part, from one pass over the samples and their assignments."""
     rows = _views(spark, sf_dir).join(_assigned(spark, sf_dir), ["batch", "vec_id"])
-    students = F.array(*[log_softmax(turned("x", v), STUDENT_TEMPERATURE) for v in range(first, first + n)])
-    rows = rows.select("batch", "teachers", students.alias("students")).select("batch", cross_entropies(F.col("students"), F.col("teachers"), skip_same).alias("ce"))
-    return rows.groupBy("batch").agg((F.sum("ce") / (F.count(F.lit(1)) * n_pairs(n, GLOBALS, skip_same))).alias("loss"))
+    students = lambda first, n: F.array(*[log_softmax(turned("x", v), STUDENT_TEMPERATURE) for v in range(first, first + n)])
+    part = lambda first, n, skip: bind(students(first, n), lambda s: cross_entropies(s, F.col("teachers"), skip))
+    rows = rows.select("batch", part(0, GLOBALS, True).alias("g"), part(GLOBALS, LOCALS, False).alias("l"))
+    mean = lambda c, n, skip: (F.sum(c) / (F.count(F.lit(1)) * n_pairs(n, GLOBALS, skip))).alias(c)
+    return rows.groupBy("batch").agg(mean("g", GLOBALS, True), mean("l", LOCALS, False))
 
 
 def dino_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dino(spark, sf_dir, 0, GLOBALS, True).select("batch", F.round("loss", 6).alias("loss"))
+    return _dino(spark, sf_dir).select("batch", F.round("g", 6).alias("loss"))
 
 
 def dino_local(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dino(spark, sf_dir, GLOBALS, LOCALS, False).select("batch", F.round("loss", 6).alias("loss"))
+    return _dino(spark, sf_dir).select("batch", F.round("l", 6).alias("loss"))
 
 
 def _ibot(spark, sf_dir) -> DataFrame:
@@ -184,7 +187,7 @@ def center_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 def total_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both cross-view parts by their share of pairs, masked patches, a tenth of the entropy part and all of the Gram part."""
     name = lambda df, c: df.select("batch", F.col("loss").alias(c))
-    parts = [name(_dino(spark, sf_dir, 0, GLOBALS, True), "g"), name(_dino(spark, sf_dir, GLOBALS, LOCALS, False), "l"), name(_ibot(spark, sf_dir), "i"), name(similarity.koleo(spark, sf_dir), "e"), name(_gram_batch(spark, sf_dir), "m")]
+    parts = [_dino(spark, sf_dir), name(_ibot(spark, sf_dir), "i"), name(similarity.koleo(spark, sf_dir), "e"), name(_gram_batch(spark, sf_dir), "m")]
     out = parts[0]
     for p in parts[1:]:
         out = out.join(p, "batch")

@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import bind, keyed_uniform, uniform_sql
+from ..functions.frames import spread
 from ..session import ship
 
 BATCH, PATCHES, SHARE, LOW, HIGH = 32, 16, 0.5, 0.1, 0.5
@@ -111,7 +112,7 @@ def block_masks(rows: DataFrame, key: list[str], height: int, width: int, seed:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full batches of embeddings; the last one isn't used if it isn't full."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.floor(F.col("vec_id") / BATCH).cast("long").alias("batch"), (F.col("vec_id") % BATCH).cast("int").alias("slot"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    e = spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select("vec_id", F.floor(F.col("vec_id") / BATCH).cast("long").alias("batch"), (F.col("vec_id") % BATCH).cast("int").alias("slot"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
     full = e.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == BATCH).select("batch")
     return e.join(full, "batch", "left_semi")
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import between, bind, keyed_uniform, total, uniform_sql
+from ..functions.frames import spread
 from . import masks
 
 H = W = 8
@@ -155,7 +156,7 @@ def patchify(px: Column, patch: int = 2, h: int = H, w: int = W) -> Column:
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id and px: an image of whole values from 0 to 255 made from each embedding."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    e = spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     value = lambda i: F.get(F.col("embedding"), (i % (H * W) + 21 * (i / (H * W)).cast("int")) % 64).cast("double")
     return e.select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(C * H * W - 1)), lambda i: F.floor(255 * clamp(4 * value(i) + 0.5)).cast("double")).alias("px"))
 

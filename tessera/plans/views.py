@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import between, bind, keyed_uniform, uniform_sql
+from ..functions.frames import spread
 
 #: Fixed values of the recipes: crop share of the area, side in pixels, chances and strengths, by recipe and kind of view.
 FIELDS = "recipe string, kind string, low double, high double, side int, blur double, kernel int, solarize double, flip double, jitter double, brightness double, contrast double, saturation double, hue double, gray double, physics boolean, translate double"
@@ -85,7 +86,7 @@ def side_crop_box(height: Column, width: Column, low: float, high: float, *key)
 
 def _sizes(spark, sf_dir) -> DataFrame:
     """Images of various sizes: one per document."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"))
     return d.select("doc_id", (F.col("doc_id") * 37 % 500 + 60).cast("int").alias("height"), (F.col("doc_id") * 101 % 900 + 60).cast("int").alias("width"))
 
 
