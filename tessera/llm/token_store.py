@@ -2,11 +2,13 @@
 
 Documents are dealt out by ranges of their id, encoded, and written shard by shard.  In each
 shard, frequent pairs of neighbouring symbols are replaced by nonterminals, round after
-round; a pair never crosses a document's end.  A shard keeps its rules and the length of each
+round until none is frequent; a pair never crosses a document's end.  A shard keeps its rules and the length of each
 rule's expansion, so that one document, or a place in it, can be decoded without the rest.
 
-Layout of a shard, little-endian: magic, then the counts of documents, rules and symbols and
-the first nonterminal (4 x uint64); per document its id (int64), whether it has one (uint8), the
+Symbols are numbered within the shard: first the token ids that it holds, then its rules.
+
+Layout of a shard, little-endian: magic, then the counts of documents, rules, symbols and
+different token ids (4 x uint64); these ids in ascending order (uint32); per document its id (int64), whether it has one (uint8), the
 place of its first symbol and of its first token (2 x uint64, one entry more than documents); per
 rule its two symbols (2 x uint32) and the length of its expansion (uint32); the symbols (uint16, or
 uint32 if there are more than 65,536).
@@ -31,10 +33,10 @@ from . import files
 from .arrays import pieces
 from .common import shared_dir, table, written
 
-MAGIC = b"TSRPAIR1"
+MAGIC = b"TSRPAIR2"
 END = 1
 SHARD_TOKENS = 4_000_000
-ROUNDS, RULES_A_ROUND, MIN_COUNT = 3, 3000, 16
+MIN_COUNT = 16
 CACHED_WORDS, CHUNK = 1_000_000, 2_000_000
 _LETTER = np.isin(np.arange(256), np.arange(97, 123))
 INDEX = "part int, seq int, file string, n_docs long, n_tokens long"
@@ -143,72 +145,111 @@ def encoder(path: str, end: int = END) -> Encoder:
     return _ENCODERS[path, end]
 
 
-_TABLE = 1 << 16
-
+def _maybe(s: np.ndarray, at: np.ndarray, min_count: int) -> np.ndarray:
+    """Places whose pair may occur min_count times: others share its hash so often.  No frequent pair is lost."""
+    slot = ((s[at] * np.uint32(0x9E3779B1) + s[at + 1]) * np.uint32(0x85EBCA6B)) >> np.uint32(12)
+    return at[(np.bincount(slot, minlength=1 << 20) >= min_count)[slot]]
 
-def _slot(pair: np.ndarray) -> np.ndarray:
-    if pair.dtype == np.uint64:
-        return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
-    return ((pair * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
 
+def _groups(s: np.ndarray, at: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in order of the pairs (s[i], s[i + 1]) there, then of place; and where each pair's places begin, the end included.
 
-def compress(ids: np.ndarray, starts: np.ndarray, first: int, rounds: int = ROUNDS, rules_a_round: int = RULES_A_ROUND, min_count: int = MIN_COUNT):
+    Symbols are below top.  Pair and place are sorted as one number where they fit into 64 bits.
+    """
+    symbol, place = np.uint64(max(1, (top - 1).bit_length())), np.uint64(max(1, (len(s) - 1).bit_length()))
+    pair = (s[at].astype(np.uint64) << symbol) | s[at + 1]
+    if 2 * symbol + place <= 64:
+        ordered = np.sort((pair << place) | at.astype(np.uint64))
+        pair, at = ordered >> place, (ordered & ((np.uint64(1) << place) - np.uint64(1))).astype(np.int64)
+    else:
+        by = np.argsort(pair, kind="stable")
+        pair, at = pair[by], at[by]
+    return at, np.concatenate([[0], np.flatnonzero(pair[1:] != pair[:-1]) + 1, [len(pair)]])
+
+
+def compress(ids: np.ndarray, starts: np.ndarray, first: int, rules_a_round: int | None = None, min_count: int = MIN_COUNT):
     """(symbols, starts of documents among them, rules as pairs): frequent pairs replaced, most frequent first.
 
     starts has one entry more than there are documents.  Where pairs overlap, the left one of each two is replaced.
+    Rounds follow each other until no pair within a document occurs min_count times.  A pair's count can't grow once both its
+    symbols have been there for a round, so a round counts only what was frequent before and what is next to a new symbol.
     """
-    s, starts, rules = ids.astype(np.uint32), starts.astype(np.int64), np.zeros((0, 2), np.uint32)
-    for _ in range(rounds):
-        if len(s) < 2:
-            break
-        pair = (s[:-1].astype(np.uint64) << np.uint64(32)) | s[1:] if first + len(rules) > 1 << 16 else (s[:-1] << np.uint32(16)) | s[1:]
-        inner = np.ones(len(pair), bool)
-        inner[starts[1:-1][starts[1:-1] > 0] - 1] = False
-        ordered = np.sort(pair[inner])
-        if not len(ordered):
+    s, starts, rules, top = ids.astype(np.uint32), starts.astype(np.int64), [np.zeros((0, 2), np.uint32)], first
+    last = lambda: starts[1:][starts[1:] > 0] - 1
+    open_ = np.ones(len(s), bool)
+    open_[last()] = False
+    while True:
+        at = _maybe(s, np.flatnonzero(open_), min_count)
+        if not len(at):
             break
-        edge = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [len(ordered)]])
+        at, edge = _groups(s, at, top)
         count = np.diff(edge)
         often = np.flatnonzero(count >= min_count)
-        often = often[np.lexsort((often, -count[often]))[:rules_a_round]]
-        room = (1 << 16) - first - len(rules)
-        often = often[: room if 0 < room < len(often) else len(often)]
         if not len(often):
             break
-        # a table of pairs by a hash of theirs; of pairs with the same hash the most frequent stays
-        chosen = ordered[edge[often]]
-        table = np.full(_TABLE, -1, np.int32)
-        slot = _slot(chosen)
-        table[slot[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]
-        chosen = np.sort(chosen[table[slot] == np.arange(len(chosen))])
-        table[:] = 0
-        table[_slot(chosen)] = np.arange(len(chosen), dtype=np.int32)
-        half = np.uint64(32) if chosen.dtype == np.uint64 else np.uint32(16)
-        left, right = (chosen >> half).astype(np.uint32), (chosen & chosen.dtype.type((1 << int(half)) - 1)).astype(np.uint32)
-        rule = table[_slot(pair)]
-        at = np.flatnonzero((chosen[rule] == pair) & inner)
-        rule = rule[at]
-        fresh = np.ones(len(at), bool)
-        fresh[1:] = np.diff(at) != 1
-        run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-        even = (np.arange(len(at)) - run) % 2 == 0
-        at, rule = at[even], rule[even]
-        s[at] = (first + len(rules) + rule).astype(np.uint32)
+        at = at[np.repeat(count >= min_count, count)]
+        open_[:] = False
+        open_[at] = True
+        n = count[often]
+        order = np.argsort(-n, kind="stable")
+        place = np.zeros(len(n), np.int32)
+        place[order] = np.arange(1, len(n) + 1)
+        if rules_a_round:
+            place[order[rules_a_round:]] = 0
+        rule = np.zeros(len(s), np.int32)  # the most frequent pair is 1; 0 is none
+        rule[at] = np.repeat(place, n)
+        at = np.flatnonzero(rule)
+        begins = np.ones(len(at), bool)
+        begins[1:] = np.diff(at) != 1
+        run = np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
+        at = at[(np.arange(len(at)) - run) % 2 == 0]
+        # pairs that overlapping ones have taken every place of make no rule
+        which = rule[at]
+        used = np.zeros(len(n) + 1, bool)
+        used[which] = True
+        which = (np.cumsum(used) - 1)[which]
+        some = np.zeros(used.sum(), np.int64)
+        some[which] = at
+        rules.append(np.stack([s[some], s[some + 1]], 1))
+        s[at] = (top + which).astype(np.uint32)
+        top += len(some)
+        open_[at] = True
+        open_[at[at > 0] - 1] = True
         kept = np.ones(len(s), bool)
         kept[at + 1] = False
-        starts = np.concatenate([[0], np.cumsum(kept)])[starts]
-        s = s[kept]
-        rules = np.concatenate([rules, np.stack([left, right], 1)])
-    return s, starts, rules
+        starts = starts - np.searchsorted(at + 1, starts)
+        s, open_ = s[kept], open_[kept]
+        open_[last()] = False
+    return s, starts, np.concatenate(rules)
+
+
+def _levels(rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """(length of every rule's expansion, how deep its rules go); a rule names only terminals and rules before it."""
+    length, deep = [], []
+    for a, b in rules.tolist():
+        a, b = a - first, b - first
+        length.append((length[a] if a >= 0 else 1) + (length[b] if b >= 0 else 1))
+        deep.append(1 + max(deep[a] if a >= 0 else 0, deep[b] if b >= 0 else 0))
+    return np.array(length, np.int64), np.array(deep, np.int64)
 
 
 def expansions(rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, place, length) of every rule's expansion; a rule names only terminals and rules before it."""
-    parts, length = [], np.zeros(len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        parts.append(np.concatenate([parts[x - first] if x >= first else np.array([x], np.uint32) for x in (a, b)]))
-        length[k] = len(parts[-1])
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), np.concatenate([[0], np.cumsum(length)])[: len(rules)], length
+    """(tokens, place, length) of every rule's expansion."""
+    length, deep = _levels(rules, first)
+    place = np.cumsum(length) - length
+    tokens = np.zeros(length.sum(), np.uint32)
+    for level in range(1, deep.max(initial=0) + 1):
+        k = np.flatnonzero(deep == level)
+        to = place[k]
+        for part in rules[k].T.astype(np.int64):
+            own = part < first
+            tokens[to[own]] = part[own]
+            n = np.where(own, 1, length[np.where(own, 0, part - first)])
+            of, m = part[~own] - first, n[~own]
+            step = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            tokens[np.repeat(to[~own], m) + step] = tokens[np.repeat(place[of], m) + step]
+            to = to + n
+    return tokens, place, length
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first: int, known=None) -> np.ndarray:
@@ -225,12 +266,15 @@ def expand(symbols: np.ndarray, rules: np.ndarray, first: int, known=None) -> np
     return source[np.repeat(base - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def pack(doc_ids: list, ids: np.ndarray, counts: np.ndarray, first: int) -> bytes:
+def pack(doc_ids: list, ids: np.ndarray, counts: np.ndarray) -> bytes:
     token_starts = np.concatenate([[0], np.cumsum(counts)])
-    symbols, starts, rules = compress(ids, token_starts, first)
-    _, _, length = expansions(rules, first)
+    held = np.zeros(int(ids.max(initial=0)) + 1, bool)
+    held[ids] = True
+    first = int(held.sum())
+    symbols, starts, rules = compress((np.cumsum(held) - 1)[ids], token_starts, first)
+    length, _ = _levels(rules, first)
     width = "<u2" if first + len(rules) <= 1 << 16 else "<u4"
-    parts = [MAGIC, struct.pack("<4Q", len(doc_ids), len(rules), len(symbols), first), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is not None for d in doc_ids], np.uint8).tobytes(), starts.astype("<u8").tobytes(), token_starts.astype("<u8").tobytes(), rules.astype("<u4").tobytes(), length.astype("<u4").tobytes(), symbols.astype(width).tobytes()]
+    parts = [MAGIC, struct.pack("<4Q", len(doc_ids), len(rules), len(symbols), first), np.flatnonzero(held).astype("<u4").tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is not None for d in doc_ids], np.uint8).tobytes(), starts.astype("<u8").tobytes(), token_starts.astype("<u8").tobytes(), rules.astype("<u4").tobytes(), length.astype("<u4").tobytes(), symbols.astype(width).tobytes()]
     return b"".join(parts)
 
 
@@ -243,6 +287,7 @@ class Shard:
             raise ValueError("not a shard")
         n, r, self.n_symbols, self.first = struct.unpack("<4Q", f.read(32))
         take = lambda count, kind: np.frombuffer(f.read(count * np.dtype(kind).itemsize), kind)
+        self.terminals = take(self.first, "<u4")
         ids, has = take(n, "<i8"), take(n, np.uint8)
         self.doc_ids = [int(d) if h else None for d, h in zip(ids.tolist(), has.tolist(), strict=True)]
         self.starts, self.token_starts = take(n + 1, "<u8").astype(np.int64), take(n + 1, "<u8").astype(np.int64)
@@ -255,8 +300,11 @@ class Shard:
         self.file.seek(self.data + a * self.kind.itemsize)
         return np.frombuffer(self.file.read((b - a) * self.kind.itemsize), self.kind)
 
+    def ids(self, symbols: np.ndarray) -> np.ndarray:
+        return self.terminals[expand(symbols, self.rules, self.first, self.known)]
+
     def document(self, i: int) -> np.ndarray:
-        return expand(self.symbols(self.starts[i], self.starts[i + 1]), self.rules, self.first, self.known)
+        return self.ids(self.symbols(self.starts[i], self.starts[i + 1]))
 
     def token(self, i: int, at: int) -> int:
         """The id at a place of document i: lengths tell which symbol covers it, and only that one is expanded."""
@@ -265,10 +313,10 @@ class Shard:
         n = np.where(rule, np.concatenate([self.lengths, [1]])[np.where(rule, s.astype(np.int64) - self.first, len(self.lengths))], 1)
         ends = np.cumsum(n)
         k = int(np.searchsorted(ends, at, "right"))
-        return int(expand(s[k : k + 1], self.rules, self.first, self.known)[at - (ends[k] - n[k])])
+        return int(self.ids(s[k : k + 1])[at - (ends[k] - n[k])])
 
     def all(self) -> np.ndarray:
-        return expand(self.symbols(0, self.n_symbols), self.rules, self.first, self.known)
+        return self.ids(self.symbols(0, self.n_symbols))
 
 
 def write(docs: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id", folder: str | None = None, shard_tokens: int = SHARD_TOKENS, end: int = END) -> DataFrame:
@@ -283,7 +331,6 @@ def write(docs: DataFrame, path: str | None = None, text: str = "text", key: str
 
     def store(batches):
         encode, part, seq = encoder(path, end), TaskContext.get().partitionId(), 0
-        first = encode.library.get_vocab_size()
         ids: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         names: list = []
@@ -293,7 +340,7 @@ def write(docs: DataFrame, path: str | None = None, text: str = "text", key: str
             nonlocal ids, counts, names, size, seq
             uri, out = files.create(folder, f"part-{part:05d}-{seq:05d}", ".ids")
             with out:
-                out.write(pack(names, np.concatenate(ids), np.concatenate(counts), first))
+                out.write(pack(names, np.concatenate(ids), np.concatenate(counts)))
             row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "file": [uri], "n_docs": pa.array([len(names)], pa.int64()), "n_tokens": pa.array([size], pa.int64())})
             ids, counts, names, size, seq = [], [], [], 0, seq + 1
             return row

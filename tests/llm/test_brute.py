@@ -1,11 +1,13 @@
 """Operators that SQL can't express, against brute force, an exact round trip or held-out labels."""
 
 import hashlib
+import io
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tessera.llm import jaccard, language, suffix, token_store, toxicity
@@ -218,6 +220,24 @@ def test_tokens_at_random_places(spark, sf):
                     assert shard.token(i, at) == ids[at]
 
 
+def test_pairs_are_replaced_until_none_is_frequent():
+    """Copies of a long passage, many frequent pairs and runs: no pair of a document's symbols is left min_count times."""
+    r = random.Random(7)
+    passage = [r.randrange(5000) for _ in range(700)]
+    texts = [[*passage, 4999, r.randrange(5000)] for _ in range(64)] + [[r.randrange(60) for _ in range(2000)] for _ in range(60)] + [[7] * 999, [], [8]]
+    ids = np.array([i for t in texts for i in t])
+    starts = np.cumsum([0, *map(len, texts)])
+    for options in ({}, {"rules_a_round": 50}):
+        s, at, rules = token_store.compress(ids, starts, 49_000, **options)
+        pairs = Counter(p for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) for p in zip(s[a : b - 1].tolist(), s[a + 1 : b].tolist(), strict=True))
+        assert max(pairs.values()) < token_store.MIN_COUNT
+        assert (token_store.expand(s, rules, 49_000) == ids).all()
+        assert all(token_store.expand(s[a:b], rules, 49_000).tolist() == t for a, b, t in zip(at[:-1], at[1:], texts, strict=True))
+        assert max(at[1:65] - at[:64]) < 20
+    shard = token_store.Shard(io.BytesIO(token_store.pack(list(range(len(texts))), ids, np.diff(starts))))
+    assert shard.all().tolist() == ids.tolist() and shard.document(3).tolist() == texts[3] and shard.token(3, 600) == texts[3][600]
+
+
 def test_tokens_of_repeated_and_null_ids(spark):
     rows = [(2, "b"), (2, "a"), (None, "c"), (1, None)]
     assert read_tokens(docs(spark, rows)) == brute_tokens(rows)
