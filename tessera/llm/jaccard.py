@@ -326,6 +326,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     other gets null.  A text that is null or has no word is empty and on its own.  Repeated rows
     are alike, so they share a component.  Other columns are ignored; an empty table gives an empty result.
     """
+    found = _rooted(docs, key, text, n, numerator, denominator, part, most_counted)
+    return found.select("id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("component_id"))
+
+
+def _rooted(docs: DataFrame, key: str, text: str, n: int = N, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, part: int = PART, most_counted: int = MOST_COUNTED) -> DataFrame:
+    """id, text_key, n, root of every row, the root null for texts without words; first, bare: the root's smallest (id, text_key) and, of rows without an id, text_key."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     measured = written(rows.mapInArrow(_measure(n, numerator, denominator), "id long, text_key long, n long, class long, told long"), "classes")
@@ -368,20 +374,32 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
         edges = written(edges.unionByName(solve(again, True)), "edges")
     roots = components(edges).select(F.col("node").alias("class"), "root")
     rooted = measured.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")).select("id", "text_key", "n", "root")
-    smallest = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component_id"))
-    joined_ = rooted.join(smallest, "root", "left")
-    return joined_.select("id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    each = F.struct("id", "text_key")
+    smallest = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min(F.when(F.col("id").isNotNull(), each)).alias("first"), F.min(F.when(F.col("id").isNull(), F.col("text_key"))).alias("bare"))
+    return rooted.join(smallest, "root", "left")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with one document of each component, that of the smallest key; rows without a key stay."""
-    found = written(near_duplicates(docs, key, text, **options), "components")
-    id_, of = fresh(docs, "jk_id"), fresh(docs, "jk_text")
-    gone = found.where("id <> component_id").select(F.col("id").alias(id_), F.col("text_key").alias(of)).distinct()
-    text_key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    kept = docs.join(gone, (F.col(key).cast("long") == F.col(id_)) & (text_key == F.col(of)), "left_anti")
-    if found.where("id IS NOT NULL").groupBy("id").count().where("count > 1").take(1):  # repeated keys: one row of each
-        kept = kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(kept.where(F.col(key).isNull()))
+    """docs with one row of each component that has a key, that of the smallest key and, of its texts, the smallest text_key.
+
+    Of a component's rows without a key, one stays too.  Rows with the same key and text are one row, the smallest of them by all
+    columns that have an order; but texts without words and without a key all stay.  A key that texts of several components
+    share keeps a row of each.
+    """
+    found = written(_rooted(docs, key, text, **options).select("id", "text_key", "root", "first", "bare"), "components")
+    names = [fresh(docs, f"jk_{k}") for k in ("id", "text", "row")]
+    mine = lambda id_, of: F.col(key).cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col(of))
+    pairs = lambda rows: rows.select(F.col("id").alias(names[0]), F.col("text_key").alias(names[1]))
+    stays = F.when(F.col("id").isNull(), F.col("text_key") == F.col("bare")).otherwise(F.struct("id", "text_key") == F.col("first"))
+    kept = docs.join(pairs(found.where(F.col("root").isNotNull() & ~stays)).distinct(), mine(*names[:2]), "left_anti")
+    alike = found.where("root IS NULL AND id IS NOT NULL").unionByName(found.where(F.col("root").isNotNull() & stays))
+    alike = written(pairs(alike).groupBy(*names[:2]).count().where("count > 1").drop("count"), "alike")
+    if alike.take(1):
+        several = kept.join(alike, mine(*names[:2]))
+        columns = [F.col(f"`{c}`") for c in docs.columns]
+        ordered = [F.col(f"`{f.name}`") for f in docs.schema if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+        one = several.groupBy(*names[:2]).agg(F.min_by(F.struct(*columns), F.struct(*ordered)).alias(names[2]))
+        kept = kept.join(alike, mine(*names[:2]), "left_anti").unionByName(one.select(f"{names[2]}.*"))
     return kept
 
 

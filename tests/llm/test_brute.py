@@ -109,6 +109,20 @@ def test_near_duplicates_keep_columns_and_rows(spark):
     assert empty.columns == d.columns and empty.count() == 0
 
 
+def test_one_row_of_each_component_whatever_the_ids(spark):
+    """A repeated id loses no unrelated text, and rows without an id are one of their component."""
+    a, b, c, e = (" ".join(f"{x}{i}" for i in range(30)) for x in "abce")
+    rows = [(1, a, 1), (1, b, 2), (1, b + " z", 2), (2, a + " z", 3), (3, b, 4), (7, c, 6), (7, c, 5), (None, c, 7), (None, e, 8), (None, e, 8), (None, e + " z", 9), (4, "", 1), (4, "", 1), (4, None, 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    for parts in (1, 5):
+        kept = [tuple(r) for r in jaccard.keep_one(d.repartition(parts)).collect()]
+        group = lambda t: (t or "")[:1]
+        assert sorted((k or 0, group(t)) for k, t, _ in kept) == [(0, "c"), (0, "e"), (1, "a"), (1, "b"), (4, ""), (7, "c")]
+        # of rows with the same id and text the smallest
+    alike = [(7, c, 6), (7, c, 5), (7, c, 5), (8, c + " z", 1)]
+    assert [tuple(r) for r in jaccard.keep_one(spark.createDataFrame(alike, "doc_id long, text string, n long").repartition(3)).collect()] == [(7, c, 5)]
+
+
 # ---- repeated strings ----
 
 
