@@ -4,6 +4,9 @@ A language reference is the histogram of character classes and of common words o
 documents that name the language.  A document is kept when, for some reference, the
 Jensen-Shannon distance of both its histograms is small.  Everything is DataFrame code; the
 measures of a document are taken within its row, so nothing but the references is shuffled.
+
+The languages in COMMON have fixed common words.  Any other language has its own reference, with its most
+frequent words, for the documents that name it; the verdict on all others doesn't depend on it.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ import math
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import SPACE, bind, fresh, table, words, written
@@ -31,6 +35,8 @@ VOCABULARY = sorted(set().union(*COMMON.values()))
 ENDS = ".,;:!?"
 SPELLED = sorted({f for v in VOCABULARY for f in (v, v.capitalize(), v.upper())})
 FORMS = [f + e for f in SPELLED for e in ("", *ENDS)]
+#: As many frequent words of a language without a list make its reference.
+MOST_FREQUENT = 50
 CLASSES = ("upper", "digit", "symbol", "mark", "other", "wide")
 WINDOW = 8
 MIN_WORDS, MAX_REPEATED = 20, 30
@@ -91,12 +97,47 @@ def measure(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, s
     c, chars = F.col(name["classes"]), F.col(name["word_chars"])
     rest = chars - sum((F.get(c, F.lit(i)) for i in range(4)), F.lit(0).cast("long"))
     out = out.withColumn(name["classes"], F.concat(F.slice(c, 1, 4), F.array(rest), F.slice(c, 5, 1)))
-    x = F.col(name["common"])
-    counts = lambda x: F.transform(F.array_distinct(x), lambda v: F.struct(v.alias("w"), (F.size(x) - F.size(F.array_remove(x, v))).cast("long").alias("c")))
-    out = out.withColumn(name["counts"], bind(x, counts))
+    out = out.withColumn(name["counts"], bind(F.col(name["common"]), _counts))
     return out, name
 
 
+def _counts(x: Column) -> Column:
+    return F.transform(F.array_distinct(x), lambda v: F.struct(v.alias("w"), (F.size(x) - F.size(F.array_remove(x, v))).cast("long").alias("c")))
+
+
+def _plain(word: Column) -> Column:
+    """A word in small letters without the one mark after it."""
+    return F.regexp_replace(F.lower(word), f"[{ENDS}]$", "")
+
+
+def _unlisted(lang: str) -> Column:
+    return F.col(lang).isNotNull() & ~F.col(lang).isin(*COMMON)
+
+
+def frequent_words(docs: DataFrame, text: str, lang: str, own: str, listed: str) -> DataFrame:
+    """own: every language of docs without a list in COMMON; listed: its most frequent words, over all documents that name it."""
+    each = docs.where(_unlisted(lang)).select(F.col(lang).alias(own), F.explode(words(F.col(text))).alias("w"))
+    counts = each.groupBy(own, _plain(F.col("w")).alias("w")).agg(F.count(F.lit(1)).alias("c")).where("w <> ''")
+    # Spark cuts each task's rows to the most frequent ones before it deals them out by language
+    best = counts.withColumn("k", F.row_number().over(W.partitionBy(own).orderBy(F.desc("c"), "w"))).where(F.col("k") <= MOST_FREQUENT)
+    return written(best.groupBy(own).agg(F.collect_list("w").alias(listed)), "frequent")
+
+
+def own_references(measured: DataFrame, name: dict[str, str], own: str, counts: str, reference: str) -> DataFrame:
+    """own, reference (classes, shares, other) of every language without a list, as `references` has them for the others."""
+    c = F.col(name["classes"])
+    parts = [F.struct(F.lit(f" {k}").alias("w"), F.get(c, F.lit(i)).alias("c")) for i, k in enumerate(CLASSES)]
+    parts.append(F.struct(F.lit(" n").alias("w"), F.col(name["n_words"]).alias("c")))
+    rows = measured.where(F.col(own).isNotNull()).select(own, F.explode(F.concat(F.col(counts), F.array(*parts))).alias("s"))
+    sums = rows.groupBy(own, F.col("s.w").alias("w")).agg(F.sum("s.c").alias("c"))
+    # a language has at most MOST_FREQUENT words here, and the measures, whose names begin with a space
+    m = sums.groupBy(own).agg(F.map_from_entries(F.collect_list(F.struct("w", "c"))).alias("m")).select(own, "m", F.col("m")[" n"].alias("n"), F.array(*[F.col("m")[f" {k}"] for k in CLASSES]).alias("k")).where("n > 0")
+    total = F.aggregate("k", F.lit(0).cast("long"), lambda a, x: a + x)
+    m = m.select(own, F.transform("k", lambda x: x / total).alias("classes"), F.transform_values(F.map_filter("m", lambda w, _: ~w.startswith(" ")), lambda _, x: x / F.col("n")).alias("shares"))
+    other = F.greatest(F.lit(0.0), 1.0 - F.aggregate(F.map_values("shares"), F.lit(0.0), lambda a, x: a + x))
+    return written(m.select(own, F.struct("classes", "shares", other.alias("other")).alias(reference)), "references")
+
+
 def references(measured: DataFrame, name: dict[str, str], lang: str = "lang") -> dict[str, tuple[list[float], dict[str, float], float]]:
     """Histograms of the languages in COMMON, over all documents: classes, words, and the share of other words.
 
@@ -125,40 +166,64 @@ def _term(p: Column, q: Column) -> Column:
 
 
 def distances(name: dict[str, str], reference) -> tuple[Column, Column]:
-    """Jensen-Shannon distances of a row's classes and common words to a reference."""
+    """Jensen-Shannon distances of a row's classes and common words to a reference, of numbers or of columns."""
     classes, shares, other = reference
     c, n = F.col(name["classes"]), F.greatest(F.col(name["n_words"]), F.lit(1)).cast("double")
     total = F.greatest(F.col(name["word_chars"]) + F.get(c, F.lit(len(CLASSES) - 1)), F.lit(1))
     by_class = sum((_term(F.get(c, F.lit(i)) / total, F.lit(q)) for i, q in enumerate(classes)), F.lit(0.0))
-    known = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]) if shares else F.create_map(F.lit(""), F.lit(0.0))
+    if isinstance(shares, Column):
+        known, all_shares = shares, F.aggregate(F.map_values(shares), F.lit(0.0), lambda a, x: a + x)
+    else:
+        known = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]) if shares else F.create_map(F.lit(""), F.lit(0.0))
+        all_shares = F.lit(sum(shares.values()))
     q = lambda s: F.coalesce(F.element_at(known, s["w"]), F.lit(0.0))
     sums = F.aggregate(F.col(name["counts"]), F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q")), lambda a, s: F.struct((a["d"] + _term(s["c"] / n, q(s))).alias("d"), (a["p"] + s["c"] / n).alias("p"), (a["q"] + q(s)).alias("q")))
-    word = F.get(F.transform(F.array(sums), lambda a: a["d"] + _term(F.greatest(F.lit(0.0), 1.0 - a["p"]), F.lit(other)) + F.greatest(F.lit(0.0), F.lit(sum(shares.values())) - a["q"]) / 2.0), F.lit(0))
+    word = F.get(F.transform(F.array(sums), lambda a: a["d"] + _term(F.greatest(F.lit(0.0), 1.0 - a["p"]), F.lit(other)) + F.greatest(F.lit(0.0), all_shares - a["q"]) / 2.0), F.lit(0))
     return F.sqrt(F.greatest(by_class, F.lit(0.0))), F.sqrt(F.greatest(word, F.lit(0.0)))
 
 
+def _near(name: dict[str, str], reference) -> Column:
+    """Whether both distances to a reference pass."""
+    by_class, by_word = distances(name, reference)
+    return ((F.col(name["word_chars"]) < GUARD_CHARS) | (by_class <= MAX_CLASS_DISTANCE)) & ((F.col(name["n_words"]) < GUARD_WORDS) | (by_word <= F.lit(MAX_WORD_DISTANCE) + F.lit(CHANCE) / F.sqrt(F.greatest(F.col(name["n_words"]), F.lit(1)).cast("double"))))
+
+
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", without: tuple[str, ...] = ()) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept.
 
     Columns of docs with these names are replaced; those in `without` are left out of the result.  A null or empty text has no words and fails
-    the base rules.  A null or unlisted language adds to no reference, but the text is compared
-    with all of them; where there is none (an empty table), the base rules decide.  Texts under
+    the base rules.  A text is compared with the references of the languages in COMMON, one that names
+    another language also with that language's; a null language adds to no reference.  Where there
+    is none (an empty table), the base rules decide.  Texts under
     the guards aren't judged by the histogram in question.  Repeated rows are judged alike.
     """
-    own = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in (*own, "base_failed", "kept")])
+    shown = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in (*shown, "base_failed", "kept")])
+    given, own = docs, None
+    if docs.where(_unlisted(lang)).select(lang).take(1):
+        own, listed, counts, reference = (fresh(docs, f"qo_{k}") for k in ("lang", "listed", "counts", "reference"))
+        docs = docs.join(frequent_words(docs, text, lang, own, listed), F.col(lang) == F.col(own), "left")
     measured, name = measure(docs, text)
+    if own:
+        spelled = F.filter(F.transform(F.col(name["words"]), _plain), lambda v: F.array_contains(F.col(listed), v))
+        measured = measured.withColumn(counts, F.when(F.col(own).isNotNull(), bind(spelled, _counts))).drop(listed)
     # both the references and the verdicts need the measures; what they are made of isn't kept
     measured = written(measured.drop(name["text"], name["words"], name["common"], *without), "measured")
-    docs = docs.drop(*without)
+    docs = given.drop(*without)
     kept = F.lit(False)
     found = references(measured, name, lang)
-    for _, reference in sorted(found.items()):
-        by_class, by_word = distances(name, reference)
-        kept |= ((F.col(name["word_chars"]) < GUARD_CHARS) | (by_class <= MAX_CLASS_DISTANCE)) & ((F.col(name["n_words"]) < GUARD_WORDS) | (by_word <= F.lit(MAX_WORD_DISTANCE) + F.lit(CHANCE) / F.sqrt(F.greatest(F.col(name["n_words"]), F.lit(1)).cast("double"))))
-    out = measured.select(*docs.columns, *[F.col(name[c]).alias(c) for c in own], (kept if found else F.lit(True)).alias("kept"))
+    for _, reference_ in sorted(found.items()):
+        kept |= _near(name, reference_)
+    kept = kept if found else F.lit(True)
+    if own:
+        of = own_references(measured, name, own, counts, reference)
+        measured = measured.join(of.withColumnRenamed(own, f"{own}_of"), F.col(own) == F.col(f"{own}_of"), "left")
+        r = F.col(reference)
+        near = _near(name | {"counts": counts}, ([F.get(r["classes"], F.lit(i)) for i in range(len(CLASSES))], r["shares"], r["other"]))
+        kept = F.when(F.col(own).isNull(), kept).when(r.isNull(), F.lit(True)).otherwise((kept if found else F.lit(False)) | near)
+    out = measured.select(*docs.columns, *[F.col(name[c]).alias(c) for c in shown], kept.alias("kept"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    return out.select(*docs.columns, *own, failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"))
+    return out.select(*docs.columns, *shown, failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Operators that SQL can express, against it; and their edge cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +103,26 @@ def test_rules_keep_clashing_columns_and_no_rows(spark):
     assert quality_rules.judge(d.limit(0)).count() == 0
 
 
+def test_rules_keep_documents_of_any_language(spark, sf):
+    """Clean texts of unlisted languages stay, junk that names one goes, and no other verdict changes."""
+    r = random.Random(3)
+    letters = {"xa": "aeioklmnprstvu", "xb": "абвгдеиклмнопрст"}
+    rows = []
+    for lang, of in letters.items():
+        w = ["".join(r.choice(of) for _ in range(r.randrange(2, 9))) for _ in range(2000)]
+        for i in range(40):
+            rows.append((f"{lang}{i}", " ".join(r.choices(w, [1 / (k + 1) for k in range(len(w))], k=300)).capitalize() + ".", lang))
+        rows.append((f"{lang}junk", " ".join("".join(r.choice("#$%0123456789ABCDEFX") for _ in range(6)) for _ in range(300)), lang))
+    given = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang")
+    plain = {x["doc_id"]: x["kept"] for x in quality_rules.judge(given).collect()}
+    for corpus in (spark.createDataFrame(rows, given.schema), given.unionByName(spark.createDataFrame(rows, given.schema)).repartition(4)):
+        out = quality_rules.judge(corpus)
+        assert out.columns[:3] == ["doc_id", "text", "lang"]
+        kept = {x["doc_id"]: x["kept"] for x in out.collect()}
+        assert {k for k, _, _ in rows if not kept[k]} == {"xajunk", "xbjunk"}
+    assert {k: kept[k] for k in plain} == plain
+
+
 def test_model_of_odd_rows(spark):
     d = spark.createDataFrame(ODD, SCHEMA)
     labels = spark.createDataFrame([(1, 1), (1, 0), (4, 0), (None, 1), (3, None)], "doc_id long, quality int")
