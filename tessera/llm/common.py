@@ -9,9 +9,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import files
+
 #: ASCII white space that separates words.
 SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+_SCRATCH: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,13 +24,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new path under the folder that the driver and all executors share.
 
-    The cluster names that folder in spark.checkpoint.dir; only where it is unset
-    (local tests) a folder of this machine is taken.
+    The cluster names that folder in spark.checkpoint.dir.  Only a session of one machine may leave it
+    unset and gets a temporary folder; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = f"file://{os.path.join(tempfile.gettempdir(), 'tessera-shared')}"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def discard(keep: DataFrame | None = None) -> None:
+    """Delete the scratch folders handed out so far, but for those that `keep` reads: for callers whose results need no others."""
+    read = keep.inputFiles() if keep is not None else []
+    for path in list(_SCRATCH):
+        if not any(path.rpartition("/")[2] in f for f in read):
+            files.remove(path)
+            _SCRATCH.remove(path)
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
@@ -37,6 +53,20 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(scan: DataFrame) -> DataFrame:
+    """A scan of fewer files than the session has cores, dealt to all of them; others stay as they are.
+
+    For work that costs much per row: a table in one small file would otherwise be one task.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if 0 < len(scan.inputFiles()) < cores else scan
+
+
+def tasks_for(spark: SparkSession, size: int, each: int = 128 << 20) -> int:
+    """How many partitions to deal work of `size` bytes to: about `each` in one, but all cores get some."""
+    return max(spark.sparkContext.defaultParallelism, -(-size // each))
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; null counts as empty."""
     plain = F.translate(F.coalesce(text, F.lit("")), SPACE, " " * len(SPACE))

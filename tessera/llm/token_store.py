@@ -16,6 +16,7 @@ uint32 if there are more than 65,536).
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -31,14 +32,22 @@ from pyspark.sql import functions as F
 from ..session import ship
 from . import files
 from .arrays import pieces
-from .common import shared_dir, table, written
+from .common import shared_dir, table, tasks_for, written
 
 MAGIC = b"TSRPAIR2"
 END = 1
 SHARD_TOKENS = 4_000_000
 MIN_COUNT = 16
+#: Bytes of ids that one task reads back.
+READ_BYTES = 128 << 20
 CACHED_WORDS, CHUNK = 1_000_000, 2_000_000
 _LETTER = np.isin(np.arange(256), np.arange(97, 123))
+#: How a tokenizer has to treat texts so that words can be encoded one by one.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+KNOWN_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>"}
 INDEX = "part int, seq int, file string, n_docs long, n_tokens long"
 DOCS = "file string, place long, doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -55,7 +64,8 @@ class Encoder:
     The tokenizer drops white space, makes letters small and separates letters from marks, so a text's
     ids are those of its words in order, split at spaces, at line ends and before a comma or stop
     behind a letter.  Each word is encoded by the library once and kept, up to CACHED_WORDS of them.
-    Texts that may hold special tokens are encoded whole.
+    Texts that may hold special tokens are encoded whole.  So are all texts if the file describes any other
+    normalizer, splitting or model than KNOWN, with which a word's ids might depend on what is around it.
     """
 
     def __init__(self, path: str, end: int = END):
@@ -63,6 +73,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library, self.end = Tokenizer.from_file(path), end
+        described = json.loads(self.library.to_str())
+        self.by_word = all(described.get(k) == v for k, v in KNOWN.items()) and all(described["model"].get(k) == v for k, v in KNOWN_MODEL.items()) and all(t["content"].startswith("<|") for t in described["added_tokens"])
         self.closes = np.zeros(self.library.get_vocab_size(), bool)
         for word, i in self.library.get_vocab().items():
             self.closes[i] = word.endswith("</w>")
@@ -107,7 +119,7 @@ class Encoder:
             self.clear()
         whole = {}
         for k, t in enumerate(texts):
-            if b"<|" in t:
+            if b"<|" in t or not self.by_word:
                 whole[k] = b"\n" + t
                 if whole[k] not in self.place:
                     ids = np.array(self.library.encode(t.decode(), add_special_tokens=False).ids, np.int64)
@@ -359,10 +371,14 @@ def write(docs: DataFrame, path: str | None = None, text: str = "text", key: str
     return written(rows.mapInArrow(store, INDEX), "shards")
 
 
-def read(index: DataFrame) -> DataFrame:
-    """Per document: file, place in it, doc_id, start (ids before it in all shards), n_tokens, ids_crc32."""
+def read(index: DataFrame, read_bytes: int = READ_BYTES) -> DataFrame:
+    """Per document: file, place in it, doc_id, start (ids before it in all shards), n_tokens, ids_crc32.
+
+    Shards are dealt to tasks by the ids they hold, not by the index's own size.
+    """
     order = W.orderBy("part", "seq")  # one row per shard
     index = index.withColumn("start", F.sum("n_tokens").over(order) - F.col("n_tokens"))
+    size = index.agg(F.sum("n_tokens")).first()[0] or 0
 
     def fetch(batches):
         for b in batches:
@@ -375,10 +391,11 @@ def read(index: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(ids[t[i] : t[i + 1]].tobytes()) for i in range(n)]
                 yield pa.RecordBatch.from_arrays([pa.array([uri] * n), pa.array(np.arange(n)), pa.array(shard.doc_ids, pa.int64()), pa.array(start + t[:-1]), pa.array(np.diff(t)), pa.array(crc, pa.int64())], ["file", "place", "doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return index.select("file", "start").repartition("file").mapInArrow(fetch, DOCS)
+    return index.select("file", "start").repartitionByRange(tasks_for(index.sparkSession, 4 * size, read_bytes), "start").mapInArrow(fetch, DOCS)
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of all documents' ids, written and read back: a row per document."""
     return read(write(table(spark, sf_dir, "documents"))).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -20,9 +20,15 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from . import files
-from .common import shared_dir, table, written
+from .common import shared_dir, table, tasks_for, written
 
 MIN_REVISIT = 1000
+#: Up to this many digests of repeated payloads (some 100 bytes each) are sent to every executor.
+BROADCAST_COPIES = 200_000
+#: Beyond, payloads meet them by digest and one of so many parts, so a popular page isn't one task's.
+SALTS = 32
+#: Bytes of archives that one task reads.
+READ_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "page_id long, url string, file string, offset long, length long, payload_digest string, payload_bytes long, record_type string, refers_to long"
@@ -70,7 +76,8 @@ def write(pages: DataFrame, folder: str | None = None, min_revisit: int = MIN_RE
     Equal payloads of at least min_revisit bytes: those with the largest page_id are responses (all
     rows that repeat that id), the others revisit it; if all their ids are null, all are responses.
     A null html is an empty payload; a null URL is left out of the record.  An empty table has
-    an empty index.  Of the payloads, only the digests are shuffled.
+    an empty index.  Repeated rows have a record each.  Only digests are shuffled while those of repeated
+    payloads can be broadcast; beyond BROADCAST_COPIES payloads are too, by digest and part.
     """
     folder = folder or shared_dir(ship(pages.sparkSession))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
@@ -79,7 +86,13 @@ def write(pages: DataFrame, folder: str | None = None, min_revisit: int = MIN_RE
     copies = large.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("first")).where("n > 1")
     copies = written(copies.select("digest", "first"), "copies")
     first = F.when((F.octet_length("payload") >= min_revisit) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    rows = rows.join(copies, "digest", "left").select("page_id", "url", "payload", "digest", first.alias("refers_to"))
+    if copies.count() <= BROADCAST_COPIES:
+        rows = rows.join(F.broadcast(copies), "digest", "left")
+    else:
+        part = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+        copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", part).join(copies, ["digest", "salt"], "left")
+    rows = rows.select("page_id", "url", "payload", "digest", first.alias("refers_to"))
 
     def archive(batches):
         out, uri, at = None, "", 0
@@ -101,8 +114,12 @@ def write(pages: DataFrame, folder: str | None = None, min_revisit: int = MIN_RE
     return written(rows.mapInArrow(lambda b: archive(x for x in b if x.num_rows), INDEX), "index")
 
 
-def read(index: DataFrame) -> DataFrame:
-    """The records that rows of an index name, from their archives."""
+def read(index: DataFrame, each: int = READ_BYTES) -> DataFrame:
+    """The records that rows of an index name, from their archives.
+
+    Sorted by file and offset, they are dealt to tasks by the bytes to read, about `each` in one, not by the index's own size.
+    A record that is named twice is read twice; an empty index gives an empty result.
+    """
 
     def fetch(batches):
         def places():
@@ -121,10 +138,12 @@ def read(index: DataFrame) -> DataFrame:
         if found:
             yield pack(found)
 
-    return index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(fetch, RECORD)
+    size = index.agg(F.sum("length")).first()[0] or 0
+    return index.select("file", "offset", "length").repartitionByRange(tasks_for(index.sparkSession, size, each), "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(fetch, RECORD)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages, written and read back: a row per page."""
     return read(write(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
