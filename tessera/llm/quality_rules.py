@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, bind, fresh, table, words, written
+from .common import SPACE, bind, dealt, fresh, table, words, written
 
 SYMBOLS = "#*$%&|<>"
 #: Other ASCII marks, by rule.
@@ -53,8 +53,8 @@ def _without(text: Column, chars: str) -> Column:
 def repeated_words(w: Column, n: Column, window: int = WINDOW) -> Column:
     """Words in windows that the text holds twice or more.
 
-    Each window is hashed to 64 bits.  Only where two are equal, the hashes, cut to leave
-    room for the window's place, are sorted and neighbours compared.
+    Each window is hashed to 64 bits.  Only where two are equal, the hashes are sorted along with
+    their places and neighbours compared.
     """
     found = bind(F.transform(w, lambda x: F.xxhash64(x)), lambda h: _covered(h, F.size(h), window))
     return F.when(n > window, found).otherwise(F.lit(0)).cast("long")
@@ -62,19 +62,17 @@ def repeated_words(w: Column, n: Column, window: int = WINDOW) -> Column:
 
 def _covered(hashes: Column, n: Column, window: int) -> Column:
     lanes = F.transform(F.sequence(F.lit(1), n - (window - 1)), lambda i: F.xxhash64(F.slice(hashes, i, window)))
-    mask = (F.lit(1).cast("long") * F.pow(F.lit(2.0), F.ceil(F.log2(n.cast("double"))) + 1).cast("long")) - 1
 
     def marked(s: Column) -> Column:
-        same = lambda a, b: F.coalesce((F.get(s, a).bitwiseAND(F.bitwise_not(mask))) == (F.get(s, b).bitwiseAND(F.bitwise_not(mask))), F.lit(False))
-        twice = F.filter(s, lambda x, i: same(i, i + 1) | same(i, i - 1))
-        return F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(mask)))
+        same = lambda x, i: F.coalesce(F.get(s, i)["h"] == x["h"], F.lit(False))
+        return F.sort_array(F.transform(F.filter(s, lambda x, i: same(x, i + 1) | same(x, i - 1)), lambda x: x["i"]))
 
     def total(p: Column) -> Column:
-        steps = F.transform(p, lambda x, i: F.least(F.lit(window).cast("long"), F.coalesce(F.get(p, i + 1) - x, F.lit(window).cast("long"))))
+        steps = F.transform(p, lambda x, i: F.least(F.lit(window), F.coalesce(F.get(p, i + 1) - x, F.lit(window))).cast("long"))
         return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    packed = lambda g: F.sort_array(F.transform(g, lambda h, i: h.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long"))))
-    return bind(lanes, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0).cast("long")).otherwise(bind(packed(g), lambda s: bind(marked(s), total))))
+    placed = lambda g: F.sort_array(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return bind(lanes, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0).cast("long")).otherwise(bind(placed(g), lambda s: bind(marked(s), total))))
 
 
 def measure(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
@@ -203,7 +201,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", without: tupl
     if docs.where(_unlisted(lang)).select(lang).take(1):
         own, listed, counts, reference = (fresh(docs, f"qo_{k}") for k in ("lang", "listed", "counts", "reference"))
         docs = docs.join(frequent_words(docs, text, lang, own, listed), F.col(lang) == F.col(own), "left")
-    measured, name = measure(docs, text)
+    measured, name = measure(dealt(docs), text)
     if own:
         spelled = F.filter(F.transform(F.col(name["words"]), _plain), lambda v: F.array_contains(F.col(listed), v))
         measured = measured.withColumn(counts, F.when(F.col(own).isNotNull(), bind(spelled, _counts))).drop(listed)
@@ -227,6 +225,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", without: tupl
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's measures and verdicts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return judge(docs, without=("text",)).drop("lang")
 
