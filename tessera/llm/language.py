@@ -157,6 +157,7 @@ def held_out(key: Column, of: int, rest: int) -> Column:
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language and score, learned from those that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id"), 3, 1))
     learned = [tuple(r) for r in profiles(docs.where("NOT held_out")).collect()]
     return identify(docs.select("doc_id", "held_out", "text"), learned).drop("text")

@@ -81,12 +81,17 @@ def mix(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_i
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.size(words(F.col("text"))).alias("n"))
+    """Every document's size, its source's target and what the mix takes of it."""
+    # written, since the range shuffle reads its input twice and words would be counted twice
+    docs = written(table(spark, sf_dir, "documents").select("doc_id", "source", F.size(words(F.col("text"))).alias("n")), "sizes")
     return mix(docs, F.col("n")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def emit(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The mixed corpus itself: the columns of docs, whatever their names, a row as often as it is taken."""
+    """The mixed corpus itself: the columns of docs, whatever their names, a row as often as it is taken.
+
+    Nulls, repeated rows and empty tables: as `mix` has them; texts without words are never taken.
+    """
     name = {c: f"c{i}_{c}" for i, c in enumerate(docs.columns)}
     plain = docs.select([docs[c].alias(x) for c, x in name.items()] + [F.size(words(docs[text])).alias("mix_words")])
     mixed = mix(plain, F.col("mix_words"), name[source], name[key], **options).where("copies > 0")

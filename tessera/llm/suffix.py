@@ -32,6 +32,7 @@ from .common import fresh, table, written
 LENGTH, K = 200, 64
 CHUNK = 1 << 20  # bytes of contexts in one transform
 MOST_CONTEXTS = 20_000  # of one anchor in one transform; beyond, strings are compared one by one
+MOST_MET = 1_000_000  # texts that a task remembers
 _PLACE = np.uint64((1 << 24) - 1)
 _MEMBER = np.dtype([("key", "S16"), ("lo", "<i4"), ("hi", "<i4")])
 
@@ -63,11 +64,26 @@ def anchors(data: np.ndarray, starts: np.ndarray, length: int, k: int) -> tuple[
 
 
 def _find(length: int, k: int):
-    """Rows of anchors: equal (hash, context) of a piece together, with their members (text, from, to)."""
+    """Rows of anchors: equal (hash, context) of a piece together, with their members (text, from, to).
+
+    A task tells of a text at most twice, however many copies it meets: more would change nothing.
+    """
     reach = length - k
 
     def run(batches):
+        met: dict[bytes, int] = {}
         for b in pieces(batches, most=1 << 20):
+            if len(met) > MOST_MET:
+                met.clear()
+            own = []
+            for i, key in enumerate(b.column(0).to_pylist()):
+                met[key] = n = met.get(key, 0) + 1
+                if n <= 2:
+                    own.append(i)
+            if not own:
+                continue
+            if len(own) < b.num_rows:
+                b = b.take(pa.array(own))
             texts = [t or b"" for t in b.column(1).to_pylist()]
             data, starts = joined(texts)
             # a text beyond 16 MB is taken in steps that overlap by what a string can cover
@@ -234,10 +250,11 @@ def _transform(length: int, chunk: int):
 def spans(texts: DataFrame, length: int = LENGTH, k: int = K, chunk: int = CHUNK, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """key, span of repeated strings; texts has key (the text's md5) and data (its bytes)."""
     ship(texts.sparkSession)
-    found = texts.mapInArrow(_find(length, k), "hash long, context long, m long, members binary").repartition("hash")
-    one, all_ = W.partitionBy("hash", "context"), W.partitionBy("hash")
-    found = found.withColumn("n", F.sum("m").over(one)).withColumn("first", F.min("context").over(all_)).withColumn("last", F.max("context").over(all_)).withColumn("contexts", F.count(F.lit(1)).over(all_))
-    found = written(found.where("n > 1 OR first <> last").select("hash", "context", "members", "n", (F.col("first") != F.col("last")).alias("differ"), "contexts"), "anchors")
+    every = written(texts.mapInArrow(_find(length, k), "hash long, context long, m long, members binary"), "every")
+    # counts are summed up in each task before the shuffle; what they say of an anchor is joined to its members, whose hot ones Spark splits
+    each = every.groupBy("hash", "context").agg(F.sum("m").alias("n"))
+    told = each.groupBy("hash").agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("contexts")).where("most > 1 OR contexts > 1")
+    found = written(every.join(told, "hash").join(each.where("n > 1"), ["hash", "context"], "left").where("n > 1 OR contexts > 1").select("hash", "context", "members", F.coalesce("n", F.lit(1)).alias("n"), (F.col("contexts") > 1).alias("differ"), "contexts"), "anchors")
     whole = found.where("n > 1").select("members").mapInArrow(_spans, "key binary, span long")
     ask = found.where("differ").groupBy("hash", "context").agg(F.min(F.substring("members", 1, _MEMBER.itemsize)).alias("m"), F.max("contexts").alias("contexts"))
     ask = ask.select("hash", "context", (F.col("contexts") > most_contexts).alias("large"), F.substring("m", 1, 16).alias("key"), _int(F.col("m"), 17).alias("lo"), _int(F.col("m"), 21).alias("hi"))
@@ -336,6 +353,7 @@ def remove(docs: DataFrame, text: str = "text", length: int = LENGTH, **options)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated strings of 200 bytes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 

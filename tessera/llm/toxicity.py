@@ -1,9 +1,10 @@
 """Toxicity by the nearest labelled examples.
 
-Examples are TF-IDF vectors over the words and word beginnings that speak most for one label.
-They lie in an inverted index whose postings are cut into blocks of examples; each term knows
+Examples are TF-IDF vectors over all words and word beginnings that, in the labelled sample, go with
+label 1 beyond chance; document frequencies are counted over all documents.  The vectors
+lie in an inverted index whose postings are cut into blocks of examples; each term knows
 its largest weight in every block.  A text's bound for a block is the sum of its weights times
-these; blocks whose bound is below the k-th best cosine so far are passed over, so the k nearest
+these; blocks whose bound is below the k-th best cosine so far aren't read, so the k nearest
 are exact.  Votes are weighted by cosine and by how many labelled rows an example stands for, and
 then calibrated on the examples themselves, each judged without itself.
 """
@@ -17,14 +18,16 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .arrays import Spans, joined, pieces, runs, split
-from .common import table
+from .common import table, written
 from .language import held_out
 
-#: The documented bounds of the labelled sample, by label, and of the vocabulary.
-EXAMPLES, TERMS = {1: 5000, 0: 7000}, 768
+#: The documented bounds of the labelled sample, by label.
+EXAMPLES = {1: 5000, 0: 7000}
 BEGINNINGS = (4, 5, 6, 7, 8)  # bytes
 NEIGHBOURS, BLOCK, FIRST_BLOCKS, PRIOR_VOTES = 15, 64, 4, 0.5
-MIN_EXAMPLES = 4
+#: A term goes with label 1 if its share there is so many times as large and the log-likelihood gain of knowing it, in nats,
+#: is so large: by chance, about one term in ten billion reaches that.
+MIN_GAIN, MIN_RATIO = 20.0, 2.0
 _SEPARATES = np.array([not (chr(i).isalnum() if i < 128 else True) for i in range(256)])
 
 
@@ -64,8 +67,11 @@ class Index:
         doc, term, value = self._weighted(doc, term, count)
         order = np.lexsort((doc, term))
         self.example, self.value, of = doc[order], value[order], term[order]
-        self.begin = np.searchsorted(of, np.arange(len(vocabulary) + 1))
         self.blocks = -(-max(1, len(ids)) // BLOCK)
+        #: where the postings of a term in a block begin; the last column is the term's end
+        at = of * self.blocks + self.example // BLOCK
+        edge = np.searchsorted(at, np.arange(len(vocabulary) * self.blocks + 1))
+        self.begin = np.concatenate([edge[:-1].reshape(-1, self.blocks), edge[self.blocks :: self.blocks, None]], axis=1)
         self.largest = np.zeros((len(vocabulary), self.blocks))
         np.maximum.at(self.largest, (of, self.example // BLOCK), self.value)
         total = float(weights.sum())
@@ -83,36 +89,39 @@ class Index:
 
     def vectors(self, texts: list):
         """(text, term of the vocabulary, weight) of texts, each of length 1."""
+        return self._weighted(*self.counts(texts))
+
+    def counts(self, texts: list):
+        """(text, term of the vocabulary, how often) of texts."""
         doc, found = terms(texts)
         maybe = self.known[found & 0xFFFF]
         doc, found = doc[maybe], found[maybe]
         at = np.searchsorted(self.vocabulary, found)
         there = (at < len(self.vocabulary)) & (self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] == found) if len(self.vocabulary) else np.zeros(len(found), bool)
-        return self._weighted(*_counted(doc[there], at[there]))
+        return _counted(doc[there], at[there])
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, without: int = -1, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine above 0 (ties: the first), and their cosines."""
         bound = weight @ self.largest[term]
         first = np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]
-        at = np.concatenate([np.arange(self.begin[t], self.begin[t + 1]) for t in term])
-        part = np.repeat(weight, self.begin[term + 1] - self.begin[term]) * self.value[at]
-        example = self.example[at]
-        chosen = np.zeros(self.blocks, bool)
-        chosen[first] = True
-        own = chosen[example // BLOCK]
-        who, cosine = self._sums(example[own], part[own], without)
+        first = first[bound[first] > 0]
+        who, cosine = self._sums(term, weight, first, without)
         least = np.partition(cosine, -k)[-k] if len(cosine) >= k else 0.0
-        more = (bound >= least - 1e-9) & (bound > 0) & ~chosen
+        more = (bound >= least - 1e-9) & (bound > 0)
+        more[first] = False
         if more.any():
-            own = more[example // BLOCK]
-            others, theirs = self._sums(example[own], part[own], without)
+            others, theirs = self._sums(term, weight, np.flatnonzero(more), without)
             who, cosine = np.concatenate([who, others]), np.concatenate([cosine, theirs])
         best = np.lexsort((who, -np.round(cosine, 9)))[:k]
         return who[best], cosine[best]
 
-    def _sums(self, example, part, without):
-        who, back = np.unique(example, return_inverse=True)
-        cosine = np.bincount(back, part, len(who))
+    def _sums(self, term, weight, blocks, without):
+        """The cosines of the examples of some blocks, from their postings alone."""
+        a, n = self.begin[term[:, None], blocks], self.begin[term[:, None], blocks + 1] - self.begin[term[:, None], blocks]
+        part, a, n = np.repeat(weight, n.sum(1)), a.ravel(), n.ravel()
+        at = np.arange(len(part)) + np.repeat(a - (np.cumsum(n) - n), n)
+        who, back = np.unique(self.example[at], return_inverse=True)
+        cosine = np.bincount(back, part * self.value[at], len(who))
         return (who[who != without], cosine[who != without]) if without >= 0 else (who, cosine)
 
     def vote(self, term, weight, without: int = -1) -> tuple[float, np.ndarray]:
@@ -147,10 +156,11 @@ def _logit(p):
     return np.log(p / (1 - p))
 
 
-def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", bounds: dict[int, int] = EXAMPLES, n_terms: int = TERMS) -> Index:
-    """An index of labelled documents: of each label, at most bounds[label] rows, the first by the md5 of their key.
+def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", bounds: dict[int, int] = EXAMPLES, min_gain: float = MIN_GAIN) -> Index:
+    """An index of labelled documents: of each label, at most bounds[label] keys, the first by the md5 of their key.
 
-    Rows without key or label are ignored; a key with several labels counts as 1 if one of them is.
+    Rows without key or label are ignored; a key with several labels counts as 1 if one of them is; of several
+    texts of a key the smallest stands for it.  Document frequencies are counted over all rows of docs.
     """
     marks = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("label"))
     sizes = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
@@ -158,7 +168,8 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     chosen = [r for k, most in sorted(bounds.items()) for r in marks.where(F.col("label") == k).orderBy(order, "key").limit(most).collect()]
     spark = ship(docs.sparkSession)
     sample = spark.createDataFrame([(r["key"], r["label"]) for r in chosen], "key long, label int")
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(sample), "key")  # at most sum(bounds) rows
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(sample), "key")  # at most sum(bounds) keys
+    rows = written(rows.groupBy("key", "label").agg(F.min("text").alias("text")), "examples")
 
     def count(batches):
         parts = {0: [], 1: []}
@@ -176,31 +187,39 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
                 yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(np.full(len(at), k, np.int32)), pa.array(n[a : a + 200_000])], ["term", "label", "n"])
 
     rows = rows.select("key", "text", "label")
-    found = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    found = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n1, n0 = found.get(1, 0), found.get(0, 0)
     df = rows.mapInArrow(count, "term long, label int, n long").groupBy("term").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b"))
     # the log-likelihood gain of knowing the term, where it speaks for label 1
     p1, p0, p = F.col("a") / float(max(n1, 1)), F.col("b") / float(max(n0, 1)), (F.col("a") + F.col("b")) / float(max(n1 + n0, 1))
-    side = lambda k, q: F.when(k > 0, k * F.log(q / p)).otherwise(0.0)
-    gain = side(F.col("a"), p1) + side(F.col("b"), p0)
-    best = df.where((F.col("a") >= MIN_EXAMPLES) & (p1 > 2 * p0)).withColumn("gain", gain).orderBy(F.col("gain").desc(), "term").limit(n_terms).collect()
-    best = sorted(best, key=lambda r: r["term"])
-    vocabulary = np.array([r["term"] for r in best], np.int64)
-    idf = np.log((n1 + n0 + 1) / np.array([r["a"] + r["b"] + 1 for r in best])) if best else np.zeros(0)
-    bare = Index(vocabulary, idf, [], np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    side = lambda k, n, q: F.when(k > 0, k * F.log(q / p)).otherwise(0.0) + F.when(n - k > 0, (n - k) * F.log((1 - q) / (1 - p))).otherwise(0.0)
+    gain = side(F.col("a"), n1, p1) + side(F.col("b"), n0, p0)
+    best = df.where((p1 > MIN_RATIO * p0) & (gain >= min_gain)).select("term").collect()  # some of the sample's terms
+    vocabulary = np.sort(np.array([r["term"] for r in best], np.int64))
+    bare = Index(vocabulary, np.zeros(len(vocabulary)), [], np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    shared = spark.sparkContext.broadcast(bare)
+
+    def frequencies(batches):
+        n, total = 0, np.zeros(len(shared.value.vocabulary), np.int64)
+        for b in pieces(batches):
+            _, at, _ = shared.value.counts(b.column(0).to_pylist())
+            n += b.num_rows
+            total += np.bincount(at, minlength=len(total))
+        own = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(own, -1)), pa.array(np.append(total[own], n))], ["at", "n"])
+
+    every = {r["at"]: r["n"] for r in docs.select(F.col(text).alias("text")).mapInArrow(frequencies, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
+    idf = np.log((every.get(-1, 0) + 1) / np.array([every.get(i, 0) + 1 for i in range(len(vocabulary))])) if len(vocabulary) else np.zeros(0)
 
     def project(batches):
         for b in pieces(batches):
-            doc, found = terms(b.column(1).to_pylist())
-            at = np.minimum(np.searchsorted(bare.vocabulary, found), max(0, len(bare.vocabulary) - 1))
-            there = bare.vocabulary[at] == found if len(bare.vocabulary) else np.zeros(len(found), bool)
-            doc, at, n = _counted(doc[there], at[there])
+            doc, at, n = shared.value.counts(b.column(1).to_pylist())
             start, k = runs(doc)
             of = dict(zip(doc[start].tolist(), zip(start.tolist(), (start + k).tolist(), strict=True), strict=True))
             cut = [of.get(i, (0, 0)) for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([at[s:e].tolist() for s, e in cut], pa.list_(pa.int64())), pa.array([n[s:e].tolist() for s, e in cut], pa.list_(pa.int64()))], ["key", "label", "terms", "counts"])
 
-    examples = sorted(rows.mapInArrow(project, "key long, label int, terms array<long>, counts array<long>").collect(), key=lambda r: (r["key"], r["terms"], r["counts"]))
+    examples = sorted(rows.mapInArrow(project, "key long, label int, terms array<long>, counts array<long>").collect(), key=lambda r: r["key"])
     sampled = {k: max(1, sum(r["label"] == k for r in examples)) for k in (0, 1)}
     weights = np.array([sizes.get(r["label"], 0) / sampled[r["label"]] for r in examples])
     weights = weights / weights.max() if len(weights) else weights
@@ -215,7 +234,7 @@ def score(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
     evidence.  Without examples every score is 0.  Equal texts get equal scores.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("score", "predicted", "evidence")])
-    shared = ship(docs.sparkSession).sparkContext.broadcast(index)  # bounded by EXAMPLES and TERMS
+    shared = ship(docs.sparkSession).sparkContext.broadcast(index)  # bounded by EXAMPLES
     kept = docs.columns
 
     def judge(batches):
@@ -239,6 +258,7 @@ def score(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score, learned from the labelled rows that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 5, 0)).select("doc_id", "toxic")
     index = learn(docs, labels)
