@@ -3,7 +3,7 @@
 1. Equal sets are one class, known by a hash of the set.
 2. Two sets of similarity t share one of the first n - ceil(t n) + 1 members in any order common
    to all.  Members with a hash below BELOW come first, rare ones before frequent ones, then the others by
-   hash; so only the former are counted.  Members of one class alone lead to nothing, and
+   hash; so only the former are counted.  A very frequent one is dealt to many tasks.  Members of one class alone lead to nothing, and
    with enough of them a class is done.  Classes that share one of their first members meet in
    the bucket of the smallest of them.
 3. In a bucket, a tree stands over the sets, ordered by size: nodes hold the union of their sets' bitmaps
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ BITS, FAN = 2048, 8
 #: The share of hashes whose members are counted, as a 63-bit number, and from where on a count makes no difference.
 BELOW, MOST_COUNTED = int(0.4 * (1 << 63)), 1_000_000
 PART = 3000
+#: A token with so many classes in one task is dealt to SALTS more tasks.
+HOT, SALTS = 200, 64
 _SEPARATES = np.isin(np.arange(256), np.frombuffer(SPACE.encode(), np.uint8))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -182,11 +185,17 @@ def _measure(n: int, numerator: int, denominator: int):
     return run
 
 
-def _members(n: int, numerator: int, denominator: int):
-    """(token, class) of the members that are told; a class that this task has met before isn't told again."""
+def _members(n: int, numerator: int, denominator: int, hot: int):
+    """(token, salt, class) of the members that are told; a class that this task has met before isn't told again.
+
+    A token that this task has told of about `hot` classes goes on in parts, by class; that it
+    does is marked by a row without a class where its other rows are.
+    """
 
     def run(batches):
         seen: set = set()
+        marked: set = set()
+        met = np.zeros(1 << 20, np.int64)
         for b in pieces(batches, most=1 << 20):
             tokens, classes = [], []
             for members in sets(b.column(0).to_pylist(), n):
@@ -197,80 +206,73 @@ def _members(n: int, numerator: int, denominator: int):
                     classes.append((c, len(tokens[-1])))
             if len(seen) > 200_000:
                 seen.clear()
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(*np.array(classes, np.int64).T))], ["token", "class"])
+            if not tokens:
+                continue
+            token, class_ = np.concatenate(tokens).view(np.int64), np.repeat(*np.array(classes, np.int64).T)
+            slot = token & (len(met) - 1)
+            met += np.bincount(slot, minlength=len(met))
+            split_ = met[slot] >= hot
+            salt = np.where(split_, 1 + class_ % SALTS, 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(salt), pa.array(class_)], ["token", "salt", "class"])
+            new = [t for t in np.unique(token[split_]).tolist() if t not in marked]
+            if new:
+                marked.update(new)
+                yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([0] * len(new), pa.int32()), pa.nulls(len(new), pa.int64())], ["token", "salt", "class"])
+            if len(marked) > 200_000:
+                marked.clear()
 
     return run
 
 
 def _shared(most: int):
-    """(class, rank, token) of tokens in several classes, from rows sorted by token and class.
+    """(class, rank, token) of tokens in several classes, from rows sorted by token, salt and class, nulls first.
 
-    rank is the number of classes, up to `most`; beyond BELOW it is one more than that.
+    rank is the number of classes, up to `most`, and that for a token in parts; beyond BELOW it is one more.  A row may come twice.
     """
 
-    def ranked(t, c, size):
-        rank = np.where(t < BELOW, np.minimum(size, most), most + 1)
-        return pa.RecordBatch.from_arrays([pa.array(c), pa.array(rank), pa.array(t)], ["class", "rank", "token"])
+    def ranked(t, s, c, mark, large: bool):
+        """large: all these rows are of one token with more than `most` classes."""
+        start = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (s[1:] != s[:-1])]))
+        n = np.diff(start, append=len(t))
+        parted = np.repeat((s[start] > 0) | mark[start] | large, n)
+        size = np.repeat(n, n)
+        own = ~mark & (parted | (size > 1))
+        rank = np.where(t < BELOW, np.where(parted, most, np.minimum(size, most)), most + 1)
+        return pa.RecordBatch.from_arrays([pa.array(c[own]), pa.array(rank[own]), pa.array(t[own])], ["class", "rank", "token"])
 
     def run(batches):
-        t, c, large = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        rows = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool)]
+        large = None
         for b in batches:
-            t, c = np.concatenate([t, b.column(0).to_numpy()]), np.concatenate([c, b.column(1).to_numpy()])
+            got = (b.column(0).to_numpy(), b.column(1).to_numpy(), pa.compute.fill_null(b.column(2), 0).to_numpy(), pa.compute.is_null(b.column(2)).to_numpy(zero_copy_only=False))
+            t, s, c, mark = rows = [np.concatenate(x) for x in zip(rows, got, strict=True)]
             if not len(t):
                 continue
-            own = np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])])
-            t, c = t[own], c[own]
-            last = int(np.searchsorted(t, t[-1]))  # the last token may go on
+            own = np.concatenate([[True], (t[1:] != t[:-1]) | (s[1:] != s[:-1]) | (c[1:] != c[:-1]) | (mark[1:] != mark[:-1])])
+            t, s, c, mark = rows = [x[own] for x in rows]
             if large is not None:  # a token with more than `most` classes, of which some were given out
-                n = int(np.searchsorted(t, large, "right"))
+                n = int(((t == large[0]) & (s == large[1])).sum())
                 if n:
-                    yield ranked(t[:n], c[:n], np.full(n, most))
+                    yield ranked(*(x[:n] for x in rows), True)
                 if n == len(t):
-                    t, c = t[:0], c[:0]
+                    rows = [x[:0] for x in rows]
                     continue
-                t, c, last, large = t[n:], c[n:], last - n, None
-            start, n = runs(t[:last])
-            size = np.repeat(n, n)
-            if (size > 1).any():
-                yield ranked(t[:last][size > 1], c[:last][size > 1], size[size > 1])
-            t, c = t[last:], c[last:]
-            if len(t) > most:
-                yield ranked(t, c, np.full(len(t), most))
-                large = int(t[0])
-                t, c = t[:0], c[:0]
-        if len(t) > 1:
-            yield ranked(t, c, np.full(len(t), len(t)))
+                t, s, c, mark = rows = [x[n:] for x in rows]
+                large = None
+            last = len(t) - int(((t == t[-1]) & (s == s[-1])).sum())  # the last group may go on
+            if last:
+                yield ranked(*(x[:last] for x in rows), False)
+            rows = [x[last:] for x in rows]
+            if len(rows[0]) > most:
+                yield ranked(*rows, True)
+                large = rows[0][0], rows[1][0]
+                rows = [x[:0] for x in rows]
+        if len(rows[0]):
+            yield ranked(*rows, False)
 
     return run
 
 
-def _hubs(batches):
-    """(class, hub) of tokens in several classes, from rows sorted by token and class: the hub is a token's first class."""
-    token = hub = None
-    told = True
-    for b in batches:
-        t, c = b.column(0).to_numpy(), b.column(1).to_numpy()
-        if not len(t):
-            continue
-        start, count = runs(t)
-        first = c[start].copy()
-        carried = token is not None and t[0] == token
-        if carried:
-            first[0] = hub
-        hubs = np.repeat(first, count)
-        other = c != hubs
-        several = np.logical_or.reduceat(other, start)
-        own = first[several]
-        if carried and told:
-            own = own[1:] if several[0] else own
-        told = bool(several[-1]) or (len(start) == 1 and carried and told)
-        token, hub = t[-1], first[-1]
-        pairs = np.unique(np.concatenate([np.stack([c[other], hubs[other]], 1), np.stack([own, own], 1)]), axis=0)
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["class", "hub"])
-
-
 def _deal(n: int):
     """One row per bucket of a text; copies of a text come one after the other, and the first stands for all."""
 
@@ -318,7 +320,7 @@ def _solve(n: int, numerator: int, denominator: int, second: bool):
     return run
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, part: int = PART, most_counted: int = MOST_COUNTED) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, part: int = PART, most_counted: int = MOST_COUNTED, hot: int = HOT) -> DataFrame:
     """id, text_key (xxhash64 of the text), n_shingles, component_id of every row of docs.
 
     Two texts are linked when denominator * |common| >= numerator * |either|.  The component's id is
@@ -326,24 +328,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     other gets null.  A text that is null or has no word is empty and on its own.  Repeated rows
     are alike, so they share a component.  Other columns are ignored; an empty table gives an empty result.
     """
-    found = _rooted(docs, key, text, n, numerator, denominator, part, most_counted)
+    found = _rooted(docs, key, text, n, numerator, denominator, part, most_counted, hot)
     return found.select("id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("component_id"))
 
 
-def _rooted(docs: DataFrame, key: str, text: str, n: int = N, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, part: int = PART, most_counted: int = MOST_COUNTED) -> DataFrame:
+def _rooted(docs: DataFrame, key: str, text: str, n: int = N, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, part: int = PART, most_counted: int = MOST_COUNTED, hot: int = HOT) -> DataFrame:
     """id, text_key, n, root of every row, the root null for texts without words; first, bare: the root's smallest (id, text_key) and, of rows without an id, text_key."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     measured = written(rows.mapInArrow(_measure(n, numerator, denominator), "id long, text_key long, n long, class long, told long"), "classes")
     classes = measured.where("class IS NOT NULL").groupBy("class").agg(F.min("text_key").alias("text_key"), F.min("n").alias("n"), F.min("told").alias("told"))
-    tokens = rows.select("text").mapInArrow(_members(n, numerator, denominator), "token long, class long")
-    shared = tokens.repartition("token").sortWithinPartitions("token", "class").mapInArrow(_shared(most_counted), "class long, rank long, token long")
+    tokens = rows.select("text").mapInArrow(_members(n, numerator, denominator, hot), "token long, salt int, class long")
+    shared = tokens.repartition("token", "salt").sortWithinPartitions("token", "salt", "class").mapInArrow(_shared(most_counted), "class long, rank long, token long")
     # a class looks at as many members as it needs, in order; those of its own come first
-    of = shared.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("rank", "token"))).alias("shared"))  # at most a set's members
+    of = shared.groupBy("class").agg(F.sort_array(F.collect_set(F.struct("rank", "token"))).alias("shared"))  # at most a set's members
     need = F.col("n") - F.ceil(F.col("n") * numerator / F.lit(denominator)) + 1
     look = of.join(classes.select("class", "n", "told"), "class").withColumn("look", (need - (F.col("told") - F.size("shared"))).cast("int")).where("look > 0")
     look = look.select("class", F.explode(F.slice("shared", F.lit(1), F.col("look"))).alias("s")).select(F.col("s.token").alias("token"), "class")
-    pairs = written(look.repartition("token").sortWithinPartitions("token", "class").mapInArrow(_hubs, "class long, hub long").distinct(), "buckets")
+    look = written(look, "looked")
+    hubs = look.groupBy("token").agg(F.min("class").alias("hub"), F.max("class").alias("last")).where("hub <> last").select("token", "hub")
+    pairs = written(look.join(hubs, "token").select("class", "hub").distinct(), "buckets")
     sizes = written(pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > part), "large")
 
     def solve(buckets: DataFrame, second: bool) -> DataFrame:
@@ -404,6 +408,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of shingles and its component."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 

@@ -23,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..session import ship
 from .arrays import Spans, joined, mixed, pieces, runs
@@ -123,6 +122,21 @@ def _spans(batches):
         yield pa.RecordBatch.from_arrays([keys, pa.array(member["lo"].astype(np.int64) << 32 | member["hi"])], ["key", "span"])
 
 
+def _once(batches):
+    """The texts, each once a task."""
+    met: set[bytes] = set()
+    for b in batches:
+        own = []
+        for i, key in enumerate(b.column(0).to_pylist()):
+            if key not in met:
+                met.add(key)
+                own.append(i)
+        if own:
+            yield b if len(own) == b.num_rows else b.take(pa.array(own))
+        if len(met) > MOST_MET:
+            met.clear()
+
+
 def suffixes(symbols: np.ndarray, depth: int) -> np.ndarray:
     """All suffixes in order of their first `depth` symbols: each round sorts by three times as many symbols (twice, in very long arrays)."""
     n = len(symbols)
@@ -250,14 +264,17 @@ def _transform(length: int, chunk: int):
 def spans(texts: DataFrame, length: int = LENGTH, k: int = K, chunk: int = CHUNK, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """key, span of repeated strings; texts has key (the text's md5) and data (its bytes)."""
     ship(texts.sparkSession)
-    every = written(texts.mapInArrow(_find(length, k), "hash long, context long, m long, members binary"), "every")
-    # counts are summed up in each task before the shuffle; what they say of an anchor is joined to its members, whose hot ones Spark splits
-    each = every.groupBy("hash", "context").agg(F.sum("m").alias("n"))
-    told = each.groupBy("hash").agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("contexts")).where("most > 1 OR contexts > 1")
-    found = written(every.join(told, "hash").join(each.where("n > 1"), ["hash", "context"], "left").where("n > 1 OR contexts > 1").select("hash", "context", "members", F.coalesce("n", F.lit(1)).alias("n"), (F.col("contexts") > 1).alias("differ"), "contexts"), "anchors")
-    whole = found.where("n > 1").select("members").mapInArrow(_spans, "key binary, span long")
-    ask = found.where("differ").groupBy("hash", "context").agg(F.min(F.substring("members", 1, _MEMBER.itemsize)).alias("m"), F.max("contexts").alias("contexts"))
-    ask = ask.select("hash", "context", (F.col("contexts") > most_contexts).alias("large"), F.substring("m", 1, 16).alias("key"), _int(F.col("m"), 17).alias("lo"), _int(F.col("m"), 21).alias("hi"))
+    every = texts.mapInArrow(_find(length, k), "hash long, context long, m long, members binary")
+    # what is counted of an anchor is summed up in each task and joined to its members, where Spark splits the hot ones
+    told = every.groupBy("hash").agg(F.sum("m").alias("n"), F.min("context").alias("first"), F.max("context").alias("last")).where("n > 1")
+    found = written(every.join(told, "hash").select("hash", "context", "members", "m", (F.col("first") != F.col("last")).alias("differ")), "anchors")
+    ask = found.where("differ").groupBy("hash", "context").agg(F.min(F.substring("members", 1, _MEMBER.itemsize)).alias("first"), F.sum("m").alias("n"))
+    ask = written(ask, "asked")
+    several = found.where("differ").join(ask.where("n > 1").select("hash", "context"), ["hash", "context"])
+    whole = found.where("NOT differ").select("members").unionByName(several.select("members")).mapInArrow(_spans, "key binary, span long")
+    large = ask.groupBy("hash").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") > most_contexts).select("hash", F.lit(True).alias("large"))
+    m = F.col("first")
+    ask = ask.join(large, "hash", "left").select("hash", "context", F.coalesce("large", F.lit(False)).alias("large"), F.substring(m, 1, 16).alias("key"), _int(m, 17).alias("lo"), _int(m, 21).alias("hi"))
     ask = ask.groupBy("key").agg(F.collect_list(F.struct("hash", "context", "large", "lo", "hi")).alias("asked"))  # at most a text's anchors
 
     def fetch(batches):
@@ -275,7 +292,8 @@ def spans(texts: DataFrame, length: int = LENGTH, k: int = K, chunk: int = CHUNK
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     names, kinds = ["hash", "context", "large", "key", "lo", "data"], (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.binary())
-    contexts = written(texts.select("key", "data").join(ask, "key").select("key", "data", "asked").mapInArrow(fetch, "hash long, context long, large boolean, key binary, lo long, data binary"), "contexts")
+    once = texts.select("key", "data").mapInArrow(_once, "key binary, data binary")
+    contexts = written(once.join(ask, "key").select("key", "data", "asked").mapInArrow(fetch, "hash long, context long, large boolean, key binary, lo long, data binary"), "contexts")
     inside = contexts.where("NOT large").select("hash", "context", "key", "lo", "data").repartition("hash").sortWithinPartitions("hash", "context").mapInArrow(_transform(length, chunk), "key binary, span long")
     # anchors with very many contexts: every string by its hash, in groups that any number of tasks share
     strings = contexts.where("large").dropDuplicates(["hash", "context"]).mapInArrow(_strings(length), "one long, two long, key binary, start long")
