@@ -1,8 +1,17 @@
-"""Helpers on whole DataFrames."""
+"""Helpers on whole DataFrames: dealing out small scans, scratch tables in the shared folder, row numbers."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+import tempfile
+import uuid
+
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+_SCRATCH: list[str] = []
 
 
 def spread(scan: DataFrame) -> DataFrame:
@@ -12,3 +21,57 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new path under the folder that the driver and all executors share.
+
+    The cluster names that folder in spark.checkpoint.dir.  Only a session of one machine may leave it
+    unset and gets a temporary folder; on a cluster that is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = f"file://{os.path.join(tempfile.gettempdir(), 'tessera-shared')}"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def remove(uri: str) -> None:
+    """Delete a folder, if it is there."""
+    system, path = fs.FileSystem.from_uri(uri)
+    if system.get_file_info(path).type == fs.FileType.Directory:
+        system.delete_dir(path)
+
+
+def discard(keep: DataFrame | None = None) -> None:
+    """Delete the scratch folders handed out so far, but for those that `keep` reads: for callers whose results need no others."""
+    read = keep.inputFiles() if keep is not None else []
+    for path in list(_SCRATCH):
+        if not any(path.rpartition("/")[2] in f for f in read):
+            remove(path)
+            _SCRATCH.remove(path)
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut the lineage: write df once as Parquet in the shared folder and read it back."""
+    path = f"{shared_dir(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(rows: DataFrame, order: list, number: str, total: str | None = None) -> DataFrame:
+    """rows with their number (from 0) in an order, and how many there are if `total` is named.
+
+    Numbers come from one range shuffle, written once, and the counts of its partitions, not from one task.
+    """
+    local = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at_", F.monotonically_increasing_id()), "ordered")
+    # the id is the partition's number, then 33 bits for the place in it
+    local = local.withColumn("part_", F.shiftright("at_", 33)).withColumn("at_", F.col("at_").bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = local.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))
+    before = W.orderBy("part_").rowsBetween(W.unboundedPreceding, 0)
+    counts = counts.select("part_", (F.sum("n_").over(before) - F.col("n_")).alias("start_"), F.sum("n_").over(W.partitionBy()).alias("all_"))
+    joined = local.join(F.broadcast(counts), "part_").withColumn(number, F.col("start_") + F.col("at_"))  # a row per partition
+    return (joined.withColumn(total, F.col("all_")) if total else joined).drop("at_", "part_", "start_", "all_")

@@ -49,6 +49,20 @@ def latest(rows: DataFrame, key: list[str], order: Column) -> DataFrame:
     return rows.withColumn("rank_", F.row_number().over(W.partitionBy(*key).orderBy(order.desc()))).where("rank_ = 1").drop("rank_")
 
 
+def running_mean(rows: DataFrame, key: str, order: str, value: str, chunk: int = 4096) -> DataFrame:
+    """rows with running: the mean of their key's values so far, in order of a whole number.
+
+    Rows are summed up within stretches of `chunk` numbers; one row per stretch carries the sums over, so no task has all rows of a key.
+    """
+    part = F.floor(F.col(order) / chunk)
+    sums = rows.groupBy(key, part.alias("chunk_")).agg(F.sum(value).alias("s_"), F.count(value).alias("n_"))
+    before = W.partitionBy(key).orderBy("chunk_").rowsBetween(*PREVIOUS)
+    sums = sums.select(key, "chunk_", F.coalesce(F.sum("s_").over(before), F.lit(0.0)).alias("s_"), F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("n_"))
+    so_far = W.partitionBy(key, "chunk_").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    found = rows.withColumn("chunk_", part).join(sums, [key, "chunk_"])
+    return found.withColumn("running", (F.col("s_") + F.sum(value).over(so_far)) / (F.col("n_") + F.count(value).over(so_far))).drop("chunk_", "s_", "n_")
+
+
 def checkpoint_name(prefix: str, epoch: Column, loss: Column) -> Column:
     return F.format_string(prefix + "-epoch=%02d-ssl_loss=%.2f.ckpt", epoch, loss)
 
@@ -91,8 +105,8 @@ def save_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def running_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean so far within each epoch, as a progress bar shows it."""
-    w = W.partitionBy("epoch").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
-    return steps(spark, sf_dir).where("metric = 'total'").select("epoch", "step", (F.floor(F.avg("value").over(w) * 1e6 + 0.5) / 1e6).alias("running"))
+    found = running_mean(steps(spark, sf_dir).where("metric = 'total'"), "epoch", "step", "value")
+    return found.select("epoch", "step", (F.floor(F.col("running") * 1e6 + 0.5) / 1e6).alias("running"))
 
 
 def log_decimate(spark: SparkSession, sf_dir: str) -> DataFrame:

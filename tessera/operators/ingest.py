@@ -10,10 +10,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import keyed_uniform, uniform_sql
+from ..functions.frames import numbered
 
 #: Endings of image files, in order of preference, and fields of a sample that aren't its image.
 EXTENSIONS = ("jpg", "jpeg", "png", "JPG", "JPEG", "PNG")
-META = ("__key__", "__url__", "__local_path__")
+META = ("__key__", "__url__", "__local_path__", "__corrupted__", "__worker__", "__rank__")
+ENDINGS = (".jpg", ".jpeg", ".png")
 
 
 def substitute(images: DataFrame, key: str, valid: Column, seed: int = 0, buckets: int = 64) -> DataFrame:
@@ -32,10 +34,10 @@ def substitute(images: DataFrame, key: str, valid: Column, seed: int = 0, bucket
     return drawn.withColumn("used", F.when(valid, F.col(key)).otherwise(F.col("other_"))).drop("bucket_", "other_")
 
 
-def image_key(members: Column, lowered=("jpg", "jpeg", "png")) -> Column:
-    """Of the fields of a sample, in their order: the first of EXTENSIONS that is there, else the first field that ends like an image and isn't meta; null if none."""
+def image_key(members: Column) -> Column:
+    """Of the fields of a sample, in their order: the first of EXTENSIONS that is there, else the first that isn't meta and has one of ENDINGS, whatever its case; null if none."""
     first = F.coalesce(*[F.when(F.array_contains(members, e), F.lit(e)) for e in EXTENSIONS])
-    like = lambda m: F.lit(False) | F.lower(m).endswith(lowered[0]) | F.lower(m).endswith(lowered[1]) | F.lower(m).endswith(lowered[2])
+    like = lambda m: F.lower(m).endswith(ENDINGS[0]) | F.lower(m).endswith(ENDINGS[1]) | F.lower(m).endswith(ENDINGS[2])
     return F.coalesce(first, F.get(F.filter(members, lambda m: ~m.isin(*META) & like(m)), F.lit(0)))
 
 
@@ -47,24 +49,16 @@ def resolve(ids: DataFrame, files: DataFrame, key: str = "image", roots=("root/"
 
 
 def encoded(rows: DataFrame, label: str) -> DataFrame:
-    """rows with label_id: the label's place in sorted order; labels are numbered in a small table, not over all rows."""
+    """rows with label_id: the label's place in sorted order; the table of labels is numbered, not the rows."""
     names = rows.where(F.col(label).isNotNull()).select(F.col(label).alias("label_")).distinct()
-    names = names.withColumn("label_id", F.row_number().over(W.orderBy("label_")) - 1)
+    names = numbered(names, ["label_"], "label_id").withColumn("label_id", F.col("label_id").cast("int"))
     return rows.join(names, F.col(label) == F.col("label_")).drop("label_")
 
 
 def batches(rows: DataFrame, order: list, size: int) -> DataFrame:
-    """rows with batch, in the given order; the last batch is left out if it isn't full.
-
-    Numbers come from one range shuffle and the counts of its partitions, not from one task.
-    """
-    local = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at_", F.monotonically_increasing_id())
-    local = local.withColumn("part_", F.shiftright("at_", 33)).withColumn("at_", F.col("at_").bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = local.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))
-    before = W.orderBy("part_").rowsBetween(W.unboundedPreceding, 0)
-    counts = counts.select("part_", (F.sum("n_").over(before) - F.col("n_")).alias("start_"), F.sum("n_").over(W.partitionBy()).alias("all_"))
-    numbered = local.join(counts, "part_").withColumn("batch", F.floor((F.col("start_") + F.col("at_")) / size))
-    return numbered.where(F.col("batch") < F.floor(F.col("all_") / size)).drop("at_", "part_", "start_", "all_")
+    """rows with batch, in the given order; the last batch is left out if it isn't full."""
+    found = numbered(rows, order, "batch", "all_").withColumn("batch", F.floor(F.col("batch") / size))
+    return found.where(F.col("batch") < F.floor(F.col("all_") / size)).drop("all_")
 
 
 def _docs(spark, sf_dir):
@@ -75,11 +69,13 @@ def corrupt_substitute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substitute(_docs(spark, sf_dir).select("doc_id"), "doc_id", F.col("doc_id") % 7 != 0)
 
 
-SAMPLES = [(1, ["jpg"]), (2, ["json", "png"]), (3, ["__key__", "x (20).jpg"]), (4, ["json"]), (5, ["PNG", "jpg"]), (6, ["__url__", "a.JPEG", "b.png"])]
-
-
 def extract_image_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(SAMPLES, "sample int, members array<string>").select("sample", image_key(F.col("members")).alias("image_key"))
+    """The image's field of samples with one to six fields, one sample per document."""
+    d = _docs(spark, sf_dir)
+    field = lambda n, name: F.when(F.col("doc_id") % n == 0, name)
+    fields = [F.lit("__key__"), field(2, F.lit("json")), field(3, F.lit("maskpng")), field(5, F.concat(F.lit("x ("), "doc_id", F.lit(").JPG"))), field(7, F.lit("PNG")), field(4, F.lit("jpg")), field(11, F.lit("__rank__"))]
+    d = d.select("doc_id", F.filter(F.array(*fields), lambda x: x.isNotNull()).alias("members"))
+    return d.select("doc_id", image_key(F.col("members")).alias("image_key"))
 
 
 def resolve_path(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,13 +157,13 @@ _RESOLVED = """d AS (SELECT doc_id, 'img' || doc_id AS image FROM documents), f
 c AS (SELECT image, r * 7 + e AS priority, ['root/', ''][r + 1] || image || ['', '.jpg', '.jpeg', '.png', '.JPG', '.JPEG', '.PNG'][e + 1] AS path FROM d, range(2) a(r), range(7) b(e)),
 p AS (SELECT image, arg_min(path, priority) AS path FROM c JOIN f USING (path) GROUP BY image)"""
 _PROBE = "t AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'test' WHEN 1 THEN 'train' END AS partition, CASE WHEN p_size % 5 <> 0 THEN p_brand END AS label FROM part), l AS (SELECT * FROM t WHERE partition = 'test' AND label IS NOT NULL)"
-_SAMPLES = "(VALUES " + ", ".join(f"({i}, {m})" for i, m in SAMPLES) + ") AS t(sample, members)"
 
 ORACLES = {
     "corrupt_substitute": f"""WITH v AS (SELECT doc_id, CAST(floor({uniform_sql("'0'", "'bucket'", "doc_id")} * 64) AS INTEGER) AS b, {uniform_sql("'0'", "'order'", "doc_id")} AS o FROM documents WHERE doc_id % 7 <> 0), g AS (SELECT b, arg_min(doc_id, o) AS other FROM v GROUP BY b),
 t AS (SELECT r.b, coalesce((SELECT arg_min(other, g.b) FROM g WHERE g.b >= r.b), (SELECT arg_min(other, g.b) FROM g)) AS other FROM range(64) r(b))
 SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN doc_id ELSE other END AS used FROM documents JOIN t ON t.b = CAST(floor({uniform_sql("'0'", "'draw'", "doc_id")} * 64) AS INTEGER)""",
-    "extract_image_key": "SELECT sample, coalesce(" + ", ".join(f"CASE WHEN list_contains(members, '{e}') THEN '{e}' END" for e in EXTENSIONS) + f", list_filter(members, lambda m: m NOT IN {META} AND regexp_matches(lower(m), '(jpg|jpeg|png)$'))[1]) AS image_key FROM {_SAMPLES}",
+    "extract_image_key": "WITH m AS (SELECT doc_id, list_filter(['__key__', CASE WHEN doc_id % 2 = 0 THEN 'json' END, CASE WHEN doc_id % 3 = 0 THEN 'maskpng' END, CASE WHEN doc_id % 5 = 0 THEN 'x (' || doc_id || ').JPG' END, CASE WHEN doc_id % 7 = 0 THEN 'PNG' END, CASE WHEN doc_id % 4 = 0 THEN 'jpg' END, CASE WHEN doc_id % 11 = 0 THEN '__rank__' END], lambda x: x IS NOT NULL) AS members FROM documents) SELECT doc_id, coalesce("
+    + ", ".join(f"CASE WHEN list_contains(members, '{e}') THEN '{e}' END" for e in EXTENSIONS) + r", list_filter(members, lambda m: NOT starts_with(m, '__') AND regexp_matches(lower(m), '[.](jpg|jpeg|png)$'))[1]) AS image_key FROM m",
     "resolve_path": f"WITH {_RESOLVED} SELECT image, path FROM p",
     "missing_files": f"WITH {_RESOLVED} SELECT image FROM d WHERE image NOT IN (SELECT image FROM p)",
     "probe_filter": f"WITH {_PROBE} SELECT p_partkey, partition, label FROM l",

@@ -5,6 +5,7 @@ Each works on Arrow batches in bounded pieces of rows; what is broadcast is a he
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -92,15 +93,25 @@ def shift_hue(images: DataFrame, pixels: str = "px", by: str = "hue") -> DataFra
     return images.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in images.schema))
 
 
+_GRID = np.array([math.erf(i / 512) for i in range(6 * 512 + 2)])
+_SLOPE = 2 / math.sqrt(math.pi) * np.exp(-((np.arange(len(_GRID)) / 512) ** 2)) / 512
+
+
+def erf(x: np.ndarray) -> np.ndarray:
+    """The error function, to about twelve digits: cubics between values and slopes at 512 places a unit; beyond 6 it is 1."""
+    at = np.minimum(np.abs(x), 6.0) * 512
+    i = at.astype(np.int64)
+    t = at - i
+    a, b, p, q = _GRID[i], _GRID[i + 1], _SLOPE[i], _SLOPE[i + 1]
+    return np.sign(x) * (a + t * (p + t * (3 * (b - a) - 2 * p - q + t * (p + q - 2 * (b - a)))))
+
+
 def projected(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], prototypes: np.ndarray, eps: float = 1e-12) -> np.ndarray:
     """Linear layers with GELU between them, rows made unit, then the products with the prototypes."""
-    from math import erf
-
-    gelu = np.vectorize(lambda v: 0.5 * v * (1 + erf(v / 2**0.5)))
     for i, (weight, bias) in enumerate(layers):
         x = x @ weight.T + bias
         if i < len(layers) - 1:
-            x = gelu(x)
+            x = 0.5 * x * (1 + erf(x / 2**0.5))
     return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), eps)) @ prototypes.T
 
 

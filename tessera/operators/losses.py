@@ -108,7 +108,7 @@ def _assigned(spark, sf_dir) -> DataFrame:
 
 def sinkhorn_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = _views(spark, sf_dir).select("vec_id", "batch", F.inline(F.array(*[F.struct(F.lit(v).alias("view"), turned("x", v).alias("x")) for v in range(GLOBALS)])))
-    return sinkhorn(two, "batch", ["vec_id", "view"], "x").where("k < 8").select("vec_id", "view", "k", F.round("q", 6).alias("q"))
+    return sinkhorn(two, "batch", ["vec_id", "view"], "x").select("vec_id", "view", "k", F.round("q", 6).alias("q"))
 
 
 def _dino(spark, sf_dir) -> DataFrame:
@@ -236,7 +236,7 @@ _GLOBAL, _LOCAL = f"WITH {_SINKHORN}, {_dino_sql(0, GLOBALS, True)}", f"WITH {_S
 _GRAM_BATCH = f"{_UNITS} SELECT x.batch, CAST(sqrt(count(*)) AS BIGINT) AS n, avg(pow(list_inner_product(x.a, y.a) - list_inner_product(x.b, y.b), 2)) AS loss FROM un x JOIN un y ON x.batch = y.batch GROUP BY x.batch"
 
 ORACLES = {
-    "sinkhorn": f"WITH {_SINKHORN} SELECT vec_id, view, k, round(q, 6) AS q FROM w WHERE k < 8",
+    "sinkhorn": f"WITH {_SINKHORN} SELECT vec_id, view, k, round(q, 6) AS q FROM w",
     "dino_global": f"{_GLOBAL} SELECT batch, round(loss, 6) AS loss FROM dl",
     "dino_local": f"{_LOCAL} SELECT batch, round(loss, 6) AS loss FROM dl",
     "ibot_loss": f"WITH {_IBOT} SELECT batch, round(loss, 6) AS loss FROM ib",

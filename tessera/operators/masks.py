@@ -7,7 +7,6 @@ the patches of its grid; blocks are drawn in bounded numpy work per slot, the re
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -68,29 +67,25 @@ def weight(mask: Column) -> Column:
 
 
 def block_mask(height: int, width: int, n_target: int, most: int, random: np.random.Generator) -> np.ndarray:
-    """A mask of exactly n_target patches: rectangles as long as one can be placed, then single patches."""
+    """A mask of exactly n_target patches: the union of rectangles, each the first of TRIES drawn at once that is smaller than
+    the grid and adds between one and the allowed number of patches; where no draw does, single patches by order of a draw."""
+    y, x = np.arange(height)[:, None], np.arange(width)[None, :]
     mask = np.zeros((height, width), bool)
-    count = 0
-    while count < n_target:
-        room, added = min(n_target - count, most), 0
-        for _ in range(TRIES):
-            area = random.uniform(LEAST_AREA, max(LEAST_AREA, room))
-            aspect = math.exp(random.uniform(math.log(ASPECT), -math.log(ASPECT)))
-            h, w = round(math.sqrt(area * aspect)), round(math.sqrt(area / aspect))
-            if not (h < height and w < width):
-                continue
-            y, x = random.integers(0, height - h + 1), random.integers(0, width - w + 1)
-            new = h * w - int(mask[y : y + h, x : x + w].sum())
-            if 0 < new <= room:
-                mask[y : y + h, x : x + w] = True
-                added = new
-                break
-        if not added:
+    while (room := min(n_target - int(mask.sum()), most)) > 0:
+        u = random.random((4, TRIES))
+        area, shape = LEAST_AREA + u[0] * (room - LEAST_AREA), ASPECT ** (1 - 2 * u[1])
+        h, w = np.rint(np.sqrt(area * shape)).astype(int), np.rint(np.sqrt(area / shape)).astype(int)
+        top, left = np.floor(u[2] * (height - h + 1)).astype(int), np.floor(u[3] * (width - w + 1)).astype(int)
+        inside = (y >= top[:, None, None]) & (y < (top + h)[:, None, None]) & (x >= left[:, None, None]) & (x < (left + w)[:, None, None])
+        new = (inside & ~mask).sum((1, 2))
+        fits = np.flatnonzero((h < height) & (w < width) & (new > 0) & (new <= room))
+        if not len(fits):
             break
-        count += added
-    free = np.flatnonzero(~mask.ravel())
-    mask.ravel()[random.permutation(free)[: n_target - count]] = True
-    return mask.ravel()
+        mask |= inside[fits[0]]
+    flat = mask.ravel()
+    order = np.argsort(random.random(len(flat)))
+    flat[order[~flat[order]][: max(0, n_target - int(flat.sum()))]] = True
+    return flat
 
 
 def block_masks(rows: DataFrame, key: list[str], height: int, width: int, seed: int = 0) -> DataFrame:

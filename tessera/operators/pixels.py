@@ -23,6 +23,8 @@ STD = {"benthic": (0.219, 0.215, 0.209), "imagenet": (0.229, 0.224, 0.225)}
 LUMA = (0.2989, 0.587, 0.114)
 #: Ranges of the water effects.
 VEIL = ((0.05, 0.25), (0.25, 0.5), (0.3, 0.55))
+#: Of particles in the queries, whose images are small; for others the function has the usual range.
+DENSITY = (0.05, 0.3)
 ATTENUATION = ((0.3, 1.0), (0.6, 1.0), (0.75, 1.0))
 
 
@@ -179,7 +181,7 @@ def _veil(op="turbidity"):
     return [draw(op, f"veil{c}", *VEIL[c]) for c in range(C)]
 
 
-def particles(low: float = 0.05, high: float = 0.3, h: int = H, w: int = W) -> Column:
+def particles(low: float = 0.0005, high: float = 0.003, h: int = H, w: int = W) -> Column:
     n = F.floor(draw("snow", "density", low, high) * (h * w)).cast("int")
     own = lambda what, j: keyed_uniform(0, "snow", what, F.col("vec_id"), j.cast("string"))
     each = lambda j: F.struct(F.floor(own("place", j) * (h * w)).cast("int").alias("place"), between(own("light", j), 0.6, 1.0).alias("brightness"))
@@ -211,7 +213,7 @@ def _attenuated(px: Column) -> Column:
 
 
 def _snowed(px: Column) -> Column:
-    return F.when(draw("snow", "p") < 0.3, bind(particles(), lambda p: snow(px, p))).otherwise(px)
+    return F.when(draw("snow", "p") < 0.3, bind(particles(*DENSITY), lambda p: snow(px, p))).otherwise(px)
 
 
 def vignette_query(spark, sf_dir):
@@ -260,7 +262,7 @@ def blur_3tap(spark, sf_dir):
 
 
 def translate_fill(spark, sf_dir):
-    shift = lambda what: F.floor(draw("translate", what, -1.6, 1.6) + 0.5).cast("int")
+    shift = lambda what: F.floor(draw("translate", what, -0.1 * H, 0.1 * H) + 0.5).cast("int")
     return checks(images(spark, sf_dir), translate(F.col("px"), shift("y"), shift("x"), [F.lit(float(round(m * 255))) for m in MEAN["benthic"]]))
 
 
@@ -309,7 +311,7 @@ _STEPS = {
     "vignette": (f", {_u('vignette', 'p')} AS u, {_u('vignette', 'cy', 1.6, 6.4)} AS cy, {_u('vignette', 'cx', 1.6, 6.4)} AS cx, {_u('vignette', 's', 0.25, 0.6)} AS s, {_u('vignette', 'edge')} AS e", f"CASE WHEN u < 0.5 THEN {_each(_CLAMP(f'v * (1 - s * CASE WHEN e < 0.5 THEN {_D} ELSE 1 - {_D} END)'))} ELSE p END"),
     "turbidity": (f", {_u('turbidity', 'p')} AS u, {_u('turbidity', 't', 0.5, 0.95)} AS t, [{', '.join(_u('turbidity', f'veil{c}', *VEIL[c]) for c in range(C))}] AS veil", f"CASE WHEN u < 0.4::DOUBLE THEN {_each(_CLAMP(f'v * t + veil[{_C} + 1] * (1 - t)'))} ELSE p END"),
     "channel_atten": (f", {_u('attenuation', 'p')} AS u, [{', '.join(_u('attenuation', f'c{c}', *ATTENUATION[c]) for c in range(C))}] AS f", f"CASE WHEN u < 0.5 THEN {_each(_CLAMP(f'v * f[{_C} + 1]'))} ELSE p END"),
-    "marine_snow": (f", {_u('snow', 'p')} AS u, list_transform(range(CAST(floor({_u('snow', 'density', 0.05, 0.3)} * 64) AS BIGINT)), lambda j: [floor({uniform_sql(chr(39) + '0' + chr(39), chr(39) + 'snow' + chr(39), chr(39) + 'place' + chr(39), 'vec_id', 'j')} * 64), 0.6::DOUBLE + {uniform_sql(chr(39) + '0' + chr(39), chr(39) + 'snow' + chr(39), chr(39) + 'light' + chr(39), 'vec_id', 'j')} * 0.4::DOUBLE]) AS q",
+    "marine_snow": (f", {_u('snow', 'p')} AS u, list_transform(range(CAST(floor({_u('snow', 'density', *DENSITY)} * 64) AS BIGINT)), lambda j: [floor({uniform_sql(chr(39) + '0' + chr(39), chr(39) + 'snow' + chr(39), chr(39) + 'place' + chr(39), 'vec_id', 'j')} * 64), 0.6::DOUBLE + {uniform_sql(chr(39) + '0' + chr(39), chr(39) + 'snow' + chr(39), chr(39) + 'light' + chr(39), 'vec_id', 'j')} * 0.4::DOUBLE]) AS q",
                     f"CASE WHEN u < 0.3::DOUBLE THEN {_each(f'coalesce(list_filter(q, lambda z: z[1] = {_Y} * 8 + {_X})[-1][2], v)')} ELSE p END"),
 }
 _PHYSICS, _from = "", "un"
@@ -334,7 +336,7 @@ m AS (SELECT *, list_sum({_LUMA('y')}) / 64 AS m FROM x), z AS (SELECT *, list_t
 o AS (SELECT vec_id, CASE WHEN u < 0.8::DOUBLE THEN list_transform(z, lambda v, i: {_CLAMP('v * s + g[(i - 1) % 64 + 1] * (1 - s)')}) ELSE p END AS p FROM g) SELECT vec_id, round(list_sum(p), 6) AS total, round(list_sum(list_transform(p, lambda v, i: v * (i - 1))) / 192, 6) AS moment FROM o""",
     "blur_3tap": _sql(f"list_transform(range(1, 193), lambda i: (r[({_C} * 8 + {_MIRROR(f'{_Y} - 1')}) * 8 + {_X} + 1] * g + r[i] + r[({_C} * 8 + {_MIRROR(f'{_Y} + 1')}) * 8 + {_X} + 1] * g) / (1 + 2 * g))", "rw",
                       f", sg AS (SELECT *, exp(-0.5::DOUBLE / pow({_u('blur', 'sigma', 0.1, 2.0)}, 2)) AS g FROM un), rw AS (SELECT vec_id, g, list_transform(range(1, 193), lambda i: (p[({_C} * 8 + {_Y}) * 8 + {_MIRROR(f'{_X} - 1')} + 1] * g + p[i] + p[({_C} * 8 + {_Y}) * 8 + {_MIRROR(f'{_X} + 1')} + 1] * g) / (1 + 2 * g)) AS r FROM sg)"),
-    "translate_fill": _sql(f"list_transform(range(1, 193), lambda i: CASE WHEN {_Y} - dy BETWEEN 0 AND 7 AND {_X} - dx BETWEEN 0 AND 7 THEN p[({_C} * 8 + {_Y} - dy) * 8 + {_X} - dx + 1] ELSE {_by([float(round(m * 255)) for m in MEAN['benthic']])} END)", extra=f", CAST(floor({_u('translate', 'y', -1.6, 1.6)} + 0.5::DOUBLE) AS INTEGER) AS dy, CAST(floor({_u('translate', 'x', -1.6, 1.6)} + 0.5::DOUBLE) AS INTEGER) AS dx"),
+    "translate_fill": _sql(f"list_transform(range(1, 193), lambda i: CASE WHEN {_Y} - dy BETWEEN 0 AND 7 AND {_X} - dx BETWEEN 0 AND 7 THEN p[({_C} * 8 + {_Y} - dy) * 8 + {_X} - dx + 1] ELSE {_by([float(round(m * 255)) for m in MEAN['benthic']])} END)", extra=f", CAST(floor({_u('translate', 'y', -0.8, 0.8)} + 0.5::DOUBLE) AS INTEGER) AS dy, CAST(floor({_u('translate', 'x', -0.8, 0.8)} + 0.5::DOUBLE) AS INTEGER) AS dx"),
     "pixel_mask": f"""WITH {masks.HIDDEN_SQL.replace('range(2) v(view)', 'range(1) v(view)')}, mk AS (SELECT s.vec_id, list(h.patch) AS hidden FROM s LEFT JOIN h ON h.vec_id = s.vec_id GROUP BY s.vec_id), {_IMAGES}, nm AS (SELECT vec_id, {_NORMAL} AS p FROM im),
 oo AS (SELECT vec_id, list_transform(p, lambda v, i: CASE WHEN list_contains(hidden, CAST({_Y} // 2 * 4 + {_X} // 2 AS INTEGER)) THEN 0 ELSE v END) AS p FROM nm JOIN mk USING (vec_id)) SELECT vec_id, round(list_sum(p), 6) AS total, round(list_sum(list_transform(p, lambda v, i: v * (i - 1))) / 192, 6) AS moment FROM oo""",
     "patchify": f"""WITH {_IMAGES}, e AS (SELECT vec_id, i - 1 AS i, p[i] AS v FROM im, range(1, 193) r(i)), q AS (SELECT vec_id, v, (i // 8 % 8) // 2 * 4 + (i % 8) // 2 AS patch, i // 64 * 4 + (i // 8 % 2) * 2 + i % 2 AS j FROM e)

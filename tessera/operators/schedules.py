@@ -25,7 +25,7 @@ def learning_rate(i: Column, kind: str, base: float, base_lr: float, warmup: int
     """Rate of a group at iteration i.
 
     cosine_warmup: from 1 % to base over the warm-up, then along a cosine to 1 % of base_lr, one floor for
-    all groups.  linear_decay: from base to 1 % of it at n.  exponential: 5 % less every iteration.
+    all groups.  linear_decay: from base to 1 % of it at n.  exponential_decay: 5 % less every iteration.
     Anything else stays at base.
     """
     if kind == "cosine_warmup":
@@ -34,7 +34,7 @@ def learning_rate(i: Column, kind: str, base: float, base_lr: float, warmup: int
         return F.when(i < warmup, F.lit(base) * (0.01 + 0.99 * i / float(max(1, warmup)))).otherwise(down)
     if kind == "linear_decay":
         return F.lit(base) * (1 - 0.99 * F.least(i, F.lit(n)) / float(n))
-    if kind == "exponential":
+    if kind == "exponential_decay":
         return F.lit(base) * F.pow(F.lit(0.95), i)
     return F.lit(base)
 
@@ -51,7 +51,7 @@ def gram_weight(epoch: Column, base: float, start: int, end: int) -> Column:
 
 def lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = iterations(spark, 10, 20)
-    kinds = ("cosine_warmup", "linear_decay", "exponential", "constant")
+    kinds = ("cosine_warmup", "linear_decay", "exponential_decay", "constant")
     return t.select("step", *[F.round(learning_rate(F.col("step"), k, 2e-4, 1e-4, 40, 200), 12).alias(k) for k in kinds])
 
 
@@ -127,13 +127,20 @@ def strip_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parameters(spark).select("name", F.regexp_replace("name", r"^_orig_mod\.", "").alias("stripped"))
 
 
+def matched(wanted: DataFrame, given: DataFrame) -> DataFrame:
+    """name, state of the parameters (name, shape) that a load can't use: missing, unexpected, or of another shape."""
+    w, g = wanted.select("name", F.col("shape").alias("of_")), given.select("name", F.col("shape").alias("has_"))
+    both = w.withColumn("w_", F.lit(True)).join(g.withColumn("g_", F.lit(True)), "name", "full")
+    state = F.when(F.col("g_").isNull(), "missing").when(F.col("w_").isNull(), "unexpected").when(~F.col("of_").eqNullSafe(F.col("has_")), "shape")
+    return both.select("name", state.alias("state")).where("state IS NOT NULL")
+
+
 def state_dict_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys that one side of a load has and the other lacks."""
-    p = parameters(spark)
-    wanted = p.select(F.regexp_replace("name", r"^_orig_mod\.", "").alias("name")).distinct()
-    given = p.where("n_dims > 1").select("name").union(spark.createDataFrame([("extra.weight",)], "name string"))
-    missing, unexpected = wanted.join(given, "name", "left_anti"), given.join(wanted, "name", "left_anti")
-    return missing.select("name", F.lit("missing").alias("state")).union(unexpected.select("name", F.lit("unexpected").alias("state")))
+    """What a load of some parameters, one of them reshaped, can't use."""
+    p = parameters(spark).withColumn("shape", F.array("n_dims"))
+    wanted = p.select(F.regexp_replace("name", r"^_orig_mod\.", "").alias("name"), "shape").distinct()
+    given = p.where("n_dims > 1").select("name", F.when(F.col("name") == "m.blocks.x.w", F.array(F.lit(3))).otherwise(F.col("shape")).alias("shape"))
+    return matched(wanted, given.union(spark.createDataFrame([("extra.weight", [2])], "name string, shape array<int>")))
 
 
 def ema_update(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,10 +151,21 @@ def ema_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("name", F.round(F.aggregate("w", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.get("w", F.lit(0)), 8).alias("first"))
 
 
+def ema(rows: DataFrame, key: str, order: str, value: str, keep: float = 0.9, chunk: int = 4096) -> DataFrame:
+    """key, ema: a value per key, from 0, that every row changes to value * keep + new * (1 - keep), in order of a unique whole number.
+
+    The fold is linear, so a stretch of `chunk` numbers is folded for itself, and stretches are added up with
+    the weight that the rows behind them leave: no key has all its rows in one row, however many there are.
+    """
+    part = rows.groupBy(key, F.floor(F.col(order) / chunk).alias("chunk_")).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))), lambda s: s["v"]).alias("v_"))
+    part = part.select(key, "chunk_", F.size("v_").alias("n_"), F.aggregate("v_", F.lit(0.0), lambda t, s: t * F.lit(keep) + s * F.lit(1 - keep)).alias("e_"))
+    behind = F.coalesce(F.sum("n_").over(W.partitionBy(key).orderBy(F.desc("chunk_")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return part.withColumn("e_", F.col("e_") * F.pow(F.lit(keep), behind)).groupBy(key).agg(F.sum("e_").alias("ema"))
+
+
 def ema_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A value per user, updated by every event in order of its id: value * 0.9 + new * 0.1, from 0."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "value"))), lambda s: s["value"]).alias("v"))
-    return e.select("user_id", F.round(F.aggregate("v", F.lit(0.0), lambda t, s: t * 0.9 + s * 0.1), 6).alias("ema"))
+    """A value per user, updated by every event in order of its id."""
+    return ema(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "event_id", "value").select("user_id", F.round("ema", 6).alias("ema"))
 
 
 def clip_grad_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +192,7 @@ _DECAY = f"pow(0.98::DOUBLE, 13 - ({_LAYER}))"
 
 ORACLES = {
     "lr_schedule": """SELECT i AS step, round(CASE WHEN i < 40 THEN 2e-4::DOUBLE * (0.01::DOUBLE + 0.99::DOUBLE * i / 40) ELSE 1e-6::DOUBLE + (2e-4::DOUBLE - 1e-6::DOUBLE) * (1 + cos(pi() * (i - 40) / 160)) / 2 END, 12) AS cosine_warmup,
-round(2e-4::DOUBLE * (1 - 0.99::DOUBLE * least(i, 200) / 200), 12) AS linear_decay, round(2e-4::DOUBLE * pow(0.95::DOUBLE, i), 12) AS exponential, round(2e-4::DOUBLE, 12) AS constant FROM range(200) t(i)""",
+round(2e-4::DOUBLE * (1 - 0.99::DOUBLE * least(i, 200) / 200), 12) AS linear_decay, round(2e-4::DOUBLE * pow(0.95::DOUBLE, i), 12) AS exponential_decay, round(2e-4::DOUBLE, 12) AS constant FROM range(200) t(i)""",
     "temp_schedule": "SELECT i AS step, round(CASE WHEN i >= 40 THEN 0.07::DOUBLE ELSE 0.04::DOUBLE + 0.03::DOUBLE * i / 40 END, 10) AS temperature FROM range(200) t(i)",
     "tau_schedule": "SELECT i AS step, round(1.0::DOUBLE - 0.004::DOUBLE * (cos(pi() * i / 200) + 1) / 2, 10) AS tau FROM range(200) t(i)",
     "wd_schedule": "SELECT i AS step, round(0.4::DOUBLE - 0.36::DOUBLE * (cos(pi() * i / 200) + 1) / 2, 10) AS decay, 0.0::DOUBLE AS exempt FROM range(200) t(i)",
@@ -183,8 +201,8 @@ round(2e-4::DOUBLE * (1 - 0.99::DOUBLE * least(i, 200) / 200), 12) AS linear_dec
 SELECT round(lr, 10) AS lr_mult, wd_mult, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM p GROUP BY round(lr, 10), wd_mult""",
     "lr_decay": f"SELECT name, round({_DECAY}, 10) AS decay FROM {_PARAMETERS}",
     "strip_prefix": f"SELECT name, regexp_replace(name, '^_orig_mod\\.', '') AS stripped FROM {_PARAMETERS}",
-    "state_dict_diff": f"""WITH p AS (SELECT * FROM {_PARAMETERS}), w AS (SELECT DISTINCT regexp_replace(name, '^_orig_mod\\.', '') AS name FROM p), g AS (SELECT name FROM p WHERE n_dims > 1 UNION ALL SELECT 'extra.weight')
-SELECT name, 'missing' AS state FROM (FROM w EXCEPT FROM g) UNION ALL SELECT name, 'unexpected' FROM (FROM g EXCEPT FROM w)""",
+    "state_dict_diff": f"""WITH p AS (SELECT * FROM {_PARAMETERS}), w AS (SELECT DISTINCT regexp_replace(name, '^_orig_mod\\.', '') AS name, n_dims AS s FROM p), g AS (SELECT name, CASE WHEN name = 'm.blocks.x.w' THEN 3 ELSE n_dims END AS s FROM p WHERE n_dims > 1 UNION ALL SELECT 'extra.weight', 2)
+SELECT name, CASE WHEN g.s IS NULL THEN 'missing' WHEN w.s IS NULL THEN 'unexpected' ELSE 'shape' END AS state FROM w FULL JOIN g USING (name) WHERE g.s IS DISTINCT FROM w.s""",
     "ema_update": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_reverse(embedding::DOUBLE[]) AS t FROM embeddings), m AS (SELECT vec_id, list_transform(v, lambda s, i: t[i] * 0.996::DOUBLE + s * (1 - 0.996::DOUBLE)) AS w FROM e) SELECT 'p' || vec_id AS name, round(list_sum(w), 6) AS total, round(w[1], 8) AS first FROM m",
     "ema_fold": "SELECT user_id, round(list_reduce(list_prepend(0.0::DOUBLE, list(value ORDER BY event_id)), lambda t, s: t * 0.9::DOUBLE + s * 0.1::DOUBLE), 6) AS ema FROM events GROUP BY user_id",
     "clip_grad_norm": "WITH n AS (SELECT vec_id // 32 AS step, sqrt(sum(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS n FROM embeddings GROUP BY vec_id // 32) SELECT step, round(n, 6) AS norm, round(least(1.0::DOUBLE, 3.0::DOUBLE / (n + 1e-6::DOUBLE)), 6) AS factor FROM n",

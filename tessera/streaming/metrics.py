@@ -1,33 +1,31 @@
-"""Step metrics as a stream: epoch means, running averages by key, best so far."""
+"""Step metrics as a stream: means by epoch or by count of steps, running averages by key, best so far, endless epochs."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import keyed_uniform
+from ..functions.frames import numbered, shared_dir, written
 from ..operators import history
 from ..session import ship
 
 
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.join(tempfile.gettempdir(), 'tessera-shared')}"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def events(spark: SparkSession, sf_dir: str, files_a_batch: int = 8) -> DataFrame:
     """The events as a stream of files."""
     given = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     return spark.readStream.schema(given).option("maxFilesPerTrigger", files_a_batch).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/event[s].parquet")
 
 
-def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and read back what it wrote; complete results are overwritten batch by batch."""
-    folder = _folder(stream.sparkSession)
+def finished(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Run a stream over what is there and read back all that it wrote; complete results are overwritten batch by batch.
+
+    A named folder keeps the stream's state and results: a stream that is run again with it, after a stop or
+    a failure, goes on behind the last finished batch and writes no row twice.
+    """
+    folder = folder or shared_dir(stream.sparkSession)
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", f"{folder}/out").start()
@@ -37,6 +35,48 @@ def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def endless(spark: SparkSession, rows: DataFrame, key: str, size: int, seed: int = 0, steps_a_batch: int = 64) -> DataFrame:
+    """A stream without end of step, epoch, batch and rows: every epoch deals all rows into full batches of `size`, in an order of its own.
+
+    The epoch's order is a turn and a stride over numbered rows, both drawn from the epoch, so a step's rows are
+    found by their number and no epoch is sorted.
+    """
+    at = written(numbered(rows, [keyed_uniform(seed, "order", F.col(key)), key], "number_", "n_"), "numbered")
+    first = at.select("n_").first()
+    n = first["n_"] if first else 0
+    if n < size:
+        raise ValueError(f"{n} rows don't fill a batch of {size}")
+    steps = n // size
+    strides = [s for s in range(max(1, n // 3), n + 1) if np.gcd(s, n) == 1][:64] or [1]
+    stream = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", steps_a_batch).load().select(F.col("value").alias("step"))
+    epoch = F.floor(F.col("step") / steps)
+    draw = lambda what, most: F.floor(keyed_uniform(seed, what, F.col("epoch").cast("string")) * most)
+    stream = stream.withColumn("epoch", epoch).withColumn("batch", F.col("step") % steps).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    stride = F.get(F.array(*[F.lit(s) for s in strides]), draw("stride", len(strides)).cast("int"))
+    stream = stream.withColumn("number_", F.pmod((F.col("batch") * size + F.col("slot")) * stride + draw("turn", n), F.lit(n)))
+    return stream.join(at.drop("n_"), "number_").drop("number_")
+
+
+def means_by(stream: DataFrame, by: Column, name: str) -> DataFrame:
+    """name, n_steps and the sum of every metric of a stream (metric, value), one row per step and metric; sums and counts are the stream's state."""
+    return stream.groupBy(by.alias(name)).agg(F.count(F.lit(1)).alias("n_steps"), *[F.coalesce(F.sum(F.when(F.col("metric") == m, F.col("value"))), F.lit(0.0)).alias(m) for m in history.METRICS.values()])
+
+
+def best_so_far(stream: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """key, order, value of the rows whose value is below all before it of its key, in order within a batch and by batch; the state is a number per key."""
+
+    def update(at, frames, state):
+        best = state.get[0] if state.exists else float("inf")
+        rows = pd.concat(list(frames)).sort_values(order)
+        before = np.minimum.accumulate(np.concatenate([[best], rows[value].to_numpy()]))
+        own = rows[value].to_numpy() < before[:-1]
+        state.update((float(before[-1]),))
+        yield rows[own].assign(**{key: at[0]})[[key, order, value]]
+
+    ship(stream.sparkSession)
+    return stream.select(key, order, value).groupBy(key).applyInPandasWithState(update, f"{key} long, {order} long, {value} double", "best double", "append", "NoTimeout")
+
+
 def running_average(stream: DataFrame, key: str, order: str, value: str, keep: float = 0.9) -> DataFrame:
     """key, n, ema after each micro-batch: value * keep + new * (1 - keep) from 0, in order within a batch and by batch.
 
@@ -45,9 +85,11 @@ def running_average(stream: DataFrame, key: str, order: str, value: str, keep: f
 
     def update(at, frames, state):
         n, ema = state.get if state.exists else (0, 0.0)
-        rows = pd.concat(list(frames)).sort_values(order)
-        for v in rows[value]:
-            ema = ema * keep + v * (1 - keep)
+        rows = pd.concat(list(frames)).sort_values(order)[value].to_numpy()
+        for a in range(0, len(rows), 4096):
+            part = rows[a : a + 4096]
+            weight = keep ** np.arange(len(part) - 1, -1, -1.0)
+            ema = ema * keep ** len(part) + (1 - keep) * float(part @ weight)
         n += len(rows)
         state.update((n, ema))
         yield pd.DataFrame({key: [at[0]], "n": [n], "ema": [ema]})
@@ -56,13 +98,32 @@ def running_average(stream: DataFrame, key: str, order: str, value: str, keep: f
     return stream.select(key, order, value).groupBy(key).applyInPandasWithState(update, f"{key} long, n long, ema double", "n long, ema double", "append", "NoTimeout")
 
 
-def stream_epoch_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same means as the batch query; sums and counts are the stream's state."""
+WINDOW = 1000
+
+
+def _named(spark, sf_dir) -> DataFrame:
     e = events(spark, sf_dir)
     name = F.element_at(F.create_map(*[F.lit(x) for pair in history.METRICS.items() for x in pair]), F.col("event_type"))
-    e = e.select((F.dayofmonth("ts") - 1).alias("epoch"), name.alias("metric"), "value")
-    sums = e.groupBy("epoch").agg(F.count(F.lit(1)).alias("n_steps"), *[F.coalesce(F.sum(F.when(F.col("metric") == m, F.col("value"))), F.lit(0.0)).alias(m) for m in history.METRICS.values()])
-    return finished(sums, "complete").select("epoch", "n_steps", *[F.round(F.col(m) / F.col("n_steps"), 6).alias(m) for m in history.METRICS.values()])
+    return e.select((F.dayofmonth("ts") - 1).alias("epoch"), F.col("event_id").alias("step"), name.alias("metric"), "value", "user_id")
+
+
+def _means(sums: DataFrame, by: str) -> DataFrame:
+    return sums.select(by, "n_steps", *[F.round(F.col(m) / F.col("n_steps"), 6).alias(m) for m in history.METRICS.values()])
+
+
+def stream_epoch_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same means as the batch query."""
+    return _means(finished(means_by(_named(spark, sf_dir), F.col("epoch"), "epoch"), "complete"), "epoch")
+
+
+def stream_window_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means over every WINDOW steps."""
+    return _means(finished(means_by(_named(spark, sf_dir), F.floor(F.col("step") / WINDOW), "window"), "complete"), "window")
+
+
+def stream_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps of each user that are below all before."""
+    return finished(best_so_far(_named(spark, sf_dir), "user_id", "step", "value"))
 
 
 def stream_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,9 +131,11 @@ def stream_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id").agg(F.max_by("ema", "n").alias("ema")).select("user_id", F.round("ema", 6).alias("ema"))
 
 
-QUERIES = {f.__name__: f for f in (stream_epoch_metrics, stream_ema)}
+QUERIES = {f.__name__: f for f in (stream_epoch_metrics, stream_window_metrics, stream_best, stream_ema)}
 
 ORACLES = {
     "stream_epoch_metrics": history.ORACLES["epoch_metrics"],
+    "stream_window_metrics": "WITH s AS (SELECT event_id // 1000 AS w, CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in history.METRICS.items()) + " END AS metric, value FROM events) SELECT w AS \"window\", count(*) AS n_steps, " + ", ".join(f"round(coalesce(sum(value) FILTER (metric = '{m}'), 0) / count(*), 6) AS {m}" for m in history.METRICS.values()) + " FROM s GROUP BY w",
+    "stream_best": "SELECT user_id, event_id AS step, value FROM events QUALIFY value < coalesce(min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'infinity'::DOUBLE)",
     "stream_ema": "SELECT user_id, round(list_reduce(list_prepend(0.0::DOUBLE, list(value ORDER BY event_id)), lambda t, s: t * 0.9::DOUBLE + s * 0.1::DOUBLE), 6) AS ema FROM events GROUP BY user_id",
 }
