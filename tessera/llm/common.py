@@ -2,57 +2,20 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import files
+from ..functions.frames import discard, shared_dir, written  # noqa: F401  the operators take these from here
 
 #: ASCII white space that separates words.
 SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
-_SCRATCH: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path under the folder that the driver and all executors share.
-
-    The cluster names that folder in spark.checkpoint.dir.  Only a session of one machine may leave it
-    unset and gets a temporary folder; on a cluster that is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        base = f"file://{os.path.join(tempfile.gettempdir(), 'tessera-shared')}"
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    _SCRATCH.append(path)
-    return path
-
-
-def discard(keep: DataFrame | None = None) -> None:
-    """Delete the scratch folders handed out so far, but for those that `keep` reads: for callers whose results need no others."""
-    read = keep.inputFiles() if keep is not None else []
-    for path in list(_SCRATCH):
-        if not any(path.rpartition("/")[2] in f for f in read):
-            files.remove(path)
-            _SCRATCH.remove(path)
-
-
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Cut the lineage: write df once as Parquet in the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def dealt(scan: DataFrame) -> DataFrame:
     """A scan of fewer files than the session has cores, dealt to all of them; others stay as they are.
 

@@ -20,13 +20,6 @@ def create(folder: str, stem: str, suffix: str):
     return f"{folder}/{name}", system.open_output_stream(f"{path}/{name}", compression=None)
 
 
-def remove(uri: str) -> None:
-    """Delete a folder, if it is there."""
-    system, path = opened(uri)
-    if system.get_file_info(path).type == fs.FileType.Directory:
-        system.delete_dir(path)
-
-
 def read_ranges(places, gap: int = 1 << 16, most: int = 8 << 20):
     """The bytes of (uri, offset, length) places that come sorted by file and offset.
 
