@@ -32,12 +32,13 @@ def _cubic(x: np.ndarray, a: float = -0.5) -> np.ndarray:
 
 
 @lru_cache(256)
-def taps(begin: int, length: int, size: int, side: int) -> np.ndarray:
-    """side x size weights that resample the stretch [begin, begin + length) of a line of `size` to `side`; a reduction widens the kernel."""
+def taps(begin: int, length: int, size: int, side: int, linear: bool = False) -> np.ndarray:
+    """side x size weights that resample the stretch [begin, begin + length) of a line of `size` to `side`; a reduction widens the kernel, cubic or linear."""
     scale = length / side
     middle = (np.arange(side)[:, None] + 0.5) * scale + begin - 0.5
     at = np.arange(size)[None, :]
-    weights = np.where((at >= begin) & (at < begin + length), _cubic((at - middle) / max(scale, 1.0)), 0.0)
+    apart = (at - middle) / max(scale, 1.0)
+    weights = np.where((at >= begin) & (at < begin + length), np.maximum(0.0, 1 - np.abs(apart)) if linear else _cubic(apart), 0.0)
     return weights / weights.sum(1, keepdims=True)
 
 

@@ -2,30 +2,40 @@
 
 from __future__ import annotations
 
+import fnmatch
+import hashlib
 import tarfile
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..operators.ingest import EXTENSIONS
+from ..functions.frames import shared_dir, written
+from ..operators.ingest import EXTENSIONS, image_key, substitute
+from ..session import ship
 
 LABELS = "image string, partition string, catami_substrate string"
 SHARD = "url string, sample_key string, members array<struct<key: string, content: binary>>"
+_GLOB = "*.{" + ",".join(EXTENSIONS) + "}"
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """path of every image file below a folder, whatever the case of its ending, in no order and without repeats."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(EXTENSIONS) + "}").load(folder)
-    return files.select("path").distinct()
+    """path of every image file below a folder, in order and without repeats; a folder without any is an error."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", _GLOB).load(folder).select("path").distinct()
+    if not files.take(1):
+        raise ValueError(f"no images below {folder}")
+    return files.orderBy("path")
 
 
-def decoded(spark: SparkSession, folder: str, on_corrupt: str = "drop") -> DataFrame:
+def decoded(spark: SparkSession, folder: str, on_corrupt: str = "drop", seed: int = 0) -> DataFrame:
     """path, height, width, n_channels and pixels (red first) of a folder's images.
 
-    on_corrupt: drop leaves out files that can't be decoded, keep gives them height -1, fail raises an error.
+    on_corrupt says what happens to files that can't be decoded: drop leaves them out, keep gives them height -1, substitute
+    gives them another image's pixels (the same for a seed; null if none can be decoded), fail raises an error.
     """
-    raw = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(EXTENSIONS) + "}").load(folder).select("image.*")
+    raw = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", _GLOB).load(folder).select("image.*")
     if on_corrupt == "drop":
         raw = raw.where("height >= 0")
     elif on_corrupt == "fail":
@@ -33,17 +43,38 @@ def decoded(spark: SparkSession, folder: str, on_corrupt: str = "drop") -> DataF
     # Spark gives blue first, and one or four channels for gray and transparent images
     order = lambda found, wanted: F.unhex(F.regexp_replace(F.hex("data"), found, wanted))
     pixels = F.when(F.col("nChannels") == 1, order("(..)", "$1$1$1")).when(F.col("nChannels") == 4, order("(..)(..)(..)..", "$3$2$1")).otherwise(order("(..)(..)(..)", "$3$2$1"))
-    return raw.select(F.col("origin").alias("path"), "height", "width", F.when(F.col("height") >= 0, 3).otherwise(F.col("nChannels")).alias("n_channels"), pixels.alias("pixels"))
-
-
-def labels(spark: SparkSession, path: str) -> DataFrame:
-    """The used columns of a label table in CSV, all as text; columns are found by their names in the header."""
+    images = raw.select(F.col("origin").alias("path"), "height", "width", F.when(F.col("height") >= 0, 3).otherwise(F.col("nChannels")).alias("n_channels"), pixels.alias("pixels"))
+    if on_corrupt != "substitute":
+        return images
+    lost = substitute(images.select("path", "height"), "path", F.col("height") >= 0, seed).where("height < 0").select(F.col("path").alias("lost"), F.col("used").alias("path"))
+    given = lost.join(images.where("height >= 0"), "path", "left").select(F.col("lost").alias("path"), "height", "width", "n_channels", "pixels")
+    return images.where("height >= 0").unionByName(given)
+
+
+def labels(spark: SparkSession, path: str | None) -> DataFrame | None:
+    """The used columns of a label table in CSV, all as text; columns are found by their names in the header.  None if no table is named or none is there."""
+    if not path:
+        return None
+    system, place = fs.FileSystem.from_uri(path)
+    if system.get_file_info(place).type == fs.FileType.NotFound:
+        return None
     rows = spark.read.option("header", True).csv(path)
     return rows.select(*[F.col(c.split()[0]).cast("string") for c in LABELS.split(", ")])
 
 
+def shard_paths(folder: str, pattern: str = "*.tar") -> list[str]:
+    """The files below a folder, on any file system, whose name fits a pattern, in order; none is an error."""
+    system, place = fs.FileSystem.from_uri(folder)
+    found = [i.path for i in system.get_file_info(fs.FileSelector(place, recursive=True)) if i.is_file and fnmatch.fnmatchcase(i.base_name, pattern)]
+    if not found:
+        raise ValueError(f"no shards {pattern} below {folder}")
+    before = folder[: len(folder) - len(place)] if "://" in folder and folder.endswith(place) else ""
+    return sorted(before + p for p in found)
+
+
 class Shards(DataSource):
-    """Tar files, one partition each.  Options: paths (one a line); content: false reads headers only.
+    """Tar files on any file system, one partition each.  Options: paths (one a line); content: false reads headers only;
+    seed: partitions come in an order drawn from it and the path, else by path.
 
     Neighbouring members with the same name up to the first dot of its last part are a sample;
     what follows that dot is the member's key.
@@ -64,6 +95,8 @@ class _Reader(DataSourceReader):
     def __init__(self, options):
         self.paths = sorted(p for p in options["paths"].split("\n") if p)
         self.content = options.get("content", "true").lower() == "true"
+        if options.get("seed"):
+            self.paths.sort(key=lambda p: hashlib.md5(f"{options['seed']}|{p}".encode()).digest())
         if not self.paths:
             raise ValueError("no shards")
 
@@ -72,7 +105,8 @@ class _Reader(DataSourceReader):
 
     def read(self, partition):
         at, members = None, []
-        with tarfile.open(partition.value, "r|*") as tar:
+        system, place = fs.FileSystem.from_uri(partition.value)
+        with system.open_input_stream(place, compression=None) as stream, tarfile.open(fileobj=stream, mode="r|*") as tar:
             for m in tar:
                 folder, _, name = m.name.rpartition("/")
                 stem, dot, key = name.partition(".")
@@ -88,12 +122,41 @@ class _Reader(DataSourceReader):
             yield partition.value, at, members
 
 
-def shards(spark: SparkSession, paths: list[str], content: bool = True) -> DataFrame:
-    """url, sample_key and members of tar files that every executor can open by these paths."""
+def shards(spark: SparkSession, paths: list[str], content: bool = True, seed: int | None = None) -> DataFrame:
+    """url, sample_key and members of tar files that every executor can open by these paths; with a seed, shards come in an order drawn from it."""
     spark.dataSource.register(Shards)
-    return spark.read.format("shards").option("paths", "\n".join(paths)).option("content", str(content)).load()
+    return spark.read.format("shards").option("paths", "\n".join(paths)).option("content", str(content)).option("seed", "" if seed is None else str(seed)).load()
 
 
 def n_samples(spark: SparkSession, paths: list[str]) -> int:
     """How many samples shards hold, from their headers."""
     return shards(spark, paths, False).select("url", "sample_key").count()
+
+
+def unpacked(samples: DataFrame, folder: str | None = None, on_corrupt: str = "drop") -> DataFrame:
+    """url, sample_key, height, width, n_channels and pixels of the image of each sample of shards().
+
+    Samples without an image's field are left out; one that can't be decoded is treated as `decoded` says (its url and key stay).
+    Images are written to the shared folder as files, for Spark's own reader of images.
+    """
+    spark = ship(samples.sparkSession)
+    folder = folder or shared_dir(spark)
+
+    def store(batches):
+        for b in batches:
+            system, place = fs.FileSystem.from_uri(folder)
+            system.create_dir(place, recursive=True)
+            out = []
+            for url, key, field, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                name = f"{hashlib.sha256(f'{url}|{key}'.encode()).hexdigest()}.{field.rpartition('.')[2]}"
+                with system.open_output_stream(f"{place}/{name}", compression=None) as f:  # the same bytes on every attempt
+                    f.write(content or b"")
+                out.append((url, key, name))
+            yield pa.RecordBatch.from_pylist([dict(zip(("url", "sample_key", "name"), r, strict=True)) for r in out], pa.schema([("url", pa.string()), ("sample_key", pa.string()), ("name", pa.string())]))
+
+    field = image_key(F.transform("members", lambda m: m["key"]))
+    rows = samples.withColumn("field", field).where("field IS NOT NULL")
+    rows = rows.select("url", "sample_key", "field", F.get(F.filter("members", lambda m: m["key"] == F.col("field")), F.lit(0))["content"].alias("content"))
+    names = written(rows.mapInArrow(store, "url string, sample_key string, name string"), "names")
+    found = decoded(spark, folder, on_corrupt).withColumn("name", F.regexp_extract("path", "[^/]*$", 0)).drop("path")
+    return names.join(found, "name").drop("name")

@@ -1,10 +1,6 @@
 """Properties and edge cases of the library's operators, and its sources and sinks."""
 
-import io
 import math
-import struct
-import tarfile
-import zlib
 
 import numpy as np
 import pytest
@@ -17,14 +13,6 @@ from tessera.plans import views
 from tessera.sources import images, sinks
 
 
-def png(path, pixels_):
-    """A small RGB image: rows of (r, g, b)."""
-    h, w = len(pixels_), len(pixels_[0])
-    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    raw = b"".join(b"\0" + bytes(v for p in row for v in p) for row in pixels_)
-    path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
-
-
 # ---- entry points ----
 
 
@@ -166,45 +154,16 @@ def test_no_valid_image_and_no_labels(spark):
 # ---- sources and sinks ----
 
 
-def test_images_of_a_folder(spark, tmp_path):
-    (tmp_path / "sub").mkdir()
-    png(tmp_path / "a.png", [[(1, 2, 3), (4, 5, 6)]])
-    png(tmp_path / "sub/b.PNG", [[(7, 8, 9)]])
-    (tmp_path / "bad.jpg").write_bytes(b"no image")
-    (tmp_path / "note.txt").write_text("x")
-    assert sorted(r["path"].rsplit("/", 1)[1] for r in images.listing(spark, str(tmp_path)).collect()) == ["a.png", "b.PNG", "bad.jpg"]
-    got = {r["path"].rsplit("/", 1)[1]: r for r in images.decoded(spark, str(tmp_path)).collect()}
-    assert set(got) == {"a.png", "b.PNG"} and (got["a.png"]["height"], got["a.png"]["width"], got["a.png"]["n_channels"]) == (1, 2, 3)
-    assert bytes(got["a.png"]["pixels"]) == bytes([1, 2, 3, 4, 5, 6])
-    assert images.decoded(spark, str(tmp_path), "keep").count() == 3
-    with pytest.raises(Exception, match="decode"):
-        images.decoded(spark, str(tmp_path), "fail").collect()
-
-
-def test_samples_of_shards(spark, tmp_path):
-    for s in range(2):
-        with tarfile.open(tmp_path / f"s{s}.tar", "w") as tar:
-            for name, data in ((f"d/k{s}.json", b"{}"), (f"d/k{s}.png", b"abc"), (f"m{s}.jpg", b"x"), ("noext", b"y")):
-                info = tarfile.TarInfo(name)
-                info.size = len(data)
-                tar.addfile(info, io.BytesIO(data))
-    paths = [str(tmp_path / "s1.tar"), str(tmp_path / "s0.tar")]
-    rows = images.shards(spark, paths).collect()
-    assert sorted((r["sample_key"], [m["key"] for m in r["members"]]) for r in rows) == [("d/k0", ["json", "png"]), ("d/k1", ["json", "png"]), ("m0", ["jpg"]), ("m1", ["jpg"])]
-    assert {bytes(m["content"]) for r in rows for m in r["members"]} == {b"{}", b"abc", b"x"}
-    assert images.n_samples(spark, paths) == 4
-    with pytest.raises(Exception, match="no shards"):
-        images.shards(spark, []).count()
-
-
 def test_labels_are_found_by_name(spark, tmp_path):
     (tmp_path / "l.csv").write_text("extra,partition,image,catami_substrate\n1,test,a,sand\n2,,b,\n")
     assert sorted(tuple(r) for r in images.labels(spark, str(tmp_path / "l.csv")).collect()) == [("a", "test", "sand"), ("b", None, None)]
+    assert images.labels(spark, None) is None and images.labels(spark, str(tmp_path / "none.csv")) is None
 
 
 def test_best_checkpoint_is_kept_apart_and_a_failing_writer_does_not_stop_others(spark, tmp_path):
     rows = spark.createDataFrame([(0, 2.0, True), (1, 1.0, True), (2, 3.0, False)], "epoch int, loss double, is_best boolean")
-    sinks.write_checkpoints(rows, str(tmp_path / "c"))
+    sinks.write_checkpoints(rows, str(tmp_path / "c"), {"knn_acc": 0.5})
+    assert spark.read.parquet(str(tmp_path / "c/all")).select("knn_acc").distinct().collect() == [(0.5,)]
     assert spark.read.parquet(str(tmp_path / "c/best")).first()["epoch"] == 1 and spark.read.parquet(str(tmp_path / "c/all")).count() == 3
     seen = []
 
@@ -213,3 +172,88 @@ def test_best_checkpoint_is_kept_apart_and_a_failing_writer_does_not_stop_others
 
     sinks.to_all([broken, lambda b, n: seen.append((b.count(), n))])(rows, 7)
     assert seen == [(3, 7)]
+
+
+# ---- streams ----
+
+
+def write_events(spark, folder, numbers, name):
+    rows = [(i, i % 3, float((i * 37) % 101)) for i in numbers]
+    spark.createDataFrame(rows, "step long, run long, loss double").coalesce(1).write.mode("overwrite").parquet(str(folder / f"_{name}"))
+    next((folder / f"_{name}").glob("part*")).rename(folder / f"{name}.parquet")
+
+
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
+    """Best so far: the state outlives a stop, nothing is written twice, and a run without new rows adds nothing."""
+    from tessera.streaming import metrics
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def run():
+        stream = spark.readStream.schema("step long, run long, loss double").parquet(f"{folder}/*.parquet")
+        return sorted(tuple(r) for r in metrics.finished(metrics.best_so_far(stream, "run", "step", "loss"), folder=f"file://{tmp_path}/out").collect())
+
+    def want(n):
+        best, out = {}, []
+        for i in range(n):
+            k, v = i % 3, float((i * 37) % 101)
+            if v < best.get(k, math.inf):
+                best[k] = v
+                out.append((k, i, v))
+        return sorted(out)
+
+    write_events(spark, folder, range(40), "a")
+    assert run() == want(40) == run()
+    write_events(spark, folder, range(40, 90), "b")
+    assert run() == want(90)
+
+
+def test_an_endless_stream_deals_every_epoch(spark):
+    from tessera.streaming import metrics
+
+    rows = spark.range(50)
+    with pytest.raises(ValueError, match="fill"):
+        metrics.endless(spark, rows, "id", 51)
+    query = metrics.endless(spark, rows, "id", 8, steps_a_batch=12).writeStream.format("memory").queryName("endless").start()
+    try:
+        import time
+
+        for _ in range(120):
+            if spark.table("endless").where("epoch = 2").count():
+                break
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    epochs = {}
+    for r in spark.table("endless").where("epoch < 2").collect():
+        epochs.setdefault(r["epoch"], []).append((r["batch"], r["slot"], r["id"]))
+    orders = [[i for _, _, i in sorted(x)] for x in epochs.values()]
+    assert len(orders) == 2 and all(len(o) == 48 == len(set(o)) for o in orders) and orders[0] != orders[1]
+
+
+# ---- folds in stretches ----
+
+
+def test_folds_in_stretches_are_the_whole_fold(spark):
+    r = np.random.default_rng(5)
+    rows = [(int(k), i, float(v)) for i, (k, v) in enumerate(zip(r.integers(0, 3, 500), r.normal(size=500), strict=True))]
+    d = spark.createDataFrame(rows, "k long, i long, v double").repartition(3)
+    want, mean = {}, {}
+    for k, i, v in rows:
+        want[k] = want.get(k, 0.0) * 0.9 + v * 0.1
+        s, n = mean.get(k, (0.0, 0))[:2]
+        mean[k] = (s + v, n + 1)
+    for chunk in (1, 7, 4096):
+        got = {x["k"]: x["ema"] for x in schedules.ema(d, "k", "i", "v", chunk=chunk).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+        last = history.running_mean(d, "k", "i", "v", chunk).groupBy("k").agg(F.max_by("running", "i").alias("m")).collect()
+        assert all(abs(x["m"] - mean[x["k"]][0] / mean[x["k"]][1]) < 1e-12 for x in last)
+
+
+def test_neighbours_in_many_tiles_are_the_same(spark):
+    r = np.random.default_rng(4)
+    m = np.round(r.normal(size=(120, 4)), 1)
+    rows = [(i * 7 - 300, v.tolist(), i % 3) for i, v in enumerate(m)]
+    want = sorted(tuple(x) for x in similarity.nearest(vectors(spark, rows), k=6).collect())
+    assert len(want) == 720 and sorted(tuple(x) for x in similarity.nearest(vectors(spark, rows), k=6, size=7).collect()) == want
