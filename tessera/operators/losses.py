@@ -6,8 +6,9 @@ Only what spans a batch (the assignment's sums, means) is shuffled, by batch.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import bind, dot, l2_normalize, log_softmax, softmax, total
@@ -18,20 +19,27 @@ STUDENT_TEMPERATURE, TEACHER_TEMPERATURE, SINKHORN_TEMPERATURE, ROUNDS = 0.1, 0.
 
 
 def sinkhorn(rows: DataFrame, batch: str, key: list[str], x: str, temperature: float = SINKHORN_TEMPERATURE, rounds: int = ROUNDS) -> DataFrame:
-    """batch, key, k, q: balanced assignment of a batch's rows to the places k of the array x.
+    """batch, key, q: balanced assignment of a batch's rows to the places of the array x, an array per row.
 
     exp(x / temperature), the row's largest value taken off first, is scaled so that every place gets the same share of the
-    batch and every row the same total, in turn; the result sums to 1 in each row.  One shuffle by
-    batch serves all sums; a batch is a bounded number of rows.
+    batch and every row the same total, in turn; the result sums to 1 in each row.  A batch, a bounded number of
+    rows, is one matrix in one task.  Rows without x are left out.
     """
-    at = [F.col(c) for c in key]
-    each = rows.repartition(batch).select(batch, *key, F.posexplode(bind(F.array_max(x), lambda m: F.transform(x, lambda v: F.exp((v - m) / F.lit(temperature))))).alias("k", "q"))
-    all_, place, row = W.partitionBy(batch), W.partitionBy(batch, "k"), W.partitionBy(batch, *at)
-    each = each.withColumn("q", F.col("q") / F.sum("q").over(all_)).withColumn("n_k", F.size(F.collect_set("k").over(row))).withColumn("n_rows", F.count(F.lit(1)).over(place))
-    for _ in range(rounds):
-        each = each.withColumn("q", F.col("q") / (F.sum("q").over(place) * F.col("n_k")))
-        each = each.withColumn("q", F.col("q") / (F.sum("q").over(row) * F.col("n_rows")))
-    return each.select(batch, *key, "k", (F.col("q") * F.col("n_rows")).alias("q"))
+
+    def balance(table: pa.Table) -> pa.Table:
+        values = table.column(x).combine_chunks()
+        m = values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
+        q = np.exp((m - m.max(1, keepdims=True)) / temperature)
+        n, k = q.shape
+        q /= q.sum()
+        for _ in range(rounds):
+            q /= q.sum(0, keepdims=True) * k
+            q /= q.sum(1, keepdims=True) * n
+        return table.select([batch, *key]).append_column("q", pa.array(list(q * n), pa.list_(pa.float64())))
+
+    given = rows.where(F.col(x).isNotNull()).select(batch, *key, x)
+    schema = ", ".join(f"`{c}` {given.schema[c].dataType.simpleString()}" for c in (batch, *key))
+    return given.groupBy(batch).applyInArrow(balance, f"{schema}, q array<double>")
 
 
 def turned(x: Column | str, v: int) -> Column:
@@ -101,14 +109,13 @@ def _views(spark, sf_dir) -> DataFrame:
 def _assigned(spark, sf_dir) -> DataFrame:
     """vec_id, teachers: the assignments of both global views, made over the batch's views together."""
     two = _views(spark, sf_dir).select("vec_id", "batch", F.inline(F.array(*[F.struct(F.lit(v).alias("view"), turned("x", v).alias("x")) for v in range(GLOBALS)])))
-    q = sinkhorn(two, "batch", ["vec_id", "view"], "x")
-    rows = q.groupBy("batch", "vec_id", "view").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "q"))), lambda s: s["q"]).alias("t"))  # DIM values
-    return rows.groupBy("batch", "vec_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("view", "t"))), lambda s: s["t"]).alias("teachers"))
+    rows = sinkhorn(two, "batch", ["vec_id", "view"], "x")
+    return rows.groupBy("batch", "vec_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("view", "q"))), lambda s: s["q"]).alias("teachers"))
 
 
 def sinkhorn_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = _views(spark, sf_dir).select("vec_id", "batch", F.inline(F.array(*[F.struct(F.lit(v).alias("view"), turned("x", v).alias("x")) for v in range(GLOBALS)])))
-    return sinkhorn(two, "batch", ["vec_id", "view"], "x").select("vec_id", "view", "k", F.round("q", 6).alias("q"))
+    return sinkhorn(two, "batch", ["vec_id", "view"], "x").select("vec_id", "view", F.posexplode("q").alias("k", "q")).select("vec_id", "view", "k", F.round("q", 6).alias("q"))
 
 
 def _dino(spark, sf_dir) -> DataFrame:
