@@ -24,13 +24,14 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .arrays import Spans, joined, mixed, pieces, runs, split
-from .common import SPACE, fresh, table, written
+from .common import SPACE, dealt, fresh, table, written
 from .components import components
 
 N, NUMERATOR, DENOMINATOR = 5, 75, 100
 BITS, FAN = 2048, 8
-#: The share of hashes whose members are counted, as a 63-bit number, and from where on a count makes no difference.
-BELOW, MOST_COUNTED = int(0.4 * (1 << 63)), 1_000_000
+#: The share of hashes whose members are counted, as a 63-bit number, and from where on a count makes no difference.  With 0.7 of
+#: them, a text looks at what it shares with very many only if that makes up some two thirds of it.
+BELOW, MOST_COUNTED = int(0.7 * (1 << 63)), 1_000_000
 PART = 3000
 #: A token with so many classes in one task is dealt to SALTS more tasks.
 HOT, SALTS = 200, 64
@@ -335,7 +336,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
 def _rooted(docs: DataFrame, key: str, text: str, n: int = N, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, part: int = PART, most_counted: int = MOST_COUNTED, hot: int = HOT) -> DataFrame:
     """id, text_key, n, root of every row, the root null for texts without words; first, bare: the root's smallest (id, text_key) and, of rows without an id, text_key."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = dealt(docs).select(F.col(key).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     measured = written(rows.mapInArrow(_measure(n, numerator, denominator), "id long, text_key long, n long, class long, told long"), "classes")
     classes = measured.where("class IS NOT NULL").groupBy("class").agg(F.min("text_key").alias("text_key"), F.min("n").alias("n"), F.min("told").alias("told"))
     tokens = rows.select("text").mapInArrow(_members(n, numerator, denominator, hot), "token long, salt int, class long")

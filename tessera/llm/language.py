@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .arrays import pieces, runs
-from .common import table
+from .common import dealt, table
 
 LENGTH = 300
 BITS = 21  # of a code point
@@ -94,7 +94,7 @@ def profiles(docs: DataFrame, text: str = "text", lang: str = "lang", length: in
                 yield pa.RecordBatch.from_arrays([pa.array([x] * len(g)), pa.array(g), pa.array(k[a : a + 100_000])], ["lang", "gram", "n"])
 
     ship(docs.sparkSession)
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    rows = dealt(docs).where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(W.partitionBy("lang").orderBy(F.col("n").desc(), "gram")) - 1
     return counts.withColumn("rank", place).where(F.col("rank") < length).select("lang", "gram", "rank")
@@ -148,7 +148,7 @@ def identify(docs: DataFrame, learned: list[tuple[str, int, int]], text: str = "
             found = [names[k] if s else UNKNOWN for k, s in zip(best.tolist(), some.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string()), pa.array(np.where(some, score, 0.0))], [*kept, "lang_pred", "score"])
 
-    return docs.mapInArrow(judge, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", lang_pred string, score double")
+    return dealt(docs).mapInArrow(judge, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", lang_pred string, score double")
 
 
 def held_out(key: Column, of: int, rest: int) -> Column:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .arrays import Spans, joined, mixed, pieces, runs
-from .common import fresh, table, written
+from .common import dealt, fresh, table, written
 
 LENGTH, K = 200, 64
 CHUNK = 1 << 20  # bytes of contexts in one transform
@@ -348,7 +348,7 @@ def remove(docs: DataFrame, text: str = "text", length: int = LENGTH, **options)
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")])
     key, data, found = (fresh(docs, x) for x in ("sx_key", "sx_data", "sx_found"))
-    rows = docs.withColumn(data, F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    rows = dealt(docs).withColumn(data, F.coalesce(F.col(text), F.lit("")).cast("binary"))
     rows = rows.withColumn(key, F.unhex(F.md5(data)))
     texts = rows.select(F.col(key).alias("key"), F.col(data).alias("data"))
     every = spans(texts, length, **options).groupBy(F.col("key").alias(key)).agg(F.collect_set("span").alias(found))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .arrays import Spans, joined, pieces, runs, split
-from .common import table, written
+from .common import dealt, table, written
 from .language import held_out
 
 #: The documented bounds of the labelled sample, by label.
@@ -208,7 +208,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         own = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(own, -1)), pa.array(np.append(total[own], n))], ["at", "n"])
 
-    every = {r["at"]: r["n"] for r in docs.select(F.col(text).alias("text")).mapInArrow(frequencies, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
+    every = {r["at"]: r["n"] for r in dealt(docs.select(F.col(text).alias("text"))).mapInArrow(frequencies, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
     idf = np.log((every.get(-1, 0) + 1) / np.array([every.get(i, 0) + 1 for i in range(len(vocabulary))])) if len(vocabulary) else np.zeros(0)
 
     def project(batches):
@@ -254,7 +254,7 @@ def score(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
                 scores[doc[s]], evidence[doc[s]] = seen[own]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(evidence, pa.list_(pa.int64()))], [*kept, "score", "predicted", "evidence"])
 
-    return docs.mapInArrow(judge, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double, predicted int, evidence array<long>")
+    return dealt(docs).mapInArrow(judge, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double, predicted int, evidence array<long>")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
