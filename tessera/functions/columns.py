@@ -47,11 +47,6 @@ def l2_normalize(a: Column, eps: float = 1e-12) -> Column:
     return bind(F.greatest(norm(a), F.lit(eps)), lambda n: F.transform(a, lambda x: x / n))
 
 
-def distance(a: Column, b: Column, eps: float = 1e-8) -> Column:
-    """The length of a - b + eps, eps being added to every element."""
-    return norm(F.zip_with(a, b, lambda x, y: x - y + F.lit(eps)))
-
-
 def log_softmax(x: Column, temperature: float = 1.0) -> Column:
     """Log of the softmax of x / temperature; the largest value is taken off before exp."""
     t = F.lit(float(temperature))
@@ -64,12 +59,3 @@ def log_softmax(x: Column, temperature: float = 1.0) -> Column:
 
 def softmax(x: Column, temperature: float = 1.0) -> Column:
     return F.transform(log_softmax(x, temperature), F.exp)
-
-
-def rotate(xs: Column, by: Column | int, n: int) -> Column:
-    """Element k of the result is element (k + by) mod n."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.get(xs, F.pmod(k + by, F.lit(n))))
-
-
-def rounded(xs: Column, digits: int = 6) -> Column:
-    return F.transform(xs, lambda x: F.round(x, digits))

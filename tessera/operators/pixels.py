@@ -261,6 +261,11 @@ def blur_3tap(spark, sf_dir):
     return checks(_unit(spark, sf_dir), blur(F.col("px"), draw("blur", "sigma", 0.1, 2.0)))
 
 
+def blur_9tap(spark, sf_dir):
+    """The kernel of one of the recipes."""
+    return checks(_unit(spark, sf_dir), blur(F.col("px"), draw("blur", "sigma", 0.1, 2.0), 4))
+
+
 def translate_fill(spark, sf_dir):
     shift = lambda what: F.floor(draw("translate", what, -0.1 * H, 0.1 * H) + 0.5).cast("int")
     return checks(images(spark, sf_dir), translate(F.col("px"), shift("y"), shift("x"), [F.lit(float(round(m * 255))) for m in MEAN["benthic"]]))
@@ -277,7 +282,7 @@ def patchify_query(spark, sf_dir):
     return d.select("vec_id", "patch", total(F.col("v")).alias("total"), total(F.transform("v", lambda v, i: v * i)).alias("moment"))
 
 
-QUERIES = {f.__name__: f for f in (rotate90, channel_atten, marine_snow, marine_physics, normalize_pixels, blur_3tap, translate_fill, pixel_mask)} | {
+QUERIES = {f.__name__: f for f in (rotate90, channel_atten, marine_snow, marine_physics, normalize_pixels, blur_3tap, blur_9tap, translate_fill, pixel_mask)} | {
     "solarize": solarize_query, "flip": flip_query, "vignette": vignette_query, "turbidity": turbidity_query, "denormalize": denormalize_query,
     "grayscale": grayscale_query, "color_jitter": color_jitter_query, "patchify": patchify_query,
 }
@@ -336,6 +341,8 @@ m AS (SELECT *, list_sum({_LUMA('y')}) / 64 AS m FROM x), z AS (SELECT *, list_t
 o AS (SELECT vec_id, CASE WHEN u < 0.8::DOUBLE THEN list_transform(z, lambda v, i: {_CLAMP('v * s + g[(i - 1) % 64 + 1] * (1 - s)')}) ELSE p END AS p FROM g) SELECT vec_id, round(list_sum(p), 6) AS total, round(list_sum(list_transform(p, lambda v, i: v * (i - 1))) / 192, 6) AS moment FROM o""",
     "blur_3tap": _sql(f"list_transform(range(1, 193), lambda i: (r[({_C} * 8 + {_MIRROR(f'{_Y} - 1')}) * 8 + {_X} + 1] * g + r[i] + r[({_C} * 8 + {_MIRROR(f'{_Y} + 1')}) * 8 + {_X} + 1] * g) / (1 + 2 * g))", "rw",
                       f", sg AS (SELECT *, exp(-0.5::DOUBLE / pow({_u('blur', 'sigma', 0.1, 2.0)}, 2)) AS g FROM un), rw AS (SELECT vec_id, g, list_transform(range(1, 193), lambda i: (p[({_C} * 8 + {_Y}) * 8 + {_MIRROR(f'{_X} - 1')} + 1] * g + p[i] + p[({_C} * 8 + {_Y}) * 8 + {_MIRROR(f'{_X} + 1')} + 1] * g) / (1 + 2 * g)) AS r FROM sg)"),
+    "blur_9tap": _sql(f"list_transform(range(1, 193), lambda i: list_sum(list_transform(range(-4, 5), lambda k: r[({_C} * 8 + {_MIRROR(f'{_Y} + k')}) * 8 + {_X} + 1] * g[k + 5])))", "rw",
+                      f", sg AS (SELECT vec_id, p, list_transform(range(-4, 5), lambda k: exp(-0.5::DOUBLE * pow(k / {_u('blur', 'sigma', 0.1, 2.0)}, 2))) AS e FROM un), sh AS (SELECT vec_id, p, list_transform(e, lambda v: v / list_sum(e)) AS g FROM sg), rw AS (SELECT vec_id, g, list_transform(range(1, 193), lambda i: list_sum(list_transform(range(-4, 5), lambda k: p[({_C} * 8 + {_Y}) * 8 + {_MIRROR(f'{_X} + k')} + 1] * g[k + 5]))) AS r FROM sh)"),
     "translate_fill": _sql(f"list_transform(range(1, 193), lambda i: CASE WHEN {_Y} - dy BETWEEN 0 AND 7 AND {_X} - dx BETWEEN 0 AND 7 THEN p[({_C} * 8 + {_Y} - dy) * 8 + {_X} - dx + 1] ELSE {_by([float(round(m * 255)) for m in MEAN['benthic']])} END)", extra=f", CAST(floor({_u('translate', 'y', -0.8, 0.8)} + 0.5::DOUBLE) AS INTEGER) AS dy, CAST(floor({_u('translate', 'x', -0.8, 0.8)} + 0.5::DOUBLE) AS INTEGER) AS dx"),
     "pixel_mask": f"""WITH {masks.HIDDEN_SQL.replace('range(2) v(view)', 'range(1) v(view)')}, mk AS (SELECT s.vec_id, list(h.patch) AS hidden FROM s LEFT JOIN h ON h.vec_id = s.vec_id GROUP BY s.vec_id), {_IMAGES}, nm AS (SELECT vec_id, {_NORMAL} AS p FROM im),
 oo AS (SELECT vec_id, list_transform(p, lambda v, i: CASE WHEN list_contains(hidden, CAST({_Y} // 2 * 4 + {_X} // 2 AS INTEGER)) THEN 0 ELSE v END) AS p FROM nm JOIN mk USING (vec_id)) SELECT vec_id, round(list_sum(p), 6) AS total, round(list_sum(list_transform(p, lambda v, i: v * (i - 1))) / 192, 6) AS moment FROM oo""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -18,7 +19,9 @@ def ship(spark: SparkSession) -> SparkSession:
         root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         with tempfile.TemporaryDirectory() as staging:
             shutil.copytree(os.path.join(root, "tessera"), os.path.join(staging, "package", "tessera"), ignore=shutil.ignore_patterns("__pycache__"))
-            archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "tessera"), "zip", os.path.join(staging, "package"))
+            kept = tempfile.mkdtemp()  # the driver serves the archive from here to its end
+            atexit.register(shutil.rmtree, kept, True)
+            archive = shutil.make_archive(os.path.join(kept, "tessera"), "zip", os.path.join(staging, "package"))
         context.addPyFile(archive)
         _SHIPPED.add(context.applicationId)
     return spark
