@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import bind, dot, l2_normalize, log_softmax, softmax, total
+from ..functions.frames import written
 from . import masks, similarity
 
 DIM, GLOBALS, LOCALS, TOKENS, WIDTH = 64, 2, 8, 16, 4
@@ -106,9 +107,9 @@ def _views(spark, sf_dir) -> DataFrame:
     return masks.samples(spark, sf_dir).select("vec_id", "batch", "x")
 
 
-def _assigned(spark, sf_dir) -> DataFrame:
+def _assigned(rows: DataFrame) -> DataFrame:
     """vec_id, teachers: the assignments of both global views, made over the batch's views together."""
-    two = _views(spark, sf_dir).select("vec_id", "batch", F.inline(F.array(*[F.struct(F.lit(v).alias("view"), turned("x", v).alias("x")) for v in range(GLOBALS)])))
+    two = rows.select("vec_id", "batch", F.inline(F.array(*[F.struct(F.lit(v).alias("view"), turned("x", v).alias("x")) for v in range(GLOBALS)])))
     rows = sinkhorn(two, "batch", ["vec_id", "view"], "x")
     return rows.groupBy("batch", "vec_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("view", "q"))), lambda s: s["q"]).alias("teachers"))
 
@@ -118,9 +119,9 @@ def sinkhorn_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinkhorn(two, "batch", ["vec_id", "view"], "x").select("vec_id", "view", F.posexplode("q").alias("k", "q")).select("vec_id", "view", "k", F.round("q", 6).alias("q"))
 
 
-def _dino(spark, sf_dir) -> DataFrame:
+def _dino(samples: DataFrame) -> DataFrame:
     """batch, g and l: the global and the local part, from one pass over the samples and their assignments."""
-    rows = _views(spark, sf_dir).join(_assigned(spark, sf_dir), ["batch", "vec_id"])
+    rows = samples.select("vec_id", "batch", "x").join(_assigned(samples), ["batch", "vec_id"])
     students = lambda first, n: F.array(*[log_softmax(turned("x", v), STUDENT_TEMPERATURE) for v in range(first, first + n)])
     part = lambda first, n, skip: bind(students(first, n), lambda s: cross_entropies(s, F.col("teachers"), skip))
     rows = rows.select("batch", part(0, GLOBALS, True).alias("g"), part(GLOBALS, LOCALS, False).alias("l"))
@@ -129,15 +130,15 @@ def _dino(spark, sf_dir) -> DataFrame:
 
 
 def dino_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dino(spark, sf_dir).select("batch", F.round("g", 6).alias("loss"))
+    return _dino(_views(spark, sf_dir)).select("batch", F.round("g", 6).alias("loss"))
 
 
 def dino_local(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dino(spark, sf_dir).select("batch", F.round("l", 6).alias("loss"))
+    return _dino(_views(spark, sf_dir)).select("batch", F.round("l", 6).alias("loss"))
 
 
-def _ibot(spark, sf_dir) -> DataFrame:
-    rows = masks.hidden(masks.slots(masks.samples(spark, sf_dir), ["vec_id"], "batch"), ["vec_id"])
+def _ibot(samples: DataFrame) -> DataFrame:
+    rows = masks.hidden(masks.slots(samples, ["vec_id"], "batch"), ["vec_id"])
     viewed = F.when(F.col("view") == 0, tokens("x")).otherwise(tokens("x", 1))
     rows = rows.select("batch", "mask", viewed.alias("student"), F.when(F.col("view") == 0, tokens("x", 1)).otherwise(tokens("x", 2)).alias("teacher"))
     ce = F.zip_with("student", "teacher", lambda s, t: -dot(softmax(t, TEACHER_TEMPERATURE), log_softmax(s, STUDENT_TEMPERATURE)))
@@ -147,7 +148,7 @@ def _ibot(spark, sf_dir) -> DataFrame:
 
 def ibot_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All slots of both views count in the denominator, those without a mask too."""
-    return _ibot(spark, sf_dir).select("batch", F.round("loss", 6).alias("loss"))
+    return _ibot(_views(spark, sf_dir)).select("batch", F.round("loss", 6).alias("loss"))
 
 
 def masked_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,12 +173,12 @@ def _gram(negatives: str):
     return query
 
 
-def _gram_batch(spark, sf_dir) -> DataFrame:
-    return gram_batch_loss(_views(spark, sf_dir).select("batch", tokens("x").alias("s"), tokens("x", 1).alias("t")), "batch", "s", "t")
+def _gram_batch(samples: DataFrame) -> DataFrame:
+    return gram_batch_loss(samples.select("batch", tokens("x").alias("s"), tokens("x", 1).alias("t")), "batch", "s", "t")
 
 
 def gram_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gram_batch(spark, sf_dir).select("batch", "n", F.round("loss", 6).alias("loss"))
+    return _gram_batch(_views(spark, sf_dir)).select("batch", "n", F.round("loss", 6).alias("loss"))
 
 
 def log_softmax_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +195,8 @@ def center_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 def total_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both cross-view parts by their share of pairs, masked patches, a tenth of the entropy part and all of the Gram part."""
     name = lambda df, c: df.select("batch", F.col("loss").alias(c))
-    parts = [_dino(spark, sf_dir), name(_ibot(spark, sf_dir), "i"), name(similarity.koleo(spark, sf_dir), "e"), name(_gram_batch(spark, sf_dir), "m")]
+    rows = written(_views(spark, sf_dir), "samples")  # read by all parts
+    parts = [_dino(rows), name(_ibot(rows), "i"), name(similarity.koleo_of(rows), "e"), name(_gram_batch(rows), "m")]
     out = parts[0]
     for p in parts[1:]:
         out = out.join(p, "batch")

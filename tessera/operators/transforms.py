@@ -14,6 +14,8 @@ from ..session import ship
 from .kernels import taps, turned_hue
 from .pixels import LUMA
 
+#: Bytes of results after which they are handed on.
+OUT_BYTES = 16 << 20
 MADE = "view int, dims array<int>, dtype string, data binary"
 
 
@@ -27,7 +29,14 @@ def fanned(images: DataFrame, fn, keep: list[str], given: tuple[str, ...] = (),
     def run(batches):
         for b in batches:
             column = lambda c: b.column(b.schema.get_field_index(c))  # noqa: B023, E731
-            for i in range(b.num_rows):  # a row's views at a time: images are large
+            rows, found, size = [], [], 0
+
+            def out():
+                kept = [column(c).take(pa.array(rows)) for c in keep]  # noqa: B023
+                number, arrays = zip(*found, strict=True)  # noqa: B023
+                return pa.RecordBatch.from_arrays([*kept, pa.array(number, pa.int32()), pa.array([list(m.shape) for m in arrays], pa.list_(pa.int32())), pa.array([m.dtype.str for m in arrays]), pa.array([np.ascontiguousarray(m).tobytes() for m in arrays], pa.binary())], [*keep, "view", "dims", "dtype", "data"])
+
+            for i in range(b.num_rows):
                 h, w, data = (column(c)[i].as_py() for c in ("height", "width", "pixels"))
                 if data is None or h is None or h < 0:
                     continue
@@ -38,10 +47,14 @@ def fanned(images: DataFrame, fn, keep: list[str], given: tuple[str, ...] = (),
                         raise
                     continue
                 made = [m for m in made or () if m is not None]
-                if made:
-                    n = len(made)
-                    kept = [pa.concat_arrays([column(c).slice(i, 1)] * n) for c in keep]
-                    yield pa.RecordBatch.from_arrays([*kept, pa.array(range(n), pa.int32()), pa.array([list(m.shape) for m in made], pa.list_(pa.int32())), pa.array([m.dtype.str for m in made]), pa.array([np.ascontiguousarray(m).tobytes() for m in made], pa.binary())], [*keep, "view", "dims", "dtype", "data"])
+                rows += [i] * len(made)
+                found += enumerate(made)
+                size += sum(m.nbytes for m in made)
+                if size >= OUT_BYTES:
+                    yield out()
+                    rows, found, size = [], [], 0
+            if found:
+                yield out()
 
     ship(images.sparkSession)
     wanted = list(dict.fromkeys([*keep, "height", "width", "pixels", *given]))
@@ -59,17 +72,27 @@ def transformed(images: DataFrame, fn, keep: list[str], given: tuple[str, ...] =
     return fanned(images, one, keep, given, on_error).drop("view")
 
 
-def values(made: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, dims and values of what functions returned, as an array of doubles in the array's own order."""
+def _each(made: DataFrame, keep: list[str], name: str, kind: str, body) -> DataFrame:
+    """keep, dims and one more column: body(array) of what functions returned."""
 
     def run(batches):
         for b in batches:
-            kinds, data = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("dtype", "data"))
-            flat = [np.frombuffer(d, k).astype(np.float64) for k, d in zip(kinds, data, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in (*keep, "dims")), pa.array(flat, pa.list_(pa.float64()))], [*keep, "dims", "values"])
+            column = lambda c: b.column(b.schema.get_field_index(c))  # noqa: B023, E731
+            found = [body(np.frombuffer(d, k).astype(np.float64)) for k, d in zip(column("dtype").to_pylist(), column("data").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(column(c) for c in (*keep, "dims")), pa.array(found, pa.list_(pa.float64()) if kind == "array<double>" else pa.float64())], [*keep, "dims", name])
 
     schema = ", ".join(f"`{c}` {made.schema[c].dataType.simpleString()}" for c in (*keep, "dims"))
-    return made.mapInArrow(run, f"{schema}, values array<double>")
+    return made.mapInArrow(run, f"{schema}, {name} {kind}")
+
+
+def values(made: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, dims and values of what functions returned, as an array of doubles in the array's own order."""
+    return _each(made, keep, "values", "array<double>", lambda x: x)
+
+
+def means(made: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, dims and the mean of what functions returned."""
+    return _each(made, keep, "mean", "double", lambda x: float(x.mean()))
 
 
 # ---- steps on height x width x 3 arrays of whole values from 0 to 255 ----
@@ -79,19 +102,25 @@ def whole(x: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(x + 0.5), 0, 255)
 
 
+def _both(m: np.ndarray, down: np.ndarray, across: np.ndarray) -> np.ndarray:
+    """Resampled along columns, then along rows."""
+    h, w, c = m.shape
+    m = (down @ m.reshape(h, w * c)).reshape(-1, w, c)
+    return whole((across @ m).reshape(len(down), len(across), c))
+
+
 def cropped(image: np.ndarray, top: int, left: int, height: int, width: int, side: int, linear: bool = False) -> np.ndarray:
     """A box of an image at side x side."""
     box = image[top : top + height, left : left + width].astype(float)
     down, across = taps(0, height, height, side, linear), taps(0, width, width, side, linear)
-    return whole(np.einsum("xw,ywc->yxc", across, np.tensordot(down, box, 1), optimize=True))
+    return _both(box, down, across)
 
 
 def resized(image: np.ndarray, side: int, linear: bool = True) -> np.ndarray:
     """The short side at `side`, then the central square."""
     h, w = image.shape[:2]
     nh, nw = (side, int(side * w / h)) if h <= w else (int(side * h / w), side)
-    m = image.astype(float)
-    m = whole(np.einsum("xw,ywc->yxc", taps(0, w, w, nw, linear), np.tensordot(taps(0, h, h, nh, linear), m, 1), optimize=True))
+    m = _both(image.astype(float), taps(0, h, h, nh, linear), taps(0, w, w, nw, linear))
     top, left = round((nh - side) / 2), round((nw - side) / 2)
     return m[top : top + side, left : left + side]
 

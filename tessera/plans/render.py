@@ -9,6 +9,7 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,13 +145,18 @@ def notebook_views(images: DataFrame, key: str = "path", seed: int = 0, n_local:
 # ---- queries ----
 
 
-def synthetic(spark: SparkSession, sf_dir: str, key: str = "doc_id") -> DataFrame:
-    """An image per document, of three sizes: pixel c of place i is (7 i + 61 c + 13 id) mod 256."""
-    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"))
-    side = (F.col("doc_id") % 3 * 8 + 16).cast("int")
-    byte = lambda i: (F.floor(i / 3) * 7 + i % 3 * 61 + F.col("doc_id") * 13) % 256
-    hexes = F.transform(F.sequence(F.lit(0), side * (side + 4) * 3 - 1), lambda i: F.lpad(F.hex(byte(i)), 2, "0"))
-    return d.select("doc_id", side.alias("height"), (side + 4).alias("width"), F.unhex(F.array_join(hexes, "")).alias("pixels"))
+def synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, height, width, pixels: an image per document, of three sizes: byte i, channel c of place p, is (7 p + 61 c + 13 doc_id) mod 256."""
+
+    def paint(batches):
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            sides = [k % 3 * 8 + 16 for k in ids]
+            byte = lambda k, n: ((7 * np.arange(n)[:, None] + 61 * np.arange(3)[None, :] + 13 * k) % 256).astype(np.uint8).tobytes()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sides, pa.int32()), pa.array([s + 4 for s in sides], pa.int32()), pa.array([byte(k, s * (s + 4)) for k, s in zip(ids, sides, strict=True)], pa.binary())], ["doc_id", "height", "width", "pixels"])
+
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id")))
+    return d.mapInArrow(paint, "doc_id long, height int, width int, pixels binary")
 
 
 def plain_views(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,8 +183,7 @@ def render_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rendered_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every image's views by the marine recipe, as normalised floats: their sizes and means."""
     made = rendered(synthetic(spark, sf_dir), "marine", "doc_id", config=RunConfig("-", n_global=2, n_local=2, image_side=32), local_side=16)
-    v = t.values(made, ["doc_id", "view"])
-    return v.select("doc_id", "view", F.get("dims", F.lit(1)).alias("side"), F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x) / F.size("values"), 4).alias("mean"))
+    return t.means(made, ["doc_id", "view"]).select("doc_id", "view", F.get("dims", F.lit(1)).alias("side"), F.round("mean", 4).alias("mean"))
 
 
 QUERIES = {f.__name__: f for f in (plain_views, render_plan, rendered_views)}

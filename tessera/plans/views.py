@@ -59,12 +59,15 @@ def resized_crop_box(height: Column, width: Column, low: Column, high: Column, *
 
         return bind(height * width * (low + u("area", k) * (high - low)), sized)
 
-    tried = F.filter(F.transform(F.sequence(F.lit(0), F.lit(TRIES - 1)), one), lambda b: (b["width"] > 0) & (b["width"] <= width) & (b["height"] > 0) & (b["height"] <= height))
+    fits = lambda b: (b["width"] > 0) & (b["width"] <= width) & (b["height"] > 0) & (b["height"] <= height)
+    # most first draws fit, so the others are only drawn where it didn't
+    first = F.get(F.filter(F.transform(F.array(F.lit(0)), one), fits), F.lit(0))
+    others = F.get(F.filter(F.transform(F.sequence(F.lit(1), F.lit(TRIES - 1)), one), fits), F.lit(0))
     shape = width / height
     w = F.when(shape > RATIO[1], F.bround(height * F.lit(RATIO[1])).cast("int")).otherwise(width)
     h = F.when(shape < RATIO[0], F.bround(width / F.lit(RATIO[0])).cast("int")).otherwise(height)
     middle = F.struct(((height - h) / 2).cast("int").alias("top"), ((width - w) / 2).cast("int").alias("left"), h.alias("height"), w.alias("width"))
-    return F.coalesce(F.get(tried, F.lit(0)), middle)
+    return F.coalesce(first, others, middle)
 
 
 def center_crop_box(height: Column, width: Column, side: int) -> Column:
