@@ -11,11 +11,13 @@
    sizes are too far apart, the common bits allow too small an overlap, or all is linked already.
    What is left is compared exactly.
 4. Links give components.  A bucket with very many sets is split: first each part is compared with the
-   bucket's own class, then whatever isn't linked to it with every part.
+   bucket's own class, then whatever isn't linked to it with the sets of about its size, in parts.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -364,18 +366,24 @@ def _rooted(docs: DataFrame, key: str, text: str, n: int = N, numerator: int = N
     edges = written(solve(first, False), "edges")
     if sizes.take(1):
         roots = components(edges)
-        large = placed.where("m IS NOT NULL").select("class", "hub", "part", "parts", "m")
+        large = placed.where("m IS NOT NULL").select("class", "hub").join(classes.select("class", "n"), "class")
         of = lambda c, name: roots.select(F.col("node").alias(c), F.col("root").alias(name))
         large = large.join(of("class", "own"), "class", "left").join(of("hub", "theirs"), "hub", "left")
         away = ~F.coalesce(F.col("own"), F.col("class")).eqNullSafe(F.coalesce(F.col("theirs"), F.col("hub")))
-        large = written(large.withColumn("other", away).select("class", "hub", "part", "parts", "other"), "members")
-        others = large.where("other").groupBy("hub").agg(F.count(F.lit(1)).alias("k"))
-        large = large.join(others, "hub").withColumn("tables", F.ceil(F.col("k") / part)).withColumn("turn", F.pmod(F.xxhash64("class", F.lit(1)), F.col("tables")))
-        # task (part, table) holds a part of all classes and a table of those that aren't linked to the hub
-        zero = F.lit(0).cast("long")
-        columns = large.select("class", "hub", F.explode(F.sequence(zero, F.col("tables") - 1)).alias("t"), "part", "tables", F.lit(False).alias("other"))
-        lines = large.where("other").select("class", "hub", F.col("turn").alias("t"), F.explode(F.sequence(zero, F.col("parts") - 1)).alias("part"), "tables", "other")
-        again = columns.unionByName(lines).select("class", "hub", (F.col("part") * F.col("tables") + F.col("t")).alias("part"), "other")
+        # alike sets are in the same band of sizes or in neighbouring ones
+        band = F.floor(F.log("n") / F.lit(max(1e-9, 1.001 * math.log(denominator / numerator))))
+        large = written(large.select("class", "hub", away.alias("other"), band.alias("band")), "members")
+        # those that aren't linked to the hub make tables, band by band; each table meets all classes of its band and the next ones, in parts
+        tables = large.where("other").groupBy("hub", "band").agg(F.ceil(F.count(F.lit(1)) / part).alias("tables"))
+        near_ = large.select("class", "hub", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band")).join(tables, ["hub", "band"])
+        parts_ = near_.groupBy("hub", "band").agg(F.ceil(F.count(F.lit(1)) / part).alias("parts"), F.max("tables").alias("tables"))
+        zero, of_band = F.lit(0).cast("long"), F.col("band") * F.lit(1 << 40)
+        bucket = of_band + F.col("part") * F.col("tables") + F.col("t")
+        dealt_ = lambda what, *salt: F.pmod(F.xxhash64("class", *salt), F.col(what))
+        columns = near_.drop("tables").join(parts_, ["hub", "band"]).withColumn("part", dealt_("parts")).withColumn("t", F.explode(F.sequence(zero, F.col("tables") - 1)))
+        lines = large.where("other").drop("other").join(parts_, ["hub", "band"]).withColumn("t", dealt_("tables", F.lit(1))).withColumn("part", F.explode(F.sequence(zero, F.col("parts") - 1)))
+        meet = lambda rows, other: rows.select("class", "hub", bucket.alias("part"), F.lit(other).alias("other"))
+        again = meet(columns, False).unionByName(meet(lines, True))
         edges = written(edges.unionByName(solve(again, True)), "edges")
     roots = components(edges).select(F.col("node").alias("class"), "root")
     rooted = measured.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")).select("id", "text_key", "n", "root")
