@@ -31,9 +31,9 @@ from .components import components
 
 N, NUMERATOR, DENOMINATOR = 5, 75, 100
 BITS, FAN = 2048, 8
-#: The share of hashes whose members are counted, as a 63-bit number, and from where on a count makes no difference.  With 0.7 of
-#: them, a text looks at what it shares with very many only if that makes up some two thirds of it.
-BELOW, MOST_COUNTED = int(0.7 * (1 << 63)), 1_000_000
+#: The share of hashes whose members are counted, as a 63-bit number, and from where on a count makes no difference.  With 0.55 of
+#: them, a text looks at what it shares with very many only if that makes up some half of it; more of them fill more disk.
+BELOW, MOST_COUNTED = int(0.55 * (1 << 63)), 1_000_000
 PART = 3000
 #: A token with so many classes in one task is dealt to SALTS more tasks.
 HOT, SALTS = 200, 64
