@@ -93,9 +93,12 @@ def emit(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str
     Nulls, repeated rows and empty tables: as `mix` has them; texts without words are never taken.
     """
     name = {c: f"c{i}_{c}" for i, c in enumerate(docs.columns)}
-    plain = docs.select([docs[c].alias(x) for c, x in name.items()] + [F.size(words(docs[text])).alias("mix_words")])
-    mixed = mix(plain, F.col("mix_words"), name[source], name[key], **options).where("copies > 0")
-    taken = mixed.select(*name.values(), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    plain = docs.select([docs[c].alias(x) for c, x in name.items()] + [F.size(words(docs[text])).alias("mix_words"), F.monotonically_increasing_id().alias("mix_row")])
+    held = written(plain, "sized")  # words are counted once, and row numbers stay
+    # ranges of sizes would put the longest texts into one task, so only sizes are ordered and texts meet their copies by row
+    mixed = mix(held.select("mix_row", name[source], name[key], "mix_words"), F.col("mix_words"), name[source], name[key], **options)
+    taken = held.join(mixed.where("copies > 0").select("mix_row", "copies"), "mix_row")
+    taken = taken.select(*name.values(), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return taken.select([F.col(x).alias(c) for c, x in name.items()])
 
 
