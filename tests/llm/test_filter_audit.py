@@ -74,7 +74,7 @@ def test_counts_of_every_order(spark, monkeypatch, few):
         monkeypatch.setattr(filter_audit, "BROADCAST_COPIES", 0)
         monkeypatch.setattr(filter_audit, "PARTS", 1)
     got = filter_audit.audit(*frames(spark)).collect()
-    assert len(got) == 600 * 4 and {tuple(r) for r in got} == brute(DOCS, LABELS)
+    assert len(got) == 600 * 5 and {tuple(r) for r in got} == brute(DOCS, LABELS)
 
 
 def test_no_rows(spark):
