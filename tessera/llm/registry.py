@@ -6,7 +6,7 @@ import importlib
 
 import corpus_pipeline
 
-MODULES = ("toxicity", "mixing", "decontamination", "quality_model", "warc", "language", "suffix", "token_store", "jaccard", "quality_rules", "merkle", "filter_audit")
+MODULES = ("toxicity", "mixing", "decontamination", "quality_model", "warc", "language", "suffix", "token_store", "jaccard", "quality_rules", "html_text", "merkle", "filter_audit")
 
 
 def queries() -> dict:
