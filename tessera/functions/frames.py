@@ -5,13 +5,38 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_SCRATCH: list[str] = []
+_SCOPES: ContextVar[tuple[scratch, ...]] = ContextVar("scopes", default=())
+
+
+class scratch:
+    """A scope for scratch folders: those handed out within it can be deleted after it, and no others.
+
+    with scratch() as made: ...; made.discard(keep) deletes them, but for those that `keep` reads.  Scopes may be nested; a
+    folder belongs to the innermost one.  Folders handed out outside of any scope stay.
+    """
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __enter__(self) -> scratch:
+        self._entered = _SCOPES.set((*_SCOPES.get(), self))
+        return self
+
+    def __exit__(self, *error) -> None:
+        _SCOPES.reset(self._entered)
+
+    def discard(self, keep: DataFrame | None = None) -> None:
+        read = keep.inputFiles() if keep is not None else []
+        for path in [p for p in self.paths if not any(p.rpartition("/")[2] in f for f in read)]:
+            remove(path)
+            self.paths.remove(path)
 
 
 def spread(scan: DataFrame) -> DataFrame:
@@ -35,7 +60,8 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = f"file://{os.path.join(tempfile.gettempdir(), 'tessera-shared')}"
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    _SCRATCH.append(path)
+    for scope in _SCOPES.get()[-1:]:
+        scope.paths.append(path)
     return path
 
 
@@ -46,15 +72,6 @@ def remove(uri: str) -> None:
         system.delete_dir(path)
 
 
-def discard(keep: DataFrame | None = None) -> None:
-    """Delete the scratch folders handed out so far, but for those that `keep` reads: for callers whose results need no others."""
-    read = keep.inputFiles() if keep is not None else []
-    for path in list(_SCRATCH):
-        if not any(path.rpartition("/")[2] in f for f in read):
-            remove(path)
-            _SCRATCH.remove(path)
-
-
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Cut the lineage: write df once as Parquet in the shared folder and read it back."""
     path = f"{shared_dir(df.sparkSession)}/{name}"
@@ -62,16 +79,26 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores added until no column of df has it (whatever the case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
+
+
 def numbered(rows: DataFrame, order: list, number: str, total: str | None = None) -> DataFrame:
-    """rows with their number (from 0) in an order, and how many there are if `total` is named.
+    """rows with their number (from 0) in an order, and how many there are if `total` is named; a column of theirs with such a name is replaced.
 
     Numbers come from one range shuffle, written once, and the counts of its partitions, not from one task.
     """
-    local = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at_", F.monotonically_increasing_id()), "ordered")
+    at, part, n, start, whole = (fresh(rows, c) for c in ("at", "part", "n", "start", "all"))
+    local = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), "ordered")
     # the id is the partition's number, then 33 bits for the place in it
-    local = local.withColumn("part_", F.shiftright("at_", 33)).withColumn("at_", F.col("at_").bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = local.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))
-    before = W.orderBy("part_").rowsBetween(W.unboundedPreceding, 0)
-    counts = counts.select("part_", (F.sum("n_").over(before) - F.col("n_")).alias("start_"), F.sum("n_").over(W.partitionBy()).alias("all_"))
-    joined = local.join(F.broadcast(counts), "part_").withColumn(number, F.col("start_") + F.col("at_"))  # a row per partition
-    return (joined.withColumn(total, F.col("all_")) if total else joined).drop("at_", "part_", "start_", "all_")
+    local = local.withColumn(part, F.shiftright(at, 33)).withColumn(at, F.col(at).bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = local.groupBy(part).agg(F.count(F.lit(1)).alias(n))
+    before = W.orderBy(part).rowsBetween(W.unboundedPreceding, 0)
+    counts = counts.select(part, (F.sum(n).over(before) - F.col(n)).alias(start), F.sum(n).over(W.partitionBy()).alias(whole))
+    joined = local.join(F.broadcast(counts), part)  # a row per partition
+    joined = joined.withColumns({number: F.col(start) + F.col(at)} | ({total: F.col(whole)} if total else {}))
+    return joined.drop(*{at, part, start, whole} - {number, total})
