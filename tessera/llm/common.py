@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.frames import discard, shared_dir, written  # noqa: F401  the operators take these from here
+from ..functions.frames import fresh, scratch, shared_dir, written  # noqa: F401  the operators take these from here
 
 #: ASCII white space that separates words.
 SPACE = " \t\n\x0b\x0c\r"
@@ -41,9 +43,22 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """name, with underscores added until no column of df has it (whatever the case)."""
+def plain_names(df: DataFrame, every: bool = False) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns renamed that a plain reference wouldn't find (dots, spaces, quotes), or every one, and the new name of each column."""
+    names: dict[str, str] = {}
     taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"{name}_"
-    return name
+    for i, c in enumerate(df.columns):
+        new = c
+        if every or not re.fullmatch(r"[A-Za-z_]\w*", c):
+            new = f"c{i}_{re.sub(r'[^A-Za-z0-9]', '_', c)}"
+            while new.lower() in taken:
+                new += "_"
+            taken.add(new.lower())
+        names[c] = new
+    return df.toDF(*names.values()), names
+
+
+def named(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """df with the names back that plain_names took; other columns keep theirs."""
+    given = {new: c for c, new in names.items()}
+    return df.toDF(*(given.get(c, c) for c in df.columns))

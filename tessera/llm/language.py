@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .arrays import pieces, runs
-from .common import dealt, table
+from .common import dealt, named, plain_names, table
 
 LENGTH = 300
 BITS = 21  # of a code point
@@ -108,7 +108,8 @@ def identify(docs: DataFrame, learned: list[tuple[str, int, int]], text: str = "
     share of the two smallest distances: 0.5 for a tie (the first name wins), 1 for a perfect match
     or a single language.  Repeated rows are judged alike.
     """
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score")])
+    docs, name = plain_names(docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score")]))
+    text = name[text]
     ship(docs.sparkSession)
     names = sorted({x for x, _, _ in learned})
     grams = np.unique(np.array([g for _, g, _ in learned], np.int64))
@@ -148,7 +149,7 @@ def identify(docs: DataFrame, learned: list[tuple[str, int, int]], text: str = "
             found = [names[k] if s else UNKNOWN for k, s in zip(best.tolist(), some.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string()), pa.array(np.where(some, score, 0.0))], [*kept, "lang_pred", "score"])
 
-    return dealt(docs).mapInArrow(judge, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", lang_pred string, score double")
+    return named(dealt(docs).mapInArrow(judge, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", lang_pred string, score double"), name)
 
 
 def held_out(key: Column, of: int, rest: int) -> Column:

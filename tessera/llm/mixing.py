@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh, table, words, written
+from .common import fresh, named, plain_names, table, words, written
 
 WEIGHTS, SHARE, CAP, SEED = (5, 2, 1), 1.5, 2.0, 17
 
@@ -58,7 +58,8 @@ def mix(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_i
     words gets target 0 and no copies.  Repeated rows are documents of their own; equal ones
     may swap copies with each other.  An empty table gives an empty result.
     """
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("size", "source_size", "target", "copies", "taken")])
+    docs, name = plain_names(docs.drop(*[c for c in docs.columns if c.lower() in ("size", "source_size", "target", "copies", "taken")]))
+    source, key = name[source], name[key]
     at, first, shard = (fresh(docs, x) for x in ("mix_at", "mix_first", "mix_shard"))
     sized = docs.withColumn("size", F.coalesce(size.cast("long"), F.lit(0).cast("long")))
     order = [F.col(source).asc_nulls_last(), F.col("size").desc(), F.col(key).asc_nulls_last()]
@@ -77,7 +78,7 @@ def mix(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_i
     start = offset(F.col(source), seed)
     copies = F.floor(start + rank * rate) - F.floor(start + (rank - 1) * rate)
     joined = joined.withColumn("copies", F.least(copies, F.ceil(F.lit(float(cap)))).cast("long"))
-    return joined.withColumn("taken", F.col("copies") * F.col("size")).select(*docs.columns, "size", "source_size", "target", "copies", "taken")
+    return named(joined.withColumn("taken", F.col("copies") * F.col("size")).select(*docs.columns, "size", "source_size", "target", "copies", "taken"), name)
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,14 +93,13 @@ def emit(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str
 
     Nulls, repeated rows and empty tables: as `mix` has them; texts without words are never taken.
     """
-    name = {c: f"c{i}_{c}" for i, c in enumerate(docs.columns)}
-    plain = docs.select([docs[c].alias(x) for c, x in name.items()] + [F.size(words(docs[text])).alias("mix_words"), F.monotonically_increasing_id().alias("mix_row")])
-    held = written(plain, "sized")  # words are counted once, and row numbers stay
+    plain, name = plain_names(docs, every=True)
+    held = written(plain.select("*", F.size(words(F.col(name[text]))).alias("mix_words"), F.monotonically_increasing_id().alias("mix_row")), "sized")  # words are counted once, and row numbers stay
     # ranges of sizes would put the longest texts into one task, so only sizes are ordered and texts meet their copies by row
     mixed = mix(held.select("mix_row", name[source], name[key], "mix_words"), F.col("mix_words"), name[source], name[key], **options)
     taken = held.join(mixed.where("copies > 0").select("mix_row", "copies"), "mix_row")
     taken = taken.select(*name.values(), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return taken.select([F.col(x).alias(c) for c, x in name.items()])
+    return named(taken.select(*name.values()), name)
 
 
 QUERIES = {"op2_mix_sources": op2_mix_sources}

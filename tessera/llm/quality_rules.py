@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, bind, dealt, fresh, table, words, written
+from .common import SPACE, bind, dealt, fresh, named, plain_names, table, words, written
 
 SYMBOLS = "#*$%&|<>"
 #: Other ASCII marks, by rule.
@@ -196,7 +196,8 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", without: tupl
     the guards aren't judged by the histogram in question.  Repeated rows are judged alike.
     """
     shown = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in (*shown, "base_failed", "kept")])
+    docs, of_name = plain_names(docs.drop(*[c for c in docs.columns if c.lower() in (*shown, "base_failed", "kept")]))
+    text, lang, without = of_name[text], of_name[lang], tuple(of_name.get(c, c) for c in without)
     given, own = docs, None
     if docs.where(_unlisted(lang)).select(lang).take(1):
         own, listed, counts, reference = (fresh(docs, f"qo_{k}") for k in ("lang", "listed", "counts", "reference"))
@@ -221,7 +222,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", without: tupl
         kept = F.when(F.col(own).isNull(), kept).when(r.isNull(), F.lit(True)).otherwise((kept if found else F.lit(False)) | near)
     out = measured.select(*docs.columns, *[F.col(name[c]).alias(c) for c in shown], kept.alias("kept"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    return out.select(*docs.columns, *shown, failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"))
+    return named(out.select(*docs.columns, *shown, failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept")), of_name)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

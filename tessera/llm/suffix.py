@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .arrays import Spans, joined, mixed, pieces, runs
-from .common import dealt, fresh, table, written
+from .common import dealt, fresh, named, plain_names, table, written
 
 LENGTH, K = 200, 64
 CHUNK = 1 << 20  # bytes of contexts in one transform
@@ -346,7 +346,8 @@ def remove(docs: DataFrame, text: str = "text", length: int = LENGTH, **options)
     `length` bytes keep everything.  Of repeated rows with long enough texts nothing is left: each of
     their strings also starts in the other row.  An empty table gives an empty result.
     """
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")])
+    docs, name = plain_names(docs.drop(*[c for c in docs.columns if c.lower() in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")]))
+    text = name[text]
     key, data, found = (fresh(docs, x) for x in ("sx_key", "sx_data", "sx_found"))
     rows = dealt(docs).withColumn(data, F.coalesce(F.col(text), F.lit("")).cast("binary"))
     rows = rows.withColumn(key, F.unhex(F.md5(data)))
@@ -367,7 +368,7 @@ def remove(docs: DataFrame, text: str = "text", length: int = LENGTH, **options)
                 digest.append(hashlib.sha256(rest).hexdigest())
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest, pa.string()), pa.array(left, pa.binary())], [*kept, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return out.mapInArrow(cut, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return named(out.mapInArrow(cut, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"), name)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

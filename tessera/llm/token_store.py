@@ -306,13 +306,24 @@ class Shard:
         self.rules, self.lengths = take(2 * r, "<u4").reshape(-1, 2), take(r, "<u4")
         self.kind = np.dtype("<u2" if self.first + r <= 1 << 16 else "<u4")
         self.data = f.tell()
-        self.known = expansions(self.rules, self.first)
+        self.known = None
 
     def symbols(self, a: int, b: int) -> np.ndarray:
         self.file.seek(self.data + a * self.kind.itemsize)
         return np.frombuffer(self.file.read((b - a) * self.kind.itemsize), self.kind)
 
     def ids(self, symbols: np.ndarray) -> np.ndarray:
+        """What symbols stand for; only the rules that they reach are expanded."""
+        if self.known is None:
+            own, new = np.zeros(len(self.rules), bool), np.unique(symbols[symbols >= self.first].astype(np.int64) - self.first)
+            while len(new):
+                own[new] = True
+                below = self.rules[new].ravel()
+                new = np.unique(below[below >= self.first].astype(np.int64) - self.first)
+                new = new[~own[new]]
+            at = self.first + np.cumsum(own, dtype=np.int64) - 1
+            renumbered = lambda x: np.where(x >= self.first, at[np.where(x >= self.first, x.astype(np.int64) - self.first, 0)], x).astype(np.uint32) if len(at) else x
+            return self.terminals[expand(renumbered(symbols), renumbered(self.rules[own]), self.first)]
         return self.terminals[expand(symbols, self.rules, self.first, self.known)]
 
     def document(self, i: int) -> np.ndarray:
@@ -328,18 +339,21 @@ class Shard:
         return int(self.ids(s[k : k + 1])[at - (ends[k] - n[k])])
 
     def all(self) -> np.ndarray:
+        self.known = self.known or expansions(self.rules, self.first)
         return self.ids(self.symbols(0, self.n_symbols))
 
 
 def write(docs: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id", folder: str | None = None, shard_tokens: int = SHARD_TOKENS, end: int = END) -> DataFrame:
     """Write all documents in ascending order of their id and return the index of shards, in order.
 
-    Null texts are empty: their only id is the end id.  Null ids come last.  Rows that repeat an
-    id are all written, in order of their texts.  Other columns are ignored.
+    Ids are whole numbers.  Null texts are empty: their only id is the end id.  Null ids come last.  Rows that repeat an
+    id are all written, in order of their texts' hashes.  Other columns are ignored.
     """
     path, folder = path or default_path(), folder or shared_dir(ship(docs.sparkSession))
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), F.monotonically_increasing_id().alias("row"))
+    # rows that share an id, or have none, are dealt to many tasks too
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    rows = rows.repartitionByRange(*order, "row").sortWithinPartitions(*order, "text").select("doc_id", "text")
 
     def store(batches):
         encode, part, seq = encoder(path, end), TaskContext.get().partitionId(), 0

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .arrays import Spans, joined, pieces, runs, split
-from .common import dealt, table, written
+from .common import dealt, named, plain_names, table, written
 from .language import held_out
 
 #: The documented bounds of the labelled sample, by label.
@@ -233,7 +233,8 @@ def score(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
     vocabulary, null and empty ones too, gets the share of label 1 among such examples, without
     evidence.  Without examples every score is 0.  Equal texts get equal scores.
     """
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("score", "predicted", "evidence")])
+    docs, name = plain_names(docs.drop(*[c for c in docs.columns if c.lower() in ("score", "predicted", "evidence")]))
+    text = name[text]
     shared = ship(docs.sparkSession).sparkContext.broadcast(index)  # bounded by EXAMPLES
     kept = docs.columns
 
@@ -254,7 +255,7 @@ def score(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
                 scores[doc[s]], evidence[doc[s]] = seen[own]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(evidence, pa.list_(pa.int64()))], [*kept, "score", "predicted", "evidence"])
 
-    return dealt(docs).mapInArrow(judge, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double, predicted int, evidence array<long>")
+    return named(dealt(docs).mapInArrow(judge, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double, predicted int, evidence array<long>"), name)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

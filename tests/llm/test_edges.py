@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -13,8 +14,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import decontamination, jaccard, language, mixing, quality_model, quality_rules, suffix, token_store, toxicity, warc
-from tessera.llm.common import table
+from tessera.llm import decontamination, files, jaccard, language, mixing, quality_model, quality_rules, suffix, token_store, toxicity, warc
+from tessera.llm.common import scratch, table
 from tests.llm.test_brute import brute_near, brute_tokens, near, read_tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -337,7 +338,7 @@ def test_repeats_across_the_steps_of_a_very_long_text(spark):
 
 # ---- clashing names, repeated rows ----
 
-NAMES = ("score", "Predicted", "evidence", "lang_pred", "key", "label", "terms", "start", "n_tokens", "file", "id", "class", "root", "text_key", "h", "p", "n", "good", "mean", "hn", "hgood", "qm_key", "qm_label", "seed", "place", "asked", "found", "copies", "Target", "size", "taken", "mix_at", "kept", "qr_text", "payload", "digest", "salt", "first", "sx_key")
+NAMES = ("score", "Predicted", "evidence", "lang_pred", "key", "label", "terms", "start", "n_tokens", "file", "id", "class", "root", "text_key", "h", "p", "n", "good", "mean", "hn", "hgood", "qm_key", "qm_label", "seed", "place", "asked", "found", "copies", "Target", "size", "taken", "mix_at", "kept", "qr_text", "payload", "digest", "salt", "first", "sx_key", "a.b", "x y")
 ODD = [(1, None, None, None, None), (2, "", "en", "a", 0), (2, "", "en", "a", 0), (None, "x " * 500, "en", None, 1), (3, "x " * 500, "fr", "a", 2), (3, "x " * 500, "fr", "a", 2)]
 
 
@@ -391,3 +392,43 @@ def test_crc_of_ids_is_that_of_their_bytes(spark):
     for k, start, n, crc in read_tokens(docs(spark, rows)):
         assert n >= 1 and start >= 0 and crc == next(c for i, _, _, c in brute_tokens(rows) if i == k)
     assert zlib.crc32((1).to_bytes(4, "little")) == next(c for i, _, _, c in brute_tokens(rows) if i == 2)
+
+
+def test_rows_without_an_id_are_dealt_to_many_parts(spark):
+    """Their order is kept, and the ids are the tokenizer's; a shard's document is read without the rest of the grammar."""
+    d = spark.range(6000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("some words again "), (F.col("id") % 4000).cast("string")).alias("text")).repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be one part again
+    try:
+        index = token_store.write(d, shard_tokens=3000)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert index.select("part").distinct().count() > 1
+    got = [tuple(r) for r in token_store.read(index).select("n_tokens", "ids_crc32").collect()]
+    encode = token_store.encoder(token_store.default_path(), token_store.END)
+    ids, n = encode([r["text"].encode() for r in d.collect()])
+    at = np.concatenate([[0], np.cumsum(n)])
+    assert sorted(got) == sorted((int(k), zlib.crc32(ids[a:b].astype("<u4").tobytes())) for k, a, b in zip(n, at[:-1], at[1:], strict=True))
+    row = index.first()
+    system, name = files.opened(row["file"])
+    with system.open_input_file(name) as f:
+        shard = token_store.Shard(f)
+        alone = [shard.document(i).tolist() for i in range(row["n_docs"])]
+        assert shard.known is None
+        whole, t = shard.all().tolist(), shard.token_starts
+        assert alone == [whole[a:b] for a, b in zip(t[:-1], t[1:], strict=True)]
+
+
+def test_results_outlive_a_run_of_the_pipeline(spark, sf, monkeypatch):
+    """The pipeline deletes its own stages' tables, nobody else's."""
+    written_by = []
+    watched = [(name, lambda s, d, f, stage=stage: [written_by.append(d.inputFiles()), stage(s, d, f)][1]) for name, stage in corpus_pipeline.STAGES]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", watched)
+    held = jaccard.near_duplicates(docs(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, "x")]))
+    with scratch() as made:
+        out = corpus_pipeline.run(spark, sf)
+        rows = out.count()
+    assert rows > 0 and held.count() == 3 and out.count() == rows
+    gone = [f.rpartition("/")[0].removeprefix("file:") for some in written_by[1:-1] for f in some]
+    assert gone and not any(os.path.exists(f) for f in gone)
+    made.discard()
+    assert held.count() == 3
