@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontamination, jaccard, mixing, quality_rules, token_store
-from tessera.llm.common import discard, table, written
+from tessera.llm.common import named, plain_names, scratch, table, written
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,11 +20,9 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no words and go; repeated rows share their verdict.
     """
-    given = docs.columns
-    plain = docs.select([docs[c].alias(f"c{i}_{c}") for i, c in enumerate(given)])
-    name = {c: f"c{i}_{c}" for i, c in enumerate(given)}
+    plain, name = plain_names(docs, every=True)
     judged = quality_rules.judge(plain, name["text"], name["lang"])
-    return judged.where("kept").select([judged[f"c{i}_{c}"].alias(c) for i, c in enumerate(given)])
+    return named(judged.where("kept").select(*name.values()), name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,11 +62,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage wrote for itself is deleted once its result is written."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, name.replace(" ", "_"))
-            discard(docs)
-    return docs
+    """All stages over documents; what a stage wrote for itself is deleted once its result is written, and that result once the next one is."""
+    docs, before = table(spark, sf_dir, "documents"), scratch()
+    for name, stage in STAGES[:-1]:
+        with scratch() as made:
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        made.discard(docs)
+        before.discard()
+        before = made
+    return STAGES[-1][1](spark, docs, sf_dir)
