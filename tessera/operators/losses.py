@@ -11,9 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import bind, dot, l2_normalize, log_softmax, softmax, total
+from ..functions.columns import bind, dot, l2_normalize, log_softmax, total
 from ..functions.frames import written
 from . import masks, similarity
+from .assignment import balanced
 
 DIM, GLOBALS, LOCALS, TOKENS, WIDTH = 64, 2, 8, 16, 4
 STUDENT_TEMPERATURE, TEACHER_TEMPERATURE, SINKHORN_TEMPERATURE, ROUNDS = 0.1, 0.07, 0.07, 3
@@ -137,13 +138,26 @@ def dino_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dino(_views(spark, sf_dir)).select("batch", F.round("l", 6).alias("loss"))
 
 
+def _masked(samples: DataFrame) -> DataFrame:
+    """batch, vec_id, view, patch, weight, student and teacher of every hidden patch of both views."""
+    rows = masks.hidden(masks.slots(samples, ["vec_id"], "batch"), ["vec_id"]).where("n_target > 0")
+    viewed = lambda by: F.when(F.col("view") == 0, tokens("x", by)).otherwise(tokens("x", by + 1))
+    each = F.arrays_zip(F.col("mask"), viewed(0).alias("student"), viewed(1).alias("teacher"))
+    rows = rows.select("batch", "vec_id", "view", masks.weight(F.col("mask")).alias("weight"), F.posexplode(each).alias("patch", "p")).where("p.mask")
+    return rows.select("batch", "vec_id", "view", "patch", "weight", "p.student", "p.teacher")
+
+
 def _ibot(samples: DataFrame) -> DataFrame:
-    rows = masks.hidden(masks.slots(samples, ["vec_id"], "batch"), ["vec_id"])
-    viewed = F.when(F.col("view") == 0, tokens("x")).otherwise(tokens("x", 1))
-    rows = rows.select("batch", "mask", viewed.alias("student"), F.when(F.col("view") == 0, tokens("x", 1)).otherwise(tokens("x", 2)).alias("teacher"))
-    ce = F.zip_with("student", "teacher", lambda s, t: -dot(softmax(t, TEACHER_TEMPERATURE), log_softmax(s, STUDENT_TEMPERATURE)))
-    rows = rows.withColumn("ce", ce).select("batch", (total(F.transform("ce", lambda c, i: F.when(F.get("mask", i), c).otherwise(0.0))) * masks.weight(F.col("mask"))).alias("ce"))
-    return rows.groupBy("batch").agg((F.sum("ce") / F.count(F.lit(1))).alias("loss"))
+    """batch, loss: the hidden patches of both views are pooled and assigned together."""
+    rows = balanced(_masked(samples), "batch", ["vec_id", "view", "patch"], "teacher", TEACHER_TEMPERATURE, ROUNDS, ["weight", "student"])
+    ce = -F.col("weight") * dot(F.col("q"), log_softmax(F.col("student"), STUDENT_TEMPERATURE))
+    return rows.groupBy("batch").agg((F.sum(ce) / (GLOBALS * masks.BATCH)).alias("loss"))
+
+
+def ibot_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The assignment of every hidden patch, by place."""
+    rows = balanced(_masked(_views(spark, sf_dir)), "batch", ["vec_id", "view", "patch"], "teacher", TEACHER_TEMPERATURE, ROUNDS)
+    return rows.select("vec_id", "view", "patch", F.posexplode("q").alias("k", "q")).select("vec_id", "view", "patch", "k", F.round("q", 6).alias("q"))
 
 
 def ibot_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,7 +219,7 @@ def total_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("batch", F.round(dino + F.col("i") + 0.1 * F.col("e") + F.col("m"), 5).alias("loss"))
 
 
-QUERIES = {f.__name__: f for f in (dino_global, dino_local, ibot_loss, masked_gather, token_slice, gram_batch, center_update, total_loss)} | {
+QUERIES = {f.__name__: f for f in (dino_global, dino_local, ibot_targets, ibot_loss, masked_gather, token_slice, gram_batch, center_update, total_loss)} | {
     "sinkhorn": sinkhorn_query, "log_softmax": log_softmax_query, "gram_image": _gram("keep"), "gram_remove_neg": _gram("remove"), "gram_teacher_neg": _gram("remove_teacher"),
 }
 
@@ -236,9 +250,13 @@ dl AS (SELECT w.batch, -sum(w.q * st.l) / (count(DISTINCT w.vec_id) * {n_pairs(n
 _TOKENS = f"tk AS (SELECT vec_id, batch, CAST(p AS INTEGER) AS p, {_token_sql('x', 'p', '0')} AS a, {_token_sql('x', 'p', '1')} AS b, {_token_sql('x', 'p', '2')} AS c FROM s, range({TOKENS}) r(p))"
 _UNITS = f"WITH {masks.SAMPLES_SQL}, {_TOKENS}, un AS (SELECT vec_id, batch, p, list_transform(a, lambda y: y / greatest(sqrt(list_inner_product(a, a)), 1e-12::DOUBLE)) AS a, list_transform(b, lambda y: y / greatest(sqrt(list_inner_product(b, b)), 1e-12::DOUBLE)) AS b FROM tk)"
 _PAIRS = f"{_UNITS}, pr AS (SELECT x.vec_id, list_inner_product(x.a, y.a) AS s, list_inner_product(x.b, y.b) AS t FROM un x JOIN un y ON x.vec_id = y.vec_id)"
-_IBOT = f"""{masks.HIDDEN_SQL}, {_TOKENS}, pick AS (SELECT h.vec_id, h.batch, h.weight, CASE WHEN h.view = 0 THEN tk.a ELSE tk.b END AS y, CASE WHEN h.view = 0 THEN tk.b ELSE tk.c END AS z FROM h JOIN tk ON tk.vec_id = h.vec_id AND tk.p = h.patch),
-lp AS (SELECT batch, weight, {_log_softmax_sql("y", STUDENT_TEMPERATURE)} AS ls, {_log_softmax_sql("z", TEACHER_TEMPERATURE)} AS lt FROM pick),
-ib AS (SELECT batch, -sum(weight * list_sum(list_transform(range(1, 5), lambda i: exp(lt[i]) * ls[i]))) / {GLOBALS * masks.BATCH} AS loss FROM lp GROUP BY batch)"""
+_IQ = ["i0 AS (SELECT *, q / sum(q) OVER (PARTITION BY batch) AS q0 FROM (SELECT vec_id, batch, view, patch, weight, y, CAST(k AS INTEGER) AS k, exp((z[k + 1] - list_max(z)) / 0.07::DOUBLE) AS q, count(*) OVER (PARTITION BY batch, k) AS n FROM pick, range(4) r(k)))"]
+for _r in range(ROUNDS):
+    _IQ += [f"j{_r} AS (SELECT * REPLACE (q{0} / (sum(q{0}) OVER (PARTITION BY batch, k) * {WIDTH}) AS q{0}) FROM i{_r})", f"i{_r + 1} AS (SELECT * REPLACE (q{0} / (sum(q{0}) OVER (PARTITION BY batch, vec_id, view, patch) * n) AS q{0}) FROM j{_r})"]
+_TARGETS = f"""{masks.HIDDEN_SQL}, {_TOKENS}, pick AS (SELECT h.vec_id, h.batch, h.view, h.patch, h.weight, CASE WHEN h.view = 0 THEN tk.a ELSE tk.b END AS y, CASE WHEN h.view = 0 THEN tk.b ELSE tk.c END AS z FROM h JOIN tk ON tk.vec_id = h.vec_id AND tk.p = h.patch),
+{", ".join(_IQ)}, it AS (SELECT vec_id, batch, view, patch, weight, y, k, q0 * n AS q FROM i{ROUNDS})"""
+_IBOT = f"""{_TARGETS}, lp AS (SELECT batch, weight, k, q, {_log_softmax_sql("y", STUDENT_TEMPERATURE)} AS ls FROM it),
+ib AS (SELECT batch, -sum(weight * q * ls[k + 1]) / {GLOBALS * masks.BATCH} AS loss FROM lp GROUP BY batch)"""
 
 _GG, _LG = GLOBALS * (GLOBALS - 1), GLOBALS * LOCALS
 _GLOBAL, _LOCAL = f"WITH {_SINKHORN}, {_dino_sql(0, GLOBALS, True)}", f"WITH {_SINKHORN}, {_dino_sql(GLOBALS, LOCALS, False)}"
@@ -248,6 +266,7 @@ ORACLES = {
     "sinkhorn": f"WITH {_SINKHORN} SELECT vec_id, view, k, round(q, 6) AS q FROM w",
     "dino_global": f"{_GLOBAL} SELECT batch, round(loss, 6) AS loss FROM dl",
     "dino_local": f"{_LOCAL} SELECT batch, round(loss, 6) AS loss FROM dl",
+    "ibot_targets": f"WITH {_TARGETS} SELECT vec_id, view, patch, k, round(q, 6) AS q FROM it",
     "ibot_loss": f"WITH {_IBOT} SELECT batch, round(loss, 6) AS loss FROM ib",
     "masked_gather": f"WITH {masks.HIDDEN_SQL}, {_TOKENS} SELECT h.vec_id, h.view, h.patch, round(list_sum(tk.a), 6) AS total FROM h JOIN tk ON tk.vec_id = h.vec_id AND tk.p = h.patch",
     "token_slice": f"WITH {masks.SAMPLES_SQL} SELECT vec_id, round(list_sum(x[1:4]), 6) AS cls, 12 AS n, round(list_sum(x[17:64]), 6) AS patches FROM s",
