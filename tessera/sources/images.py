@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-import fnmatch
 import hashlib
-import tarfile
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.frames import shared_dir, written
+from ..functions.frames import remove, shared_dir, written
 from ..operators.ingest import EXTENSIONS, image_key, substitute
 from ..session import ship
+from . import png
+from .shards import n_samples, shards  # noqa: F401
+from .shards import paths_below as shard_paths  # noqa: F401
 
 LABELS = "image string, partition string, catami_substrate string"
-SHARD = "url string, sample_key string, members array<struct<key: string, content: binary>>"
+IMAGE = "path string, height int, width int, n_channels int, pixels binary"
+PIXELS = ("height", "width", "n_channels", "pixels")
+#: Up to this many images that can't be decoded, the list of who takes whose pixels is sent to every executor.
+BROADCAST_LOST = 200_000
 _GLOB = "*.{" + ",".join(EXTENSIONS) + "}"
 
 
@@ -29,26 +34,51 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
     return files.orderBy("path")
 
 
-def decoded(spark: SparkSession, folder: str, on_corrupt: str = "drop", seed: int = 0) -> DataFrame:
-    """path, height, width, n_channels and pixels (red first) of a folder's images.
+def _red_first(rows: DataFrame) -> DataFrame:
+    """Spark's decoded images (origin, height, width, nChannels, data) as path, height, width, n_channels and pixels.
+
+    Spark gives blue first, and one or four channels for gray and transparent images.
+    """
+
+    def turn(batches):
+        for b in batches:
+            pixels = []
+            for height, width, n, data in zip(*(b.column(c).to_pylist() for c in ("height", "width", "nChannels", "data")), strict=True):
+                m = np.frombuffer(data, np.uint8).reshape(height, width, n) if height >= 0 else np.zeros((0, 0, 3), np.uint8)
+                pixels.append((m.repeat(3, 2) if n == 1 and height >= 0 else m[..., 2::-1]).tobytes())
+            channels = pa.compute.if_else(pa.compute.greater_equal(b.column("height"), 0), 3, b.column("nChannels")).cast(pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("origin"), b.column("height"), b.column("width"), channels, pa.array(pixels, pa.binary())], [c.split()[0] for c in IMAGE.split(", ")])
+
+    ship(rows.sparkSession)
+    return rows.select("origin", "height", "width", "nChannels", "data").mapInArrow(turn, IMAGE)
+
+
+def decoded(spark: SparkSession, folder: str, on_corrupt: str = "drop", seed: int = 0, report: Observation | None = None) -> DataFrame:
+    """path, height, width, n_channels and pixels (red first) of a folder's images; a folder without any is an error.
 
     on_corrupt says what happens to files that can't be decoded: drop leaves them out, keep gives them height -1, substitute
     gives them another image's pixels (the same for a seed; null if none can be decoded), fail raises an error.
+    report: an Observation that has n_images and n_bad once a result is there, counted on the way.
     """
+    listing(spark, folder)
     raw = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", _GLOB).load(folder).select("image.*")
+    counted = lambda rows: rows.observe(report, F.count(F.lit(1)).alias("n_images"), F.count_if(F.col("height") < 0).alias("n_bad")) if report else rows
+    if on_corrupt == "substitute":
+        # one pass finds what can be decoded; a second one makes the pixels, of each image for all who take it
+        found = written(counted(raw.select(F.col("origin").alias("path"), "height")), "found")
+        used = substitute(found, "path", F.col("height") >= 0, seed).where("height < 0").select(F.col("path").alias("lost"), F.col("used").alias("origin"))
+        used = written(used, "used")
+        takers = used.where("origin IS NOT NULL").groupBy("origin").agg(F.collect_list("lost").alias("lost"))
+        takers = F.broadcast(takers) if used.count() <= BROADCAST_LOST else takers
+        images = raw.where("height >= 0").join(takers, "origin", "left")
+        images = images.select(F.explode(F.concat(F.array("origin"), F.coalesce("lost", F.array().cast("array<string>")))).alias("origin"), "height", "width", "nChannels", "data")
+        return _red_first(images).unionByName(used.where("origin IS NULL").select(F.col("lost").alias("path")), allowMissingColumns=True)
+    raw = counted(raw)
     if on_corrupt == "drop":
         raw = raw.where("height >= 0")
     elif on_corrupt == "fail":
         raw = raw.where(F.when(F.col("height") < 0, F.raise_error(F.concat(F.lit("can't decode "), "origin"))).otherwise(F.lit(True)))
-    # Spark gives blue first, and one or four channels for gray and transparent images
-    order = lambda found, wanted: F.unhex(F.regexp_replace(F.hex("data"), found, wanted))
-    pixels = F.when(F.col("nChannels") == 1, order("(..)", "$1$1$1")).when(F.col("nChannels") == 4, order("(..)(..)(..)..", "$3$2$1")).otherwise(order("(..)(..)(..)", "$3$2$1"))
-    images = raw.select(F.col("origin").alias("path"), "height", "width", F.when(F.col("height") >= 0, 3).otherwise(F.col("nChannels")).alias("n_channels"), pixels.alias("pixels"))
-    if on_corrupt != "substitute":
-        return images
-    lost = substitute(images.select("path", "height"), "path", F.col("height") >= 0, seed).where("height < 0").select(F.col("path").alias("lost"), F.col("used").alias("path"))
-    given = lost.join(images.where("height >= 0"), "path", "left").select(F.col("lost").alias("path"), "height", "width", "n_channels", "pixels")
-    return images.where("height >= 0").unionByName(given)
+    return _red_first(raw)
 
 
 def labels(spark: SparkSession, path: str | None) -> DataFrame | None:
@@ -62,101 +92,79 @@ def labels(spark: SparkSession, path: str | None) -> DataFrame | None:
     return rows.select(*[F.col(c.split()[0]).cast("string") for c in LABELS.split(", ")])
 
 
-def shard_paths(folder: str, pattern: str = "*.tar") -> list[str]:
-    """The files below a folder, on any file system, whose name fits a pattern, in order; none is an error."""
-    system, place = fs.FileSystem.from_uri(folder)
-    found = [i.path for i in system.get_file_info(fs.FileSelector(place, recursive=True)) if i.is_file and fnmatch.fnmatchcase(i.base_name, pattern)]
-    if not found:
-        raise ValueError(f"no shards {pattern} below {folder}")
-    before = folder[: len(folder) - len(place)] if "://" in folder and folder.endswith(place) else ""
-    return sorted(before + p for p in found)
+def _decoded(contents) -> list[pa.Array]:
+    """height, width, n_channels and pixels of PNG images; height -1 where one can't be decoded."""
+    sizes, pixels = [], []
+    for data in contents:
+        try:
+            m = png.decode(data or b"")
+        except ValueError:
+            m = None
+        sizes.append((-1, -1, -1) if m is None else m.shape)
+        pixels.append(b"" if m is None else m.tobytes())
+    return [*(pa.array([x[k] for x in sizes], pa.int32()) for k in range(3)), pa.array(pixels, pa.binary())]
 
 
-class Shards(DataSource):
-    """Tar files on any file system, one partition each.  Options: paths (one a line); content: false reads headers only;
-    seed: partitions come in an order drawn from it and the path, else by path.
+def png_images(rows: DataFrame, content: str = "content") -> DataFrame:
+    """rows with height, width, n_channels and pixels in place of the bytes of PNG images, decoded in Arrow batches; also of a stream.
 
-    Neighbouring members with the same name up to the first dot of its last part are a sample;
-    what follows that dot is the member's key.
+    What can't be decoded has height -1; null bytes too.  Nothing is written for it.
     """
+    kept = [c for c in rows.columns if c != content]
 
-    @classmethod
-    def name(cls) -> str:
-        return "shards"
-
-    def schema(self) -> str:
-        return SHARD
-
-    def reader(self, schema):
-        return _Reader(self.options)
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options):
-        self.paths = sorted(p for p in options["paths"].split("\n") if p)
-        self.content = options.get("content", "true").lower() == "true"
-        if options.get("seed"):
-            self.paths.sort(key=lambda p: hashlib.md5(f"{options['seed']}|{p}".encode()).digest())
-        if not self.paths:
-            raise ValueError("no shards")
-
-    def partitions(self):
-        return [InputPartition(p) for p in self.paths]
-
-    def read(self, partition):
-        at, members = None, []
-        system, place = fs.FileSystem.from_uri(partition.value)
-        with system.open_input_stream(place, compression=None) as stream, tarfile.open(fileobj=stream, mode="r|*") as tar:
-            for m in tar:
-                folder, _, name = m.name.rpartition("/")
-                stem, dot, key = name.partition(".")
-                if not m.isfile() or not dot:
-                    continue
-                sample = f"{folder}/{stem}" if folder else stem
-                if sample != at and at is not None:
-                    yield partition.value, at, members
-                    members = []
-                at = sample
-                members.append((key, tar.extractfile(m).read() if self.content else None))
-        if at is not None:
-            yield partition.value, at, members
-
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *_decoded(b.column(content).to_pylist())], [*kept, *PIXELS])
 
-def shards(spark: SparkSession, paths: list[str], content: bool = True, seed: int | None = None) -> DataFrame:
-    """url, sample_key and members of tar files that every executor can open by these paths; with a seed, shards come in an order drawn from it."""
-    spark.dataSource.register(Shards)
-    return spark.read.format("shards").option("paths", "\n".join(paths)).option("content", str(content)).option("seed", "" if seed is None else str(seed)).load()
+    ship(rows.sparkSession)
+    given = rows.select(*kept, content)
+    return given.mapInArrow(run, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in given.schema if f.name != content) + "height int, width int, n_channels int, pixels binary")
 
 
-def n_samples(spark: SparkSession, paths: list[str]) -> int:
-    """How many samples shards hold, from their headers."""
-    return shards(spark, paths, False).select("url", "sample_key").count()
+def image_fields(samples: DataFrame) -> DataFrame:
+    """url, sample_key, field and content of the image of each sample; samples without an image's field are left out.  Also of a stream."""
+    rows = samples.withColumn("field", image_key(F.transform("members", lambda m: m["key"]))).where("field IS NOT NULL")
+    return rows.select("url", "sample_key", "field", F.get(F.filter("members", lambda m: m["key"] == F.col("field")), F.lit(0))["content"].alias("content"))
 
 
-def unpacked(samples: DataFrame, folder: str | None = None, on_corrupt: str = "drop") -> DataFrame:
-    """url, sample_key, height, width, n_channels and pixels of the image of each sample of shards().
+def unpacked(samples: DataFrame, on_corrupt: str = "drop", report: Observation | None = None) -> DataFrame:
+    """url, sample_key, height, width, n_channels and pixels of the image of each sample of shards(), written.
 
-    Samples without an image's field are left out; one that can't be decoded is treated as `decoded` says (its url and key stay).
-    Images are written to the shared folder as files, for Spark's own reader of images.
+    Samples without an image's field are left out; one that can't be decoded is left out, or kept with height -1, or an error, as `on_corrupt` says.
+    PNG images are decoded where they are read.  Others become files of a folder, for Spark's own reader of images, which is deleted once
+    their pixels are written.  report: an Observation that has n_images and n_bad once the images are there.
     """
     spark = ship(samples.sparkSession)
-    folder = folder or shared_dir(spark)
+    folder = shared_dir(spark)
+    columns = ["url", "sample_key", "name", *PIXELS]
 
-    def store(batches):
+    def run(batches):
+        system, place = fs.FileSystem.from_uri(folder)
+        system.create_dir(place, recursive=True)
         for b in batches:
-            system, place = fs.FileSystem.from_uri(folder)
-            system.create_dir(place, recursive=True)
-            out = []
-            for url, key, field, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                name = f"{hashlib.sha256(f'{url}|{key}'.encode()).hexdigest()}.{field.rpartition('.')[2]}"
-                with system.open_output_stream(f"{place}/{name}", compression=None) as f:  # the same bytes on every attempt
+            contents = b.column("content").to_pylist()
+            own = np.array([(c or b"").startswith(png.SIGNATURE) for c in contents], bool)
+            some, rest = b.filter(pa.array(own)), b.filter(pa.array(~own))
+            if some.num_rows:
+                yield pa.RecordBatch.from_arrays([some.column("url"), some.column("sample_key"), pa.nulls(some.num_rows, pa.string()), *_decoded(some.column("content").to_pylist())], columns)
+            names = []
+            for url, key, field, content in zip(*(rest.column(c).to_pylist() for c in ("url", "sample_key", "field", "content")), strict=True):
+                names.append(f"{hashlib.sha256(f'{url}|{key}'.encode()).hexdigest()}.{field.rpartition('.')[2]}")
+                with system.open_output_stream(f"{place}/{names[-1]}", compression=None) as f:  # the same bytes on every attempt
                     f.write(content or b"")
-                out.append((url, key, name))
-            yield pa.RecordBatch.from_pylist([dict(zip(("url", "sample_key", "name"), r, strict=True)) for r in out], pa.schema([("url", pa.string()), ("sample_key", pa.string()), ("name", pa.string())]))
-
-    field = image_key(F.transform("members", lambda m: m["key"]))
-    rows = samples.withColumn("field", field).where("field IS NOT NULL")
-    rows = rows.select("url", "sample_key", "field", F.get(F.filter("members", lambda m: m["key"] == F.col("field")), F.lit(0))["content"].alias("content"))
-    names = written(rows.mapInArrow(store, "url string, sample_key string, name string"), "names")
-    found = decoded(spark, folder, on_corrupt).withColumn("name", F.regexp_extract("path", "[^/]*$", 0)).drop("path")
-    return names.join(found, "name").drop("name")
+            n = len(names)
+            yield pa.RecordBatch.from_arrays([rest.column("url"), rest.column("sample_key"), pa.array(names, pa.string()), *(pa.nulls(n, pa.int32()) for _ in range(3)), pa.nulls(n, pa.binary())], columns)
+
+    first = written(image_fields(samples).mapInArrow(run, "url string, sample_key string, name string, height int, width int, n_channels int, pixels binary"), "images")
+    filed = first.where("name IS NOT NULL").select("url", "sample_key", "name")
+    done = first.where("name IS NULL").drop("name")
+    if filed.take(1):
+        found = _red_first(spark.read.format("image").load(folder).select("image.*")).withColumn("name", F.regexp_extract("path", "[^/]*$", 0)).drop("path")
+        done = done.unionByName(filed.join(found, "name").drop("name"))
+    if report:
+        done = done.observe(report, F.count(F.lit(1)).alias("n_images"), F.count_if(F.col("height") < 0).alias("n_bad"))
+    if on_corrupt == "fail":
+        done = done.where(F.when(F.col("height") < 0, F.raise_error(F.concat(F.lit("can't decode "), "sample_key"))).otherwise(F.lit(True)))
+    out = written(done if on_corrupt == "keep" else done.where("height >= 0"), "pixels")
+    remove(folder)
+    return out
