@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import keyed_uniform
-from ..functions.frames import numbered, shared_dir, written
+from ..functions.frames import shared_dir
 from ..operators import history
-from ..session import ship
+from .epochs import endless  # noqa: F401
+from .ordered import best_so_far, running_average, settled
 
 
 def events(spark: SparkSession, sf_dir: str, files_a_batch: int = 8) -> DataFrame:
@@ -26,78 +24,25 @@ def finished(stream: DataFrame, mode: str = "append", folder: str | None = None)
     a failure, goes on behind the last finished batch and writes no row twice.
     """
     folder = folder or shared_dir(stream.sparkSession)
+    spark = stream.sparkSession
+    # a query takes the settings that are there when it starts
+    name, provider = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", f"{folder}/out").start()
     else:
         query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/out")).start()
+    spark.conf.set(name, provider) if provider else spark.conf.unset(name)
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def endless(spark: SparkSession, rows: DataFrame, key: str, size: int, seed: int = 0, steps_a_batch: int = 64) -> DataFrame:
-    """A stream without end of step, epoch, batch and rows: every epoch deals all rows into full batches of `size`, in an order of its own.
-
-    The epoch's order is a turn and a stride over numbered rows, both drawn from the epoch, so a step's rows are
-    found by their number and no epoch is sorted.
-    """
-    at = written(numbered(rows, [keyed_uniform(seed, "order", F.col(key)), key], "number_", "n_"), "numbered")
-    first = at.select("n_").first()
-    n = first["n_"] if first else 0
-    if n < size:
-        raise ValueError(f"{n} rows don't fill a batch of {size}")
-    steps = n // size
-    strides = [s for s in range(max(1, n // 3), n + 1) if np.gcd(s, n) == 1][:64] or [1]
-    stream = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", steps_a_batch).load().select(F.col("value").alias("step"))
-    epoch = F.floor(F.col("step") / steps)
-    draw = lambda what, most: F.floor(keyed_uniform(seed, what, F.col("epoch").cast("string")) * most)
-    stream = stream.withColumn("epoch", epoch).withColumn("batch", F.col("step") % steps).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
-    stride = F.get(F.array(*[F.lit(s) for s in strides]), draw("stride", len(strides)).cast("int"))
-    stream = stream.withColumn("number_", F.pmod((F.col("batch") * size + F.col("slot")) * stride + draw("turn", n), F.lit(n)))
-    return stream.join(at.drop("n_"), "number_").drop("number_")
-
-
 def means_by(stream: DataFrame, by: Column, name: str) -> DataFrame:
     """name, n_steps and the sum of every metric of a stream (metric, value), one row per step and metric; sums and counts are the stream's state."""
     return stream.groupBy(by.alias(name)).agg(F.count(F.lit(1)).alias("n_steps"), *[F.coalesce(F.sum(F.when(F.col("metric") == m, F.col("value"))), F.lit(0.0)).alias(m) for m in history.METRICS.values()])
 
 
-def best_so_far(stream: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """key, order, value of the rows whose value is below all before it of its key, in order within a batch and by batch; the state is a number per key."""
-
-    def update(at, frames, state):
-        best = state.get[0] if state.exists else float("inf")
-        rows = pd.concat(list(frames)).sort_values(order)
-        before = np.minimum.accumulate(np.concatenate([[best], rows[value].to_numpy()]))
-        own = rows[value].to_numpy() < before[:-1]
-        state.update((float(before[-1]),))
-        yield rows[own].assign(**{key: at[0]})[[key, order, value]]
-
-    ship(stream.sparkSession)
-    return stream.select(key, order, value).groupBy(key).applyInPandasWithState(update, f"{key} long, {order} long, {value} double", "best double", "append", "NoTimeout")
-
-
-def running_average(stream: DataFrame, key: str, order: str, value: str, keep: float = 0.9) -> DataFrame:
-    """key, n, ema after each micro-batch: value * keep + new * (1 - keep) from 0, in order within a batch and by batch.
-
-    State is a count and a number per key, kept by the stream's checkpoint.
-    """
-
-    def update(at, frames, state):
-        n, ema = state.get if state.exists else (0, 0.0)
-        rows = pd.concat(list(frames)).sort_values(order)[value].to_numpy()
-        for a in range(0, len(rows), 4096):
-            part = rows[a : a + 4096]
-            weight = keep ** np.arange(len(part) - 1, -1, -1.0)
-            ema = ema * keep ** len(part) + (1 - keep) * float(part @ weight)
-        n += len(rows)
-        state.update((n, ema))
-        yield pd.DataFrame({key: [at[0]], "n": [n], "ema": [ema]})
-
-    ship(stream.sparkSession)
-    return stream.select(key, order, value).groupBy(key).applyInPandasWithState(update, f"{key} long, n long, ema double", "n long, ema double", "append", "NoTimeout")
-
-
 WINDOW = 1000
 
 
@@ -122,13 +67,13 @@ def stream_window_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The steps of each user that are below all before."""
-    return finished(best_so_far(_named(spark, sf_dir), "user_id", "step", "value"))
+    """The steps of each user that are below all before, in whatever order they come."""
+    return settled(finished(best_so_far(_named(spark, sf_dir), "user_id", "step", "value", changes=True)), "user_id", "step", "value")
 
 
 def stream_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = finished(running_average(events(spark, sf_dir), "user_id", "event_id", "value"))
-    return rows.groupBy("user_id").agg(F.max_by("ema", "n").alias("ema")).select("user_id", F.round("ema", 6).alias("ema"))
+    return rows.groupBy("user_id").agg(F.max_by("ema", "version").alias("ema")).select("user_id", F.round("ema", 6).alias("ema"))
 
 
 QUERIES = {f.__name__: f for f in (stream_epoch_metrics, stream_window_metrics, stream_best, stream_ema)}
