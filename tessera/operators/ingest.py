@@ -5,12 +5,15 @@ In the queries `documents`, `pages`, `part` and `labels` stand for image ids, li
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import heapq
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import keyed_uniform, uniform_sql
-from ..functions.frames import numbered
+from ..functions.frames import fresh, numbered
 
 #: Endings of image files, in order of preference, and fields of a sample that aren't its image.
 EXTENSIONS = ("jpg", "jpeg", "png", "JPG", "JPEG", "PNG")
@@ -41,24 +44,89 @@ def image_key(members: Column) -> Column:
     return F.coalesce(first, F.get(F.filter(members, lambda m: ~m.isin(*META) & like(m)), F.lit(0)))
 
 
-def resolve(ids: DataFrame, files: DataFrame, key: str = "image", roots=("root/", ""), endings=("", ".jpg", ".jpeg", ".png", ".JPG", ".JPEG", ".PNG")) -> DataFrame:
-    """ids with path: the first candidate (each root with each ending) that files (path) has; ids without one are left out."""
-    candidates = F.array(*[F.struct(F.lit(i).alias("priority"), F.concat(F.lit(r), F.col(key), F.lit(e)).alias("path")) for i, (r, e) in enumerate((r, e) for r in roots for e in endings)])
-    hits = ids.select(key, F.inline(candidates)).join(files.select("path").distinct(), "path")
-    return hits.groupBy(key).agg(F.min_by("path", "priority").alias("path"))
+ROOTS, CANDIDATES = ("root/", ""), ("", *ENDINGS, *(e.upper() for e in ENDINGS))
+
+
+def resolve(ids: DataFrame, files: DataFrame, key: str = "image", roots=ROOTS, endings=CANDIDATES, report: Observation | None = None) -> DataFrame:
+    """ids with path: the first candidate (each root with each ending) that files (path) has; ids without one are left out.
+
+    A file is cut to the ids it may stand for (at most one for each root and ending that it begins and ends with) and meets them once; ids aren't multiplied.
+    report: an Observation that has n_ids and n_unresolved once a result is there.
+    """
+    pairs = [(i, r, e) for i, (r, e) in enumerate((r, e) for r in roots for e in endings)]
+    path = F.col("path")
+    own = lambda r, e: path.startswith(r) & path.endswith(e) & (F.length(path) >= len(r) + len(e))
+    cut = lambda r, e: F.substring(path, F.lit(len(r) + 1), F.length(path) - len(r) - len(e))
+    stands = F.filter(F.array(*[F.when(own(r, e), F.struct(F.lit(i).alias("priority"), cut(r, e).alias("id"), path.alias("path"))) for i, r, e in pairs]), lambda x: x.isNotNull())
+    # of the files that stand for an id, the first: found among files alone, before ids come in
+    best = files.where(path.isNotNull()).select(F.inline(stands)).groupBy("id").agg(F.min_by("path", "priority").alias("path"))
+    met = ids.select(key).distinct().join(best, F.col(key) == F.col("id"), "left").select(key, "path")
+    if report:
+        met = met.observe(report, F.count(F.lit(1)).alias("n_ids"), F.count_if(F.col("path").isNull()).alias("n_unresolved"))
+    return met.where("path IS NOT NULL")
+
+
+def shuffled(rows: DataFrame, part: str, order: list[str], seed: int, epoch: int, buffer: int = 2000) -> DataFrame:
+    """rows with place: each part (a shard) goes through a buffer of at most `buffer` rows, in its order, and comes out mixed.
+
+    The i-th row leaves once i + draw * buffer rows have come in, its draw being keyed by seed, epoch and the row's order columns, so an epoch's order is the
+    same on reruns and another in the next epoch; no row moves further than the buffer, and none is lost.  Parts are read by their tasks in order; nothing is sorted as a whole.
+    A column named place is replaced; nulls in the order come first.
+    """
+    rows = rows.drop("place")
+    draw = fresh(rows, "draw")
+    rows = rows.withColumn(draw, keyed_uniform(seed, epoch, "buffer", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (part, *order)]))
+    kept = rows.columns[:-1]
+    parts = kept.index(part)
+
+    def mix(batches):
+        held: list = []  # (when it leaves, its number, row)
+        now, i, place = None, 0, 0
+
+        def out(rows_, schema):
+            return pa.RecordBatch.from_arrays([*(pa.array(c, schema.field(k).type) for k, c in enumerate(zip(*(r for r, _ in rows_), strict=True))), pa.array([p for _, p in rows_], pa.int64())], [*kept, "place"])
+
+        schema = None
+        for b in batches:
+            schema, done = b.schema, []
+            for *row, u in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[parts] != now or not i:
+                    while held:
+                        done.append((heapq.heappop(held)[2], place))
+                        place += 1
+                    now, i, place = row[parts], 0, 0
+                while held and held[0][0] <= i:  # those to come leave later
+                    done.append((heapq.heappop(held)[2], place))
+                    place += 1
+                heapq.heappush(held, (i + u * buffer, i, tuple(row)))
+                i += 1
+            if done:
+                yield out(done, schema)
+        if held:
+            yield out([(heapq.heappop(held)[2], place + k) for k in range(len(held))], schema)
+
+    given = rows.repartition(part).sortWithinPartitions(part, *order)
+    return given.mapInArrow(mix, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]) + ", place long")
+
+
+def shuffle_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of each source as the second epoch takes them."""
+    return shuffled(_docs(spark, sf_dir).select("source", "doc_id"), "source", ["doc_id"], 7, 1)
 
 
 def encoded(rows: DataFrame, label: str) -> DataFrame:
     """rows with label_id: the label's place in sorted order; the table of labels is numbered, not the rows."""
-    names = rows.where(F.col(label).isNotNull()).select(F.col(label).alias("label_")).distinct()
-    names = numbered(names, ["label_"], "label_id").withColumn("label_id", F.col("label_id").cast("int"))
-    return rows.join(names, F.col(label) == F.col("label_")).drop("label_")
+    own = fresh(rows, "of_label")
+    names = rows.where(F.col(label).isNotNull()).select(F.col(label).alias(own)).distinct()
+    names = numbered(names, [own], "label_id").withColumn("label_id", F.col("label_id").cast("int"))
+    return rows.join(names, F.col(label) == F.col(own)).drop(own)
 
 
 def batches(rows: DataFrame, order: list, size: int) -> DataFrame:
     """rows with batch, in the given order; the last batch is left out if it isn't full."""
-    found = numbered(rows, order, "batch", "all_").withColumn("batch", F.floor(F.col("batch") / size))
-    return found.where(F.col("batch") < F.floor(F.col("all_") / size)).drop("all_")
+    whole = fresh(rows, "n_rows")
+    found = numbered(rows, order, "batch", whole).withColumn("batch", F.floor(F.col("batch") / size))
+    return found.where(F.col("batch") < F.floor(F.col(whole) / size)).drop(whole)
 
 
 def _docs(spark, sf_dir):
@@ -151,7 +219,7 @@ def map_filter_kwargs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.array_join(F.array_sort(F.transform(F.map_entries(kept), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("kwargs"))
 
 
-QUERIES = {f.__name__: f for f in (corrupt_substitute, extract_image_key, resolve_path, missing_files, probe_filter, drop_null, label_encode, probe_counts, ext_union, seeded_sample, epoch_shuffle, batch_assign, map_filter_kwargs)}
+QUERIES = {f.__name__: f for f in (corrupt_substitute, extract_image_key, resolve_path, missing_files, probe_filter, drop_null, label_encode, probe_counts, ext_union, seeded_sample, epoch_shuffle, batch_assign, shuffle_buffer, map_filter_kwargs)}
 
 _RESOLVED = """d AS (SELECT doc_id, 'img' || doc_id AS image FROM documents), f AS (SELECT 'root/' || image || '.png' AS path FROM d WHERE doc_id % 3 = 0 UNION SELECT image || '.jpg' FROM d WHERE doc_id % 5 = 0 UNION SELECT 'root/' || image FROM d WHERE doc_id % 15 = 1),
 c AS (SELECT image, r * 7 + e AS priority, ['root/', ''][r + 1] || image || ['', '.jpg', '.jpeg', '.png', '.JPG', '.JPEG', '.PNG'][e + 1] AS path FROM d, range(2) a(r), range(7) b(e)),
@@ -174,5 +242,7 @@ SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN doc_id ELSE other END AS used FROM
     "seeded_sample": f"SELECT doc_id FROM documents ORDER BY {uniform_sql("'42'", "'sample'", 'doc_id')}, doc_id LIMIT 50",
     "epoch_shuffle": f"SELECT doc_id, p AS place, p % 4 AS rank FROM (SELECT doc_id, row_number() OVER (ORDER BY {uniform_sql("'0'", "'3'", 'doc_id')}, doc_id) - 1 AS p FROM documents)",
     "batch_assign": "SELECT doc_id, b AS batch FROM (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 32 AS b, count(*) OVER () // 32 AS n FROM documents) WHERE b < n",
+    "shuffle_buffer": f"""WITH d AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, {uniform_sql("'7'", "'1'", "'buffer'", 'source', 'doc_id')} AS u FROM documents)
+SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY i + u * 2000::DOUBLE, i) - 1 AS place FROM d""",
     "map_filter_kwargs": "SELECT doc_id, 'mode=' || lang || ',size=' || n_chars AS kwargs FROM documents",
 }

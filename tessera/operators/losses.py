@@ -90,15 +90,49 @@ def gram_loss(student: Column, teacher: Column, negatives: str = "keep") -> Colu
     return bind(unit(student), lambda s: bind(unit(teacher), lambda t: mean(s, t)))
 
 
+#: Values of a block of products that are summed up at once.
+BLOCK = 1 << 16
+
+
 def gram_batch_loss(rows: DataFrame, batch: str, student: str, teacher: str) -> DataFrame:
     """batch, n, loss over all pairs of patches of a batch, without forming one: the squared norm of S S' - T T' is
-    |S'S|^2 + |T'T|^2 - 2 |S'T|^2, and these are sums of WIDTH x WIDTH products per patch."""
-    unit = rows.select(batch, F.explode(F.arrays_zip(F.transform(student, lambda v: l2_normalize(v)).alias("s"), F.transform(teacher, lambda v: l2_normalize(v)).alias("t"))).alias("p")).select(batch, "p.s", "p.t")
-    at = [(i, j) for i in range(WIDTH) for j in range(WIDTH)]
-    sums = [F.sum(F.get(a, F.lit(i)) * F.get(b, F.lit(j))).alias(f"{a}{b}{i}{j}") for a, b in (("s", "s"), ("t", "t"), ("s", "t")) for i, j in at]
-    s = unit.groupBy(batch).agg(F.count(F.lit(1)).alias("n"), *sums)
-    square = lambda ab: sum((F.col(f"{ab}{i}{j}") ** 2 for i, j in at), F.lit(0.0))
-    return s.select(batch, "n", ((square("ss") + square("tt") - 2 * square("st")) / (F.col("n") * F.col("n"))).alias("loss"))
+    |S'S|^2 + |T'T|^2 - 2 |S'T|^2, and these are sums of width x width products.
+
+    Tasks multiply their patches as matrices, of any width; partial products are cut into blocks of lines and added up by place.
+    A batch's patches have one width; null patches don't count.
+    """
+
+    def partial(batches):
+        for b in batches:
+            keys = b.column(batch).dictionary_encode()
+            at = keys.indices.to_numpy(zero_copy_only=False)
+            for k in np.unique(at):
+                own = b.filter(pa.array(at == k))
+                s, t = (_unit(own.column(c)) for c in ("s", "t"))
+                for which, (x, y, sign) in enumerate(((s, s, 1.0), (t, t, 1.0), (s, t, -2.0))):
+                    m = x.T @ y
+                    lines = max(1, BLOCK // m.shape[1])
+                    cut = [m[i : i + lines].ravel() for i in range(0, len(m), lines)]
+                    n = len(cut)
+                    yield pa.RecordBatch.from_arrays([pa.array([keys.dictionary[int(k)].as_py()] * n, keys.dictionary.type), pa.array([which] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([sign] * n), pa.array([len(s) if which == 0 and i == 0 else 0 for i in range(n)], pa.int64()), pa.array(cut, pa.list_(pa.float64()))], [batch, "which", "block", "sign", "n", "m"])
+
+    def added(table: pa.Table) -> pa.Table:
+        total = np.zeros(len(table.column("m")[0].values))
+        for chunk in table.column("m").chunks:
+            total += chunk.flatten().to_numpy(zero_copy_only=False).reshape(len(chunk), -1).sum(0)
+        square = table.column("sign")[0].as_py() * float(total @ total)
+        return table.slice(0, 1).select([batch]).append_column("n", pa.array([sum(table.column("n").to_pylist())], pa.int64())).append_column("square", pa.array([square]))
+
+    each = rows.select(batch, F.explode(F.arrays_zip(F.col(student).alias("s"), F.col(teacher).alias("t"))).alias("p")).select(batch, "p.s", "p.t").where("s IS NOT NULL AND t IS NOT NULL")
+    kind = f"`{batch}` {rows.schema[batch].dataType.simpleString()}"
+    sums = each.mapInArrow(partial, f"{kind}, which int, block int, sign double, n long, m array<double>").groupBy(batch, "which", "block").applyInArrow(added, f"{kind}, n long, square double")
+    return sums.groupBy(batch).agg(F.sum("n").alias("n"), F.sum("square").alias("s")).select(batch, "n", (F.col("s") / (F.col("n") * F.col("n"))).alias("loss"))
+
+
+def _unit(values: pa.Array) -> np.ndarray:
+    """Rows of a list column as unit vectors; a row of zeros stays."""
+    m = values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1).astype(np.float64)
+    return m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-12)
 
 
 # ---- queries ----

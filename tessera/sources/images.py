@@ -34,6 +34,14 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
     return files.orderBy("path")
 
 
+def counted(rows: DataFrame, report: Observation | str) -> DataFrame:
+    """rows of images, of which n_images and n_bad (height below 0) are counted on the way to whatever reads them.
+
+    report: an Observation, or for a stream a name, under which each micro-batch's progress tells both.
+    """
+    return rows.observe(report, F.count(F.lit(1)).alias("n_images"), F.count_if(F.col("height") < 0).alias("n_bad"))
+
+
 def _red_first(rows: DataFrame) -> DataFrame:
     """Spark's decoded images (origin, height, width, nChannels, data) as path, height, width, n_channels and pixels.
 
@@ -62,10 +70,10 @@ def decoded(spark: SparkSession, folder: str, on_corrupt: str = "drop", seed: in
     """
     listing(spark, folder)
     raw = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", _GLOB).load(folder).select("image.*")
-    counted = lambda rows: rows.observe(report, F.count(F.lit(1)).alias("n_images"), F.count_if(F.col("height") < 0).alias("n_bad")) if report else rows
+    told = lambda rows: counted(rows, report) if report else rows
     if on_corrupt == "substitute":
         # one pass finds what can be decoded; a second one makes the pixels, of each image for all who take it
-        found = written(counted(raw.select(F.col("origin").alias("path"), "height")), "found")
+        found = written(told(raw.select(F.col("origin").alias("path"), "height")), "found")
         used = substitute(found, "path", F.col("height") >= 0, seed).where("height < 0").select(F.col("path").alias("lost"), F.col("used").alias("origin"))
         used = written(used, "used")
         takers = used.where("origin IS NOT NULL").groupBy("origin").agg(F.collect_list("lost").alias("lost"))
@@ -73,7 +81,7 @@ def decoded(spark: SparkSession, folder: str, on_corrupt: str = "drop", seed: in
         images = raw.where("height >= 0").join(takers, "origin", "left")
         images = images.select(F.explode(F.concat(F.array("origin"), F.coalesce("lost", F.array().cast("array<string>")))).alias("origin"), "height", "width", "nChannels", "data")
         return _red_first(images).unionByName(used.where("origin IS NULL").select(F.col("lost").alias("path")), allowMissingColumns=True)
-    raw = counted(raw)
+    raw = told(raw)
     if on_corrupt == "drop":
         raw = raw.where("height >= 0")
     elif on_corrupt == "fail":
@@ -162,7 +170,7 @@ def unpacked(samples: DataFrame, on_corrupt: str = "drop", report: Observation |
         found = _red_first(spark.read.format("image").load(folder).select("image.*")).withColumn("name", F.regexp_extract("path", "[^/]*$", 0)).drop("path")
         done = done.unionByName(filed.join(found, "name").drop("name"))
     if report:
-        done = done.observe(report, F.count(F.lit(1)).alias("n_images"), F.count_if(F.col("height") < 0).alias("n_bad"))
+        done = counted(done, report)
     if on_corrupt == "fail":
         done = done.where(F.when(F.col("height") < 0, F.raise_error(F.concat(F.lit("can't decode "), "sample_key"))).otherwise(F.lit(True)))
     out = written(done if on_corrupt == "keep" else done.where("height >= 0"), "pixels")
