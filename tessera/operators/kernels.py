@@ -10,8 +10,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.frames import spread
 from ..session import ship
 
 ROWS = 64
@@ -125,9 +127,48 @@ def project(rows: DataFrame, layers: list[tuple[np.ndarray, np.ndarray]], protot
 
     def run(batches):
         for b in _pieces(batches):
-            x = b.column(kept.index(vector)).to_pylist()
-            there = [v for v in x if v is not None]
-            found = iter(projected(np.array(there, float), *shared.value).tolist() if there else [])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([None if v is None else next(found) for v in x], pa.list_(pa.float64()))], [*kept, "logits"])
+            x = b.column(kept.index(vector))
+            own = np.flatnonzero(x.is_valid().to_numpy(zero_copy_only=False))
+            if not len(own):
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(len(x), pa.list_(pa.float64()))], [*kept, "logits"])
+                continue
+            m = x.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
+            found = projected(m, *shared.value)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * found.shape[1], pa.int32()), pa.array(found.ravel()))
+            at = np.full(len(x), -1)
+            at[own] = np.arange(len(own))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists.take(pa.array(at, mask=at < 0))], [*kept, "logits"])
 
     return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", logits array<double>")
+
+
+#: Sizes of the query's head, and its weights: a rule, so that SQL has them too.
+SIZES, PROTOTYPES = (64, 16, 8), 10
+
+
+def head(sizes: tuple[int, ...] = SIZES, prototypes: int = PROTOTYPES) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Weight (j, i) of layer n is ((7 j + 3 i + n) mod 11 - 5) / 10, its bias j is (j mod 3 - 1) / 10; prototypes follow as a layer without bias."""
+    rule = lambda n, out, into: ((7 * np.arange(out)[:, None] + 3 * np.arange(into)[None, :] + n) % 11 - 5) / 10.0
+    layers = [(rule(n, out, into), (np.arange(out) % 3 - 1) / 10.0) for n, (into, out) in enumerate(zip(sizes[:-1], sizes[1:], strict=True))]
+    return layers, rule(len(layers), prototypes, sizes[-1])
+
+
+def projection_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The logits of every embedding, by prototype."""
+    rows = project(spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select("vec_id", "embedding"), *head())
+    return rows.select("vec_id", F.posexplode("logits").alias("k", "logit")).select("vec_id", "k", F.round("logit", 6).alias("logit"))
+
+
+QUERIES = {"projection_head": projection_head}
+
+_WEIGHT = lambda n, j, i: f"(((7 * {j} + 3 * {i} + {n}) % 11 - 5) / 10.0::DOUBLE)"
+_LAYER = lambda n, x, into, out: f"list_transform(range({out}), lambda j: (j % 3 - 1) / 10.0::DOUBLE + list_sum(list_transform(range({into}), lambda i: {x}[i + 1] * {_WEIGHT(n, 'j', 'i')})))"
+#: The error function by its series, which is exact to about 9 digits up to 4, where the values of the query stay.
+_ERF = "2 / sqrt(pi()) * list_sum(list_transform(range(60), lambda n: CASE n % 2 WHEN 0 THEN 1 ELSE -1 END * pow(v / sqrt(2.0::DOUBLE), 2 * n + 1) / (gamma(n + 1.0::DOUBLE) * (2 * n + 1))))"
+
+ORACLES = {
+    "projection_head": f"""WITH a AS (SELECT vec_id, {_LAYER(0, "x", 64, 16)} AS h FROM (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)),
+g AS (SELECT vec_id, list_transform(h, lambda v: 0.5::DOUBLE * v * (1 + {_ERF})) AS h FROM a), b AS (SELECT vec_id, {_LAYER(1, "h", 16, 8)} AS z FROM g),
+u AS (SELECT vec_id, list_transform(z, lambda v: v / greatest(sqrt(list_inner_product(z, z)), 1e-12::DOUBLE)) AS u FROM b)
+SELECT vec_id, CAST(k AS INTEGER) AS k, round(list_sum(list_transform(range(8), lambda i: u[i + 1] * {_WEIGHT(2, "k", "i")})), 6) AS logit FROM u, range({PROTOTYPES}) r(k)"""
+}

@@ -20,8 +20,8 @@ DIM, GLOBALS, LOCALS, TOKENS, WIDTH = 64, 2, 8, 16, 4
 STUDENT_TEMPERATURE, TEACHER_TEMPERATURE, SINKHORN_TEMPERATURE, ROUNDS = 0.1, 0.07, 0.07, 3
 
 
-def sinkhorn(rows: DataFrame, batch: str, key: list[str], x: str, temperature: float = SINKHORN_TEMPERATURE, rounds: int = ROUNDS) -> DataFrame:
-    """batch, key, q: balanced assignment of a batch's rows to the places of the array x, an array per row.
+def sinkhorn(rows: DataFrame, batch: str, key: list[str], x: str, temperature: float = SINKHORN_TEMPERATURE, rounds: int = ROUNDS, keep: bool = False) -> DataFrame:
+    """batch, key, q (and x, with keep): balanced assignment of a batch's rows to the places of the array x, an array per row.
 
     exp(x / temperature), the row's largest value taken off first, is scaled so that every place gets the same share of the
     batch and every row the same total, in turn; the result sums to 1 in each row.  A batch, a bounded number of
@@ -37,10 +37,10 @@ def sinkhorn(rows: DataFrame, batch: str, key: list[str], x: str, temperature: f
         for _ in range(rounds):
             q /= q.sum(0, keepdims=True) * k
             q /= q.sum(1, keepdims=True) * n
-        return table.select([batch, *key]).append_column("q", pa.array(list(q * n), pa.list_(pa.float64())))
+        return table.select([batch, *key, *([x] if keep else [])]).append_column("q", pa.array(list(q * n), pa.list_(pa.float64())))
 
     given = rows.where(F.col(x).isNotNull()).select(batch, *key, x)
-    schema = ", ".join(f"`{c}` {given.schema[c].dataType.simpleString()}" for c in (batch, *key))
+    schema = ", ".join(f"`{c}` {given.schema[c].dataType.simpleString()}" for c in (batch, *key, *([x] if keep else [])))
     return given.groupBy(batch).applyInArrow(balance, f"{schema}, q array<double>")
 
 
@@ -143,10 +143,11 @@ def _views(spark, sf_dir) -> DataFrame:
 
 
 def _assigned(rows: DataFrame) -> DataFrame:
-    """vec_id, teachers: the assignments of both global views, made over the batch's views together."""
+    """batch, vec_id, x and teachers: the assignments of both global views, made over the batch's views together."""
     two = rows.select("vec_id", "batch", F.inline(F.array(*[F.struct(F.lit(v).alias("view"), turned("x", v).alias("x")) for v in range(GLOBALS)])))
-    rows = sinkhorn(two, "batch", ["vec_id", "view"], "x")
-    return rows.groupBy("batch", "vec_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("view", "q"))), lambda s: s["q"]).alias("teachers"))
+    rows = sinkhorn(two, "batch", ["vec_id", "view"], "x", keep=True)
+    views = F.sort_array(F.collect_list(F.struct("view", "q", "x")))
+    return rows.groupBy("batch", "vec_id").agg(F.transform(views, lambda s: s["q"]).alias("teachers"), F.get(views, F.lit(0))["x"].alias("x"))
 
 
 def sinkhorn_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +157,7 @@ def sinkhorn_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _dino(samples: DataFrame) -> DataFrame:
     """batch, g and l: the global and the local part, from one pass over the samples and their assignments."""
-    rows = samples.select("vec_id", "batch", "x").join(_assigned(samples), ["batch", "vec_id"])
+    rows = _assigned(samples)
     students = lambda first, n: F.array(*[log_softmax(turned("x", v), STUDENT_TEMPERATURE) for v in range(first, first + n)])
     part = lambda first, n, skip: bind(students(first, n), lambda s: cross_entropies(s, F.col("teachers"), skip))
     rows = rows.select("batch", part(0, GLOBALS, True).alias("g"), part(GLOBALS, LOCALS, False).alias("l"))

@@ -127,11 +127,11 @@ def mask_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mask_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Masks that begin with the first two patches hidden, made whole."""
-    rows = _slots(spark, sf_dir).where("view = 0 AND n_target >= 2")
+    """Masks of both views that begin with the first two patches hidden, made whole."""
+    rows = _slots(spark, sf_dir).where("n_target >= 2")
     begun = F.transform(F.sequence(F.lit(0), F.lit(PATCHES - 1)), lambda p: p < 2)
     mask = complete(begun, F.col("n_target"), draws(PATCHES, 0, "patch", F.col("view"), F.col("vec_id")))
-    return rows.select("vec_id", F.array_join(F.transform(mask, lambda m: m.cast("int").cast("string")), "").alias("mask"))
+    return rows.select("vec_id", "view", F.array_join(F.transform(mask, lambda m: m.cast("int").cast("string")), "").alias("mask"))
 
 
 def mask_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,8 +159,8 @@ HIDDEN_SQL = f"""{SLOTS_SQL}, h AS (SELECT vec_id, batch, view, CAST(patch AS IN
 ORACLES = {
     "mask_targets": "SELECT CAST(i AS INTEGER) AS place, " + ", ".join(f"{target_sql('i', n_masked(), p)} AS of_{p}" for p in (16, 196)) + f" FROM range(1, {BATCH + 1}) r(i)",
     "mask_slots": f"WITH {SLOTS_SQL} SELECT vec_id, view, place, n_target FROM t",
-    "mask_complete": f"""WITH {SLOTS_SQL}, d AS (SELECT vec_id, patch, n_target, patch < 2 AS begun, row_number() OVER (PARTITION BY vec_id, patch < 2 ORDER BY {uniform_sql("'0'", "'patch'", "view", "vec_id", "patch")}) AS k FROM t, range({PATCHES}) p(patch) WHERE view = 0 AND n_target >= 2)
-SELECT vec_id, string_agg(CASE WHEN begun OR k <= n_target - 2 THEN '1' ELSE '0' END, '' ORDER BY patch) AS mask FROM d GROUP BY vec_id""",
+    "mask_complete": f"""WITH {SLOTS_SQL}, d AS (SELECT vec_id, view, patch, n_target, patch < 2 AS begun, row_number() OVER (PARTITION BY vec_id, view, patch < 2 ORDER BY {uniform_sql("'0'", "'patch'", "view", "vec_id", "patch")}) AS k FROM t, range({PATCHES}) p(patch) WHERE n_target >= 2)
+SELECT vec_id, view, string_agg(CASE WHEN begun OR k <= n_target - 2 THEN '1' ELSE '0' END, '' ORDER BY patch) AS mask FROM d GROUP BY vec_id, view""",
     "mask_weights": f"WITH {HIDDEN_SQL} SELECT vec_id, view, patch, round(weight, 9) AS weight FROM h",
     "mask_blocks": f"WITH {SLOTS_SQL} SELECT vec_id, view, n_target, n_target AS n_masked FROM t",
 }

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..config import RunConfig
 from ..functions.columns import between, keyed_uniform, uniform_sql
 from ..functions.frames import spread
+from ..operators import masks
 from ..operators import transforms as t
 from ..operators.pixels import ATTENUATION, MEAN, STD, VEIL
 from . import views
@@ -113,6 +114,33 @@ def rendered(images: DataFrame, recipe: str, key: str = "path", seed: int = 0, c
     return t.fanned(rows, lambda image, views_: [normalised(shown(image, p, fill)[1], of) for p in views_], [key], ("plan",), on_error)
 
 
+def masked(made: DataFrame, hidden: DataFrame, key: str = "path", patch: int = 16) -> DataFrame:
+    """made (key, view, dims, dtype, data of views, channel by channel) with the values of hidden patches 0; hidden: key, view, mask (an array over the patches, by line).
+
+    Views without a mask stay as they are.  A mask whose length isn't the number of patches of its view is an error.
+    """
+
+    def run(batches):
+        for b in batches:
+            data = []
+            for dims, kind, values, mask in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("dims", "dtype", "data", "mask")), strict=True):
+                if mask is None or not any(mask):
+                    data.append(values)
+                    continue
+                c, h, w = dims
+                if len(mask) != (h // patch) * (w // patch):
+                    raise ValueError(f"a mask of {len(mask)} for {h // patch} x {w // patch} patches")
+                m = np.frombuffer(values, kind).reshape(dims).copy()
+                grid = np.repeat(np.repeat(np.reshape(mask, (h // patch, w // patch)), patch, 0), patch, 1)
+                m[:, : grid.shape[0], : grid.shape[1]][:, grid] = 0
+                data.append(m.tobytes())
+            columns = [b.column(b.schema.get_field_index(x)) for x in (key, "view", "dims", "dtype")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(data, pa.binary())], [key, "view", "dims", "dtype", "data"])
+
+    joined = made.join(hidden.select(key, "view", "mask"), [key, "view"], "left").select(key, "view", "dims", "dtype", "data", "mask")
+    return joined.mapInArrow(run, f"`{key}` {made.schema[key].dataType.simpleString()}, view int, dims array<int>, dtype string, data binary")
+
+
 def probed(images: DataFrame, key: str = "path", side: int = 224, collection: str = "imagenet", on_error: str = "drop") -> DataFrame:
     """key, dims, dtype, data: the central square of each image with the short side at `side`, normalised, as the probe of neighbours sees it."""
     return t.transformed(images, lambda image: normalised(t.resized(image, side) / 255.0, collection), [key], on_error=on_error)
@@ -186,12 +214,27 @@ def rendered_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.means(made, ["doc_id", "view"]).select("doc_id", "view", F.get("dims", F.lit(1)).alias("side"), F.round("mean", 4).alias("mean"))
 
 
-QUERIES = {f.__name__: f for f in (plain_views, render_plan, rendered_views)}
+def masked_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both global views of every image with the patches of its batch's masks hidden: how many of a view's patches are 0 in all places."""
+    images = synthetic(spark, sf_dir)
+    made = rendered(images, "official", "doc_id", config=RunConfig("-", n_global=2, n_local=0, image_side=32))
+    batch = F.floor(F.col("doc_id") / masks.BATCH).alias("batch")
+    slots = masks.hidden(masks.slots(images.select("doc_id", batch), ["doc_id"], "batch"), ["doc_id"])
+    values = t.values(masked(made, slots, "doc_id", 8), ["doc_id", "view"])
+    place = lambda p: (F.floor(F.col("i") % 1024 / 256) * 4 + F.floor(F.col("i") % 32 / 8)).cast("int")
+    each = values.select("doc_id", "view", F.posexplode("values").alias("i", "v")).groupBy("doc_id", "view", place(0).alias("patch")).agg(F.max(F.abs("v")).alias("most"))
+    return each.groupBy("doc_id", "view").agg(F.count_if(F.col("most") == 0).cast("int").alias("n_hidden"), F.bit_or(F.when(F.col("most") == 0, F.pow(F.lit(2), F.col("patch")).cast("int")).otherwise(0)).alias("hidden"))
+
+
+QUERIES = {f.__name__: f for f in (plain_views, render_plan, rendered_views, masked_views)}
 
 _PLAIN = lambda what: uniform_sql("'plain'", f"'{what}'", "doc_id")
 _PLAN = lambda what: uniform_sql("'0'", f"'{what}'", "doc_id", "view")
 
+_SLOTS = masks.HIDDEN_SQL.replace(masks.SAMPLES_SQL, f"s AS (SELECT doc_id AS vec_id, doc_id // {masks.BATCH} AS batch, 0 AS slot FROM documents)")
+
 ORACLES = {
+    "masked_views": f"""WITH {_SLOTS} SELECT t.vec_id AS doc_id, t.view, t.n_target AS n_hidden, CAST(coalesce(bit_or(1 << h.patch), 0) AS INTEGER) AS hidden FROM t LEFT JOIN h ON h.vec_id = t.vec_id AND h.view = t.view GROUP BY t.vec_id, t.view, t.n_target""",
     "plain_views": f"""WITH im AS (SELECT doc_id, doc_id % 3 * 8 + 16 AS h, doc_id % 3 * 8 + 20 AS w FROM documents), b AS (SELECT *, CAST(floor({_PLAIN("top")} * (h - 11)) AS BIGINT) AS top, CAST(floor({_PLAIN("left")} * (w - 11)) AS BIGINT) AS l, CAST(floor({_PLAIN("turn")} * 4) AS INTEGER) AS k FROM im),
 p AS (SELECT *, y * 12 + x AS place, CASE k WHEN 0 THEN y WHEN 1 THEN x WHEN 2 THEN 11 - y ELSE 11 - x END AS sy, 11 - CASE k WHEN 0 THEN x WHEN 1 THEN 11 - y WHEN 2 THEN 11 - x ELSE y END AS sx FROM b, range(12) r(y), range(12) q(x)),
 v AS (SELECT doc_id, CAST(c AS INTEGER) AS channel, place, (((top + sy) * w + l + sx) * 7 + c * 61 + doc_id * 13) % 256 AS v FROM p, range(3) z(c))

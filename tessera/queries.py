@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("operators.history", "operators.ingest", "operators.schedules", "operators.similarity", "operators.masks", "operators.losses", "operators.pixels", "plans.views", "plans.render", "sources.sinks", "streaming.metrics")
+MODULES: tuple[str, ...] = ("operators.history", "operators.ingest", "operators.schedules", "operators.similarity", "operators.masks", "operators.losses", "operators.kernels", "operators.pixels", "plans.views", "plans.render", "sources.sinks", "streaming.metrics")
 
 
 def _gather(attribute: str) -> dict:

@@ -11,11 +11,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import RunConfig
 from ..functions.frames import remove, shared_dir, written
 from ..operators.ingest import EXTENSIONS, image_key, substitute
 from ..session import ship
+from ..streaming import epochs
 from . import png
-from .shards import n_samples, shards  # noqa: F401
+from .shards import index, n_samples, opened, shards  # noqa: F401
 from .shards import paths_below as shard_paths  # noqa: F401
 
 LABELS = "image string, partition string, catami_substrate string"
@@ -176,3 +178,25 @@ def unpacked(samples: DataFrame, on_corrupt: str = "drop", report: Observation |
     out = written(done if on_corrupt == "keep" else done.where("height >= 0"), "pixels")
     remove(folder)
     return out
+
+
+def collection(spark: SparkSession, config: RunConfig, on_corrupt: str = "drop", report: Observation | None = None) -> DataFrame:
+    """path, height, width, n_channels and pixels of a run's images, from its folder or its shards; a sample's path is its file's and its key."""
+    if not config.use_shards:
+        return decoded(spark, config.data_dir, on_corrupt, report=report)
+    found = unpacked(shards(spark, shard_paths(config.shard_dir)), on_corrupt, report)
+    return found.select(F.concat_ws("/", "url", "sample_key").alias("path"), *PIXELS)
+
+
+def training_stream(spark: SparkSession, config: RunConfig, seed: int = 0, **options) -> DataFrame:
+    """step, epoch, batch, slot, url, sample_key and the image of a run's shards, epoch after epoch without end, in full batches.
+
+    A micro-batch reads the bytes of its own samples.  Images that can't be decoded here (other kinds than PNG too) have height -1, so that a
+    step's size doesn't change before it is known what to do about them.  options: those of `endless` (folder and name, to resume).
+    """
+    paths = shard_paths(config.shard_dir)
+    known = index(spark, paths).withColumn("sample", F.concat_ws("/", "url", "sample_key"))
+    stream = epochs.endless(spark, known, "sample", config.batch_size, seed, **options)
+    read = opened(stream.drop("sample")).withColumn("field", image_key(F.transform("members", lambda m: m["key"])))
+    read = read.withColumn("content", F.get(F.filter("members", lambda m: m["key"] == F.col("field")), F.lit(0))["content"]).drop("members", "field")
+    return png_images(read)

@@ -132,3 +132,30 @@ def test_what_a_late_row_undoes(spark, tmp_path):
     told = metrics.finished(ordered.best_so_far(feed(spark, tmp_path / "in", batches), "k", "s", "v", changes=True))
     assert sorted(tuple(r) for r in told.select("k", "s", "v", "best", "version").collect()) == [(1, 5, 4.0, True, 2), (1, 10, 5.0, False, 2), (1, 10, 5.0, True, 1), (1, 15, 3.5, True, 2), (1, 20, 3.0, True, 1), (2, 5, 1.0, True, 1)]
     assert sorted(tuple(r) for r in ordered.settled(told, "k", "s", "v").collect()) == [(1, 5, 4.0), (1, 15, 3.5), (1, 20, 3.0), (2, 5, 1.0)]
+
+
+def test_a_training_stream_over_shards(spark, tmp_path):
+    """Steps of a run's shards come as pixels, every sample once an epoch; the same collection as a table."""
+    from tessera.config import RunConfig
+    from tessera.sources import images, png
+    from tests.test_shards import samples, tar
+
+    made = dict(list(samples().items())[:20])
+    for k in range(2):
+        tar(tmp_path / f"s{k}.tar", [(f"{n}.{e}", d if e == "png" else b"{}") for n, d in list(made.items())[10 * k : 10 * k + 10] for e in ("json", "png")])
+    config = RunConfig(use_shards=True, shard_dir=str(tmp_path), batch_size=5)
+    assert config.steps(images.n_samples(spark, images.shard_paths(str(tmp_path)))) == 4
+    table = {r["path"].rsplit("/", 1)[1]: bytes(r["pixels"]) for r in images.collection(spark, config).collect()}
+    assert table == {n: png.decode(d).tobytes() for n, d in made.items()}
+    stream = images.training_stream(spark, config, steps_a_batch=6)
+    query = stream.writeStream.format("memory").queryName("training").start()
+    try:
+        for _ in range(200):
+            time.sleep(0.3)
+            if query.exception() or spark.table("training").where("epoch = 1 AND batch = 3").count() == 5:
+                break
+    finally:
+        query.stop()
+    for epoch in range(2):
+        rows = spark.table("training").where(f"epoch = {epoch}").collect()
+        assert len(rows) == 20 and {r["sample_key"]: bytes(r["pixels"]) for r in rows} == table and {(r["batch"], r["slot"]) for r in rows} == {(b, s) for b in range(4) for s in range(5)}
