@@ -186,3 +186,34 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op12_merkle_manifest": op12_merkle_manifest}
+
+
+def _sql(levels: int = 10) -> str:
+    """The manifest in SQL, a step per level: enough for FAN ** levels rows of a source, and as many sources."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    # the checksum of the id's digits, bit by bit
+    crc = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [1, 1, 1, 1, 1, 1, 1, 1]::BIGINT[]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END))"
+    steps = [
+        "d AS MATERIALIZED (SELECT *, row_number() OVER () AS r, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s, " + leaf("text") + f" AS h, CASE WHEN doc_id IS NOT NULL AND xor({crc}, 4294967295::BIGINT) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS told FROM documents)",
+        "l AS MATERIALIZED (SELECT doc_id, r, s, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, h) - 1 AS i, h, " + leaf("told") + " AS f FROM d)",
+        "n0 AS MATERIALIZED (SELECT s, i, h, count(*) OVER (PARTITION BY s) AS c FROM l)",
+        "p0 AS MATERIALIZED (SELECT r, s, i, f, '' AS proof FROM l)",
+    ]
+
+    def up(n: str, p: str, k: int) -> list[str]:
+        return [
+            f"{n}{k + 1} AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY s) AS c FROM (SELECT s, i // {FAN} AS i, CASE WHEN any_value(c) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM {n}{k} GROUP BY s, i // {FAN}))",
+            f"{p}{k + 1} AS MATERIALIZED (SELECT p.r, p.s, p.i // {FAN} AS i, CASE WHEN any_value(b.c) = 1 THEN any_value(p.f) ELSE sha256(string_agg(CASE WHEN b.i = p.i THEN p.f ELSE b.h END, '' ORDER BY b.i)) END AS f, any_value(p.proof) || coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i <> p.i AND b.c > 1), '') AS proof FROM {p}{k} p JOIN {n}{k} b ON b.s = p.s AND b.i // {FAN} = p.i // {FAN} GROUP BY p.r, p.s, p.i)",
+        ]
+
+    for k in range(levels):
+        steps += up("n", "p", k)
+    steps.append(f"m0 AS MATERIALIZED (SELECT 0 AS s, s AS i, h, count(*) OVER () AS c FROM n{levels})")
+    steps.append(f"q0 AS MATERIALIZED (SELECT r, 0 AS s, s AS i, f, proof FROM p{levels})")
+    for k in range(levels):
+        steps += up("m", "q", k)
+    return f"WITH {', '.join(steps)} SELECT l.doc_id, l.h AS leaf, n{levels}.h AS subroot, m{levels}.h AS root, sha256(q{levels}.proof) AS proof_sha256, q{levels}.f AS folded_root, q{levels}.f = m{levels}.h AS verified FROM l JOIN n{levels} USING (s) JOIN q{levels} USING (r), m{levels}"
+
+
+ORACLES = {"op12_merkle_manifest": _sql()}
