@@ -29,7 +29,7 @@ WINDOW, NEEDED = 13, 10
 SHORT, LEAST = 8, 3
 #: Up to this many seeds of the benchmark (12 bytes each and their overhead) are sent to every executor, and its items with them; beyond, both sides are shuffled.
 BROADCAST_SEEDS = 500_000
-#: Up to this many texts with hits, their 8-byte keys pick those texts before the shuffle; beyond, all texts are shuffled.
+#: Up to this many texts with hits, their 16-byte keys pick those texts before the shuffle; beyond, all texts are shuffled.
 BROADCAST_KEYS = 2_000_000
 #: The table of neighbours has 2^13 to 2^24 bits (2 MB); beyond PAIRS different ones it isn't used, and all places of a text have seeds.
 PAIRS, FEWEST_BITS, MOST_BITS = 4_000_000, 13, 24
@@ -42,6 +42,11 @@ def tokens(text: Column) -> Column:
     return words(F.lower(F.translate(F.coalesce(text, F.lit("")), string.punctuation, "")))
 
 
+def text_key(text: Column) -> Column:
+    """What tells texts apart: 128 bits, so that no clean text goes for another one's hash; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def hashed(text: Column) -> Column:
     return F.transform(tokens(text), lambda x: F.xxhash64(x))
 
@@ -108,7 +113,7 @@ def best_window(item: Column, text: Column, diagonal: Column) -> Column:
 
 
 def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", least: int = LEAST) -> DataFrame:
-    """text_key (xxhash64 of the text), item_id, matched: items found in texts, and their best window.
+    """text_key (text_key() of the text), item_id, matched: items found in texts, and their best window.
 
     Items with fewer than `least` tokens, null and empty ones too, are found nowhere; those under SHORT only
     whole.  Null and empty texts have no hits.  Each different text is compared once, however often it is
@@ -124,7 +129,7 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item: st
     masks = MASKS if own.where(short).take(1) else MASKS[:-1]
     side = F.broadcast if small else (lambda x: x)
     bits = neighbours(own, "item")
-    keyed = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    keyed = docs.select(text_key(F.col(text)).alias("text_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     seeds = bind(hashed(F.col("text")), lambda h: bind(known_places(h, bits), lambda p: _spread(h, p, masks)))
     spread = dealt(keyed).select("text_key", F.explode(seeds).alias("s")).select("text_key", F.col("s.seed").alias("seed"), F.col("s.place").alias("at"))
     hits = spread.join(side(marked), "seed").groupBy("text_key", "item_id").agg(F.collect_set(F.col("at") - F.col("place")).alias("diagonals"))  # fewer than the tokens of both
@@ -151,7 +156,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     Rows that repeat both id and text are one document; null ids are kept as such.
     """
     found = written(contaminated(docs, items, text, **options), "found")
-    keyed = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key")).distinct()
+    keyed = docs.select(F.col(key).alias("doc_id"), text_key(F.col(text)).alias("text_key")).distinct()
     return keyed.join(found, "text_key").select("doc_id", "item_id", "matched")
 
 
@@ -159,7 +164,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text", **options)
     """The rows of docs in whose text no item was found; all columns stay."""
     name = fresh(docs, "text_key")
     found = written(contaminated(docs, items, text, **options).select(F.col("text_key").alias(name)).distinct(), "found")
-    return docs.join(found, F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col(name), "left_anti")
+    return docs.join(found, text_key(F.col(text)) == F.col(name), "left_anti")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

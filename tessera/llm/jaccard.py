@@ -2,7 +2,7 @@
 
 1. Equal sets are one class, known by a hash of the set.
 2. Two sets of similarity t share one of the first n - ceil(t n) + 1 members in any order common
-   to all.  Members with a hash below BELOW come first, rare ones before frequent ones, then the others by
+   to all.  Members whose hash is in the first SHARE of all come first, rare ones before frequent ones, then the others by
    hash; so only the former are counted.  A very frequent one is dealt to many tasks.  Members of one class alone lead to nothing, and
    with enough of them a class is done.  Classes that share one of their first members meet in
    the bucket of the smallest of them.
@@ -31,9 +31,11 @@ from .components import components
 
 N, NUMERATOR, DENOMINATOR = 5, 75, 100
 BITS, FAN = 2048, 8
-#: The share of hashes whose members are counted, as a 63-bit number, and from where on a count makes no difference.  With 0.55 of
+#: The share of hashes whose members are counted, and from where on a count makes no difference.  With 0.55 of
 #: them, a text looks at what it shares with very many only if that makes up some half of it; more of them fill more disk.
-BELOW, MOST_COUNTED = int(0.55 * (1 << 63)), 1_000_000
+SHARE, MOST_COUNTED = 0.55, 1_000_000
+#: Up to this many texts that are in a bucket, their 8-byte keys pick those texts before the shuffle; beyond, all texts are shuffled.
+BROADCAST_KEYS, MOST_MET = 2_000_000, 500_000
 PART = 3000
 #: A token with so many classes in one task is dealt to SALTS more tasks.
 HOT, SALTS = 200, 64
@@ -79,9 +81,9 @@ def needed(n: int, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -
     return n - -(-n * numerator // denominator) + 1 if n else 0
 
 
-def counted(members: np.ndarray, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> int:
-    """How many members, by hash, are told to the others: those below BELOW, or as many as are needed."""
-    return max(int(np.searchsorted(members >> np.uint64(1), np.uint64(BELOW))), needed(len(members), numerator, denominator))
+def counted(members: np.ndarray, below: int, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> int:
+    """How many members, by hash, are told to the others: those below a 63-bit number, or as many as are needed."""
+    return max(int(np.searchsorted(members >> np.uint64(1), np.uint64(below))), needed(len(members), numerator, denominator))
 
 
 class Links:
@@ -177,18 +179,18 @@ def link(members: list[np.ndarray], hub: int | None = None, numerator: int = NUM
     return links.edges
 
 
-def _measure(n: int, numerator: int, denominator: int):
+def _measure(n: int, numerator: int, denominator: int, below: int):
     """Per text its size, its class and how many of its members are told."""
 
     def run(batches):
         for b in pieces(batches, most=1 << 20):
             found = sets(b.column(2).to_pylist(), n)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in ([len(x) for x in found], [class_of(x) for x in found], [counted(x, numerator, denominator) for x in found]))], ["id", "text_key", "n", "class", "told"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in ([len(x) for x in found], [class_of(x) for x in found], [counted(x, below, numerator, denominator) for x in found]))], ["id", "text_key", "n", "class", "told"])
 
     return run
 
 
-def _members(n: int, numerator: int, denominator: int, hot: int):
+def _members(n: int, numerator: int, denominator: int, below: int, hot: int):
     """(token, salt, class) of the members that are told; a class that this task has met before isn't told again.
 
     A token that this task has told of about `hot` classes goes on in parts, by class; that it
@@ -205,7 +207,7 @@ def _members(n: int, numerator: int, denominator: int, hot: int):
                 c = class_of(members)
                 if c is not None and c not in seen:
                     seen.add(c)
-                    tokens.append(members[: counted(members, numerator, denominator)] >> np.uint64(1))
+                    tokens.append(members[: counted(members, below, numerator, denominator)] >> np.uint64(1))
                     classes.append((c, len(tokens[-1])))
             if len(seen) > 200_000:
                 seen.clear()
@@ -227,10 +229,10 @@ def _members(n: int, numerator: int, denominator: int, hot: int):
     return run
 
 
-def _shared(most: int):
+def _shared(most: int, below: int):
     """(class, rank, token) of tokens in several classes, from rows sorted by token, salt and class, nulls first.
 
-    rank is the number of classes, up to `most`, and that for a token in parts; beyond BELOW it is one more.  A row may come twice.
+    rank is the number of classes, up to `most`, and that for a token in parts; of those that aren't counted it is one more.  A row may come twice.
     """
 
     def ranked(t, s, c, mark, large: bool):
@@ -240,7 +242,7 @@ def _shared(most: int):
         parted = np.repeat((s[start] > 0) | mark[start] | large, n)
         size = np.repeat(n, n)
         own = ~mark & (parted | (size > 1))
-        rank = np.where(t < BELOW, np.where(parted, most, np.minimum(size, most)), most + 1)
+        rank = np.where(t < below, np.where(parted, most, np.minimum(size, most)), most + 1)
         return pa.RecordBatch.from_arrays([pa.array(c[own]), pa.array(rank[own]), pa.array(t[own])], ["class", "rank", "token"])
 
     def run(batches):
@@ -276,6 +278,21 @@ def _shared(most: int):
     return run
 
 
+def _once(batches):
+    """The texts (text_key, text), each once a task."""
+    met: set[int] = set()
+    for b in batches:
+        own = []
+        for i, key in enumerate(b.column(0).to_pylist()):
+            if key not in met:
+                met.add(key)
+                own.append(i)
+        if own:
+            yield b if len(own) == b.num_rows else b.take(pa.array(own))
+        if len(met) > MOST_MET:
+            met.clear()
+
+
 def _deal(n: int):
     """One row per bucket of a text; copies of a text come one after the other, and the first stands for all."""
 
@@ -323,26 +340,28 @@ def _solve(n: int, numerator: int, denominator: int, second: bool):
     return run
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, part: int = PART, most_counted: int = MOST_COUNTED, hot: int = HOT) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, part: int = PART, most_counted: int = MOST_COUNTED, hot: int = HOT, share: float = SHARE) -> DataFrame:
     """id, text_key (xxhash64 of the text), n_shingles, component_id of every row of docs.
 
     Two texts are linked when denominator * |common| >= numerator * |either|.  The component's id is
     the smallest key that links reach; null keys count for nothing there, and a component that has no
     other gets null.  A text that is null or has no word is empty and on its own.  Repeated rows
     are alike, so they share a component.  Other columns are ignored; an empty table gives an empty result.
+    Keys are whole numbers.  share: how much of the members is counted; whatever it is, no link is lost.
     """
-    found = _rooted(docs, key, text, n, numerator, denominator, part, most_counted, hot)
+    found = _rooted(docs, key, text, n, numerator, denominator, part, most_counted, hot, share)
     return found.select("id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("component_id"))
 
 
-def _rooted(docs: DataFrame, key: str, text: str, n: int = N, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, part: int = PART, most_counted: int = MOST_COUNTED, hot: int = HOT) -> DataFrame:
+def _rooted(docs: DataFrame, key: str, text: str, n: int = N, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, part: int = PART, most_counted: int = MOST_COUNTED, hot: int = HOT, share: float = SHARE) -> DataFrame:
     """id, text_key, n, root of every row, the root null for texts without words; first, bare: the root's smallest (id, text_key) and, of rows without an id, text_key."""
     ship(docs.sparkSession)
+    below = min(int(share * (1 << 63)), (1 << 63) - 1)
     rows = dealt(docs).select(F.col(key).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    measured = written(rows.mapInArrow(_measure(n, numerator, denominator), "id long, text_key long, n long, class long, told long"), "classes")
+    measured = written(rows.mapInArrow(_measure(n, numerator, denominator, below), "id long, text_key long, n long, class long, told long"), "classes")
     classes = measured.where("class IS NOT NULL").groupBy("class").agg(F.min("text_key").alias("text_key"), F.min("n").alias("n"), F.min("told").alias("told"))
-    tokens = rows.select("text").mapInArrow(_members(n, numerator, denominator, hot), "token long, salt int, class long")
-    shared = tokens.repartition("token", "salt").sortWithinPartitions("token", "salt", "class").mapInArrow(_shared(most_counted), "class long, rank long, token long")
+    tokens = rows.select("text").mapInArrow(_members(n, numerator, denominator, below, hot), "token long, salt int, class long")
+    shared = tokens.repartition("token", "salt").sortWithinPartitions("token", "salt", "class").mapInArrow(_shared(most_counted, below), "class long, rank long, token long")
     # a class looks at as many members as it needs, in order; those of its own come first
     of = shared.groupBy("class").agg(F.sort_array(F.collect_set(F.struct("rank", "token"))).alias("shared"))  # at most a set's members
     need = F.col("n") - F.ceil(F.col("n") * numerator / F.lit(denominator)) + 1
@@ -356,7 +375,12 @@ def _rooted(docs: DataFrame, key: str, text: str, n: int = N, numerator: int = N
     def solve(buckets: DataFrame, second: bool) -> DataFrame:
         """buckets: class, hub, part, other."""
         asked = buckets.join(classes.select("class", "text_key"), "class").groupBy("text_key").agg(F.collect_list(F.struct("hub", "part", "class", "other")).alias("buckets"))
-        dealt = rows.select("text_key", "text").join(asked, "text_key").select("text_key", "text", "buckets").mapInArrow(_deal(n), "hub long, part long, class long, other boolean, text string")
+        asked = written(asked, "asked")
+        texts = rows.select("text_key", "text")
+        if asked.count() <= BROADCAST_KEYS:
+            texts = texts.join(F.broadcast(asked.select("text_key")), "text_key", "left_semi")
+        texts = texts.mapInArrow(_once, "text_key long, text string")
+        dealt = texts.join(asked, "text_key").select("text_key", "text", "buckets").mapInArrow(_deal(n), "hub long, part long, class long, other boolean, text string")
         return dealt.repartition("hub", "part").sortWithinPartitions("hub", "part", "class").mapInArrow(_solve(n, numerator, denominator, second), "a long, b long")
 
     parts = F.ceil(F.col("m") / part)

@@ -35,8 +35,16 @@ INDEX = "page_id long, url string, file string, offset long, length long, payloa
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
-def _line(value: str) -> str:
-    return value.replace("\r", "%0D").replace("\n", "%0A")
+#: A header of our own: the URL had line ends, so these and its percent signs are escaped.
+ESCAPED = "X-Target-URI-Escaped: true"
+
+
+def _escaped(url: str) -> str:
+    return url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+
+
+def _unescaped(url: str) -> str:
+    return url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
 
 
 def record(page_id, url, payload: bytes, digest: str, refers_to=None) -> bytes:
@@ -45,7 +53,7 @@ def record(page_id, url, payload: bytes, digest: str, refers_to=None) -> bytes:
     block = http if refers_to is not None else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
     if url is not None:
-        head.append(f"WARC-Target-URI: {_line(url)}")
+        head += [f"WARC-Target-URI: {_escaped(url)}", ESCAPED] if "\r" in url or "\n" in url else [f"WARC-Target-URI: {url}"]
     head.append(f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}")
     if refers_to is not None:
         head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
@@ -67,7 +75,7 @@ def parse(member: bytes) -> dict:
     kind = fields["WARC-Type"]
     if kind == "response" and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != size):
         raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
-    return {"page_id": number(fields["WARC-Record-ID"]), "url": fields.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": number(fields.get("WARC-Refers-To")), "payload": payload if kind == "response" else None}
+    return {"page_id": number(fields["WARC-Record-ID"]), "url": _unescaped(fields["WARC-Target-URI"]) if ESCAPED.partition(":")[0] in fields else fields.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": number(fields.get("WARC-Refers-To")), "payload": payload if kind == "response" else None}
 
 
 def write(pages: DataFrame, folder: str | None = None, min_revisit: int = MIN_REVISIT, most: int = 1 << 30) -> DataFrame:

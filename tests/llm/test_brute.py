@@ -9,9 +9,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import jaccard, language, suffix, token_store, toxicity
-from tessera.llm.common import table
+from tessera.llm.common import table, written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -74,7 +75,7 @@ def chains(seed=3):
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"part": 4, "most_counted": 3}, {"part": 2}, {"hot": 2}, {"hot": 1, "most_counted": 2, "part": 3}])
+@pytest.mark.parametrize("options", [{}, {"part": 4, "most_counted": 3}, {"part": 2}, {"hot": 2}, {"hot": 1, "most_counted": 2, "part": 3}, {"share": 0.0}, {"share": 0.05, "part": 4}, {"share": 1.0}])
 def test_near_duplicates_on_chains(spark, options):
     rows = chains()
     assert near(docs(spark, rows).repartition(3), **options) == brute_near(rows)
@@ -98,6 +99,39 @@ def test_near_duplicates_in_a_hot_bucket(spark):
     assert near(docs(spark, rows).repartition(5), part=20) == brute_near(rows)
 
 
+def test_near_duplicates_beyond_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BROADCAST_KEYS", 0)
+    rows = chains(4)
+    assert near(docs(spark, rows + rows).repartition(3)) == brute_near(rows)
+
+
+def passages(n):
+    """Texts that share a passage of more than half their words, none of them alike."""
+    r = random.Random(n)
+    shared = " ".join(f"p{i}" for i in range(60))
+    return [(i, " ".join(f"a{i}b{k}" for k in range(20)) + " " + shared + " " + " ".join(f"c{i}d{r.randrange(99)}e{k}" for k in range(20))) for i in range(n)]
+
+
+def test_texts_that_share_a_passage_dont_all_meet(spark, monkeypatch):
+    """With all members counted, what is sent to buckets grows no faster than the texts; with the usual share the rows are the same."""
+    sent = []
+
+    def watched(df, name="table"):
+        out = written(df, name)
+        if name == "asked":
+            sent[-1] += out.agg(F.sum(F.size("buckets"))).first()[0] or 0
+        return out
+
+    monkeypatch.setattr(jaccard, "written", watched)
+    for n in (200, 400):
+        sent.append(0)
+        rows = passages(n)
+        assert near(docs(spark, rows).repartition(4), part=100, share=1.0) == {(i, 96, i) for i in range(n)}
+    assert sent[1] <= 2.2 * sent[0]
+    sent.append(0)
+    assert near(docs(spark, passages(200)).repartition(4), part=100) == {(i, 96, i) for i in range(200)}
+
+
 def test_near_duplicates_keep_columns_and_rows(spark):
     text = " ".join(f"a{i}" for i in range(30))
     rows = [(5, text, 1), (3, text + " b", 2), (3, text + " b", 2), (None, text, 3), (9, None, 4), (8, "", 5)]

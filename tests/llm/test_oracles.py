@@ -177,3 +177,9 @@ def test_ranges_are_read_together(tmp_path):
     places = [(uri, 0, 10), (uri, 10, 5), (uri, 100, 20), (uri, 199, 1)]
     for gap, most in ((0, 1 << 20), (1000, 1 << 20), (1000, 12)):
         assert list(files.read_ranges(places, gap, most)) == [bytes(range(200))[o : o + n] for _, o, n in places]
+
+
+def test_urls_come_back_as_they_were(spark):
+    urls = ["http://a/b?x=%0A", "http://a/b\r\nc%0D%25", "\n", "", None]
+    d = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    assert [r["url"] for r in warc.read(warc.write(d)).orderBy("page_id").collect()] == urls
