@@ -49,7 +49,8 @@ ASIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dial
 ASIDE_NAMES = frozenset(
     "ad ads adsbygoogle adsense advert advertisement advertisements advertising adverts alert aside banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies copyright disqus footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommended related replies respond search share sharing sidebar signup social sponsor sponsored sponsors subscribe subscription syndication toolbar topbar widget widgets".split()
 )
-NOT_NAMES = frozenset("has no non not with without".split())
+NOT_NAMES = frozenset("allowed closed disabled enabled has no non not open with without".split())
+COMMENTS = frozenset("comment comments commentlist disqus replies reply".split())
 # ---- end of fixed values ----
 
 TAG = re.compile(r"""<(?:!--(?:.*?)(?:-->|--!>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)(?:>|\Z)|[!?/][^>]*+(?:>|\Z))""", re.S)
@@ -64,7 +65,7 @@ def _hash(*parts: str) -> int:
 
 def _marks(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
     """An element's label in the tree, and whether its markup names it as aside, as reader comments, as main text."""
-    label, aside, main, names = tag, tag in ASIDE_TAGS, tag in ("article", "main"), set()
+    label, aside, main, names, comments = tag, tag in ASIDE_TAGS, tag in ("article", "main"), set(), False
     for m in ATTRIBUTE.finditer(attributes) if attributes else ():
         key, value = m[1].lower(), entities.unescape((m[2] or "").strip("\"'"))
         if key in ("class", "id"):
@@ -73,14 +74,15 @@ def _marks(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
                 found = [p.lower() for p in PARTS.findall(name)]
                 if not NOT_NAMES & set(found):
                     names |= set(found)
+                comments = comments or name.lower() in COMMENTS
         elif key == "role":
             aside, main = aside or value.strip().lower() in ASIDE_ROLES, main or value.strip().lower() in ("main", "article")
         elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
             aside = True
-    comments = bool(names & {"comment", "comments", "commentlist", "replies", "disqus"})
     if tag not in ("html", "body", "main", "article"):
         aside = aside or bool(names & ASIDE_NAMES)
-    return label, aside or (comments and tag not in ("html", "body", "main")), tag == "header" or "header" in names, main
+    # an article is aside only where its whole name says that it is a comment
+    return label, aside or (comments and tag == "article"), tag == "header" or "header" in names, main
 
 
 class Page:

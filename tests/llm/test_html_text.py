@@ -106,6 +106,8 @@ def test_names_in_the_markup(spark):
         "<section id=comments><article class=comment>me too</article></section><p class='shadow address'>three</p></main><div id=sidebar>side</div><p>beside</p><aside>a</aside><footer>f</footer></body>"
     )
     assert kept(spark, [("http://x.y/1", page)]) == ["T\n\nsub\n\none two\n\nthree"]
+    flags = "<div class='post comments-open no-sidebar'><article class='entry comments-closed' id='with-ads'><p>text</p></article></div>"
+    assert kept(spark, [("http://x.y/2", flags)]) == ["text"]
 
 
 @pytest.mark.parametrize("bound", [0, 200_000])
