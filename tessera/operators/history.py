@@ -28,7 +28,10 @@ def epoch_means(rows: DataFrame, metrics=tuple(METRICS.values())) -> DataFrame:
 
 
 def is_best(value: Column, order: Column, larger: bool) -> Column:
-    """Whether a value is better than all before it; ties aren't, nulls neither are nor count."""
+    """Whether a value is better than all before it; ties aren't, nulls neither are nor count.
+
+    The window has one row per epoch, so it is one task's.
+    """
     before = (F.max if larger else F.min)(value).over(W.orderBy(order).rowsBetween(*PREVIOUS))
     return F.coalesce((value > before) if larger else (value < before), value.isNotNull() & before.isNull())
 
