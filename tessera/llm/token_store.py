@@ -169,10 +169,15 @@ def _groups(s: np.ndarray, at: np.ndarray, top: int) -> tuple[np.ndarray, np.nda
     Symbols are below top.  Pair and place are sorted as one number where they fit into 64 bits.
     """
     symbol, place = np.uint64(max(1, (top - 1).bit_length())), np.uint64(max(1, (len(s) - 1).bit_length()))
-    pair = (s[at].astype(np.uint64) << symbol) | s[at + 1]
-    if 2 * symbol + place <= 64:
-        ordered = np.sort((pair << place) | at.astype(np.uint64))
-        pair, at = ordered >> place, (ordered & ((np.uint64(1) << place) - np.uint64(1))).astype(np.int64)
+    pair = s[at].astype(np.uint64)
+    pair <<= symbol
+    pair |= s[at + 1]
+    if 2 * symbol + place <= 64:  # in place: these arrays are the largest of a shard
+        pair <<= place
+        pair |= at.astype(np.uint64)
+        pair.sort()
+        at = (pair & ((np.uint64(1) << place) - np.uint64(1))).astype(np.int64)
+        pair >>= place
     else:
         by = np.argsort(pair, kind="stable")
         pair, at = pair[by], at[by]
@@ -191,7 +196,7 @@ def compress(ids: np.ndarray, starts: np.ndarray, first: int, rules_a_round: int
     open_ = np.ones(len(s), bool)
     open_[last()] = False
     while True:
-        at = _maybe(s, np.flatnonzero(open_), min_count)
+        at = _maybe(s, np.flatnonzero(open_).astype(np.int32 if len(s) < 1 << 31 else np.int64), min_count)
         if not len(at):
             break
         at, edge = _groups(s, at, top)
@@ -283,7 +288,8 @@ def pack(doc_ids: list, ids: np.ndarray, counts: np.ndarray) -> bytes:
     held = np.zeros(int(ids.max(initial=0)) + 1, bool)
     held[ids] = True
     first = int(held.sum())
-    symbols, starts, rules = compress((np.cumsum(held) - 1)[ids], token_starts, first)
+    rank = (np.cumsum(held) - 1).astype(np.uint32)
+    symbols, starts, rules = compress(rank[ids], token_starts, first)
     length, _ = _levels(rules, first)
     width = "<u2" if first + len(rules) <= 1 << 16 else "<u4"
     parts = [MAGIC, struct.pack("<4Q", len(doc_ids), len(rules), len(symbols), first), np.flatnonzero(held).astype("<u4").tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is not None for d in doc_ids], np.uint8).tobytes(), starts.astype("<u8").tobytes(), token_starts.astype("<u8").tobytes(), rules.astype("<u4").tobytes(), length.astype("<u4").tobytes(), symbols.astype(width).tobytes()]
@@ -365,15 +371,16 @@ def write(docs: DataFrame, path: str | None = None, text: str = "text", key: str
         def flush():
             nonlocal ids, counts, names, size, seq
             uri, out = files.create(folder, f"part-{part:05d}-{seq:05d}", ".ids")
+            whole, ids = np.concatenate(ids), []
             with out:
-                out.write(pack(names, np.concatenate(ids), np.concatenate(counts)))
+                out.write(pack(names, whole, np.concatenate(counts)))
             row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "file": [uri], "n_docs": pa.array([len(names)], pa.int64()), "n_tokens": pa.array([size], pa.int64())})
             ids, counts, names, size, seq = [], [], [], 0, seq + 1
             return row
 
         for b in pieces(batches, most=CHUNK):
             got, n = encode(b.column(1).to_pylist())
-            ids.append(got)
+            ids.append(got.astype(np.uint32))
             counts.append(n)
             names += b.column(0).to_pylist()
             size += len(got)
