@@ -135,3 +135,11 @@ def test_functions_report_unreadable_rows(spark):
     report = Observation()
     assert images.counted(d, report).where("height > 0").count() == 1 and report.get == {"n_images": 2, "n_bad": 1}
     assert d.select(F.lit(1)).count() == 2
+
+
+def test_numbers_keep_columns_of_any_name(spark):
+    names = ("at", "part", "n", "start", "all", "at_", "part_", "n_rows", "draw", "of_label")
+    d = spark.createDataFrame([(i, *[i] * len(names), f"l{i % 3}") for i in range(10)], "i long, " + ", ".join(f"`{c}` long" for c in names) + ", label string")
+    for out in (ingest.batches(d, ["i"], 5), ingest.encoded(d, "label"), ingest.shuffled(d, "label", ["i"], 0, 0)):
+        rows = out.collect()
+        assert len(rows) == 10 and all(r[c] == r["i"] for r in rows for c in names)
