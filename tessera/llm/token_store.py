@@ -380,7 +380,7 @@ def write(docs: DataFrame, path: str | None = None, text: str = "text", key: str
 
         for b in pieces(batches, most=CHUNK):
             got, n = encode(b.column(1).to_pylist())
-            ids.append(got.astype(np.uint32))
+            ids.append(got)
             counts.append(n)
             names += b.column(0).to_pylist()
             size += len(got)
