@@ -14,20 +14,61 @@ from ..session import ship
 from .kernels import taps, turned_hue
 from .pixels import LUMA
 
-#: Bytes of results after which they are handed on.
-OUT_BYTES = 16 << 20
+#: Bytes of results after which they are handed on; bytes and rows of a batch that are taken at once.
+OUT_BYTES, PIECE_BYTES, PIECE_ROWS = 4 << 20, 1 << 20, 64
 MADE = "view int, dims array<int>, dtype string, data binary"
 
 
-def fanned(images: DataFrame, fn, keep: list[str], given: tuple[str, ...] = (), on_error: str = "drop") -> DataFrame:
+class Misfit(ValueError):
+    """Something given with an image doesn't fit it: an error whatever on_error says."""
+
+
+def pieces(b: pa.RecordBatch):
+    """A batch in slices of about PIECE_BYTES, of at most PIECE_ROWS rows and one at least: what is made of a slice is all that a task holds beside the batch."""
+    rows = max(1, min(PIECE_ROWS, b.num_rows * PIECE_BYTES // max(1, b.nbytes)))
+    for a in range(0, b.num_rows, rows):
+        yield b.slice(a, rows)
+
+
+def fanned(images: DataFrame, fn, keep: list[str], given: tuple[str, ...] = (), on_error: str = "drop", many: bool = False) -> DataFrame:
     """keep, view (from 0), dims, dtype, data: a row for each array in the list that fn(image, *given) returns.
 
     An image that is null, and one for which fn returns None or nothing, has no row.  on_error: drop leaves
-    out images on which fn fails, fail raises.
+    out images on which fn fails, fail raises.  many: fn gets a list of images and the Arrow columns of their
+    `given`, and returns a list of lists; where it fails, it gets these images one by one.
     """
 
+    def all_of(images, columns):
+        if many:
+            return fn(images, *columns)
+        return [fn(image, *row) for image, *row in zip(images, *(c.to_pylist() for c in columns), strict=True)]
+
+    def made_of(b):
+        """(row, arrays) of the images of a slice."""
+        column = lambda c: b.column(b.schema.get_field_index(c))
+        shapes = list(zip(*(column(c).to_pylist() for c in ("height", "width", "pixels")), strict=True))
+        rows = [i for i, (h, w, data) in enumerate(shapes) if data is not None and h is not None and h >= 0]
+        image = lambda i: np.frombuffer(shapes[i][2], np.uint8).reshape(shapes[i][0], shapes[i][1], 3)
+        of = lambda own: all_of([image(i) for i in own], [column(c).take(pa.array(own, pa.int64())) for c in given])
+        try:
+            return zip(rows, of(rows), strict=True) if rows else ()
+        except Misfit:
+            raise
+        except Exception:
+            if on_error == "fail":
+                raise
+        found = []
+        for i in rows:
+            try:
+                found += [(i, of([i])[0])]
+            except Misfit:
+                raise
+            except Exception:  # noqa: S112
+                continue
+        return found
+
     def run(batches):
-        for b in batches:
+        for b in (s for batch in batches for s in pieces(batch)):
             column = lambda c: b.column(b.schema.get_field_index(c))  # noqa: B023, E731
             rows, found, size = [], [], 0
 
@@ -36,16 +77,7 @@ def fanned(images: DataFrame, fn, keep: list[str], given: tuple[str, ...] = (),
                 number, arrays = zip(*found, strict=True)  # noqa: B023
                 return pa.RecordBatch.from_arrays([*kept, pa.array(number, pa.int32()), pa.array([list(m.shape) for m in arrays], pa.list_(pa.int32())), pa.array([m.dtype.str for m in arrays]), pa.array([np.ascontiguousarray(m).tobytes() for m in arrays], pa.binary())], [*keep, "view", "dims", "dtype", "data"])
 
-            for i in range(b.num_rows):
-                h, w, data = (column(c)[i].as_py() for c in ("height", "width", "pixels"))
-                if data is None or h is None or h < 0:
-                    continue
-                try:
-                    made = fn(np.frombuffer(data, np.uint8).reshape(h, w, 3), *(column(c)[i].as_py() for c in given))
-                except Exception:
-                    if on_error == "fail":
-                        raise
-                    continue
+            for i, made in made_of(b):
                 made = [m for m in made or () if m is not None]
                 rows += [i] * len(made)
                 found += enumerate(made)
@@ -73,12 +105,12 @@ def transformed(images: DataFrame, fn, keep: list[str], given: tuple[str, ...] =
 
 
 def _each(made: DataFrame, keep: list[str], name: str, kind: str, body) -> DataFrame:
-    """keep, dims and one more column: body(array) of what functions returned."""
+    """keep, dims and one more column: body(array, dims) of what functions returned."""
 
     def run(batches):
-        for b in batches:
+        for b in (s for batch in batches for s in pieces(batch)):
             column = lambda c: b.column(b.schema.get_field_index(c))  # noqa: B023, E731
-            found = [body(np.frombuffer(d, k).astype(np.float64)) for k, d in zip(column("dtype").to_pylist(), column("data").to_pylist(), strict=True)]
+            found = [body(np.frombuffer(d, k).astype(np.float64), s) for k, d, s in zip(*(column(c).to_pylist() for c in ("dtype", "data", "dims")), strict=True)]
             yield pa.RecordBatch.from_arrays([*(column(c) for c in (*keep, "dims")), pa.array(found, pa.list_(pa.float64()) if kind == "array<double>" else pa.float64())], [*keep, "dims", name])
 
     schema = ", ".join(f"`{c}` {made.schema[c].dataType.simpleString()}" for c in (*keep, "dims"))
@@ -87,12 +119,22 @@ def _each(made: DataFrame, keep: list[str], name: str, kind: str, body) -> DataF
 
 def values(made: DataFrame, keep: list[str]) -> DataFrame:
     """keep, dims and values of what functions returned, as an array of doubles in the array's own order."""
-    return _each(made, keep, "values", "array<double>", lambda x: x)
+    return _each(made, keep, "values", "array<double>", lambda x, dims: x)
 
 
 def means(made: DataFrame, keep: list[str]) -> DataFrame:
     """keep, dims and the mean of what functions returned."""
-    return _each(made, keep, "mean", "double", lambda x: float(x.mean()))
+    return _each(made, keep, "mean", "double", lambda x, dims: float(x.mean()))
+
+
+def peaks(made: DataFrame, keep: list[str], patch: int) -> DataFrame:
+    """keep, dims and peaks: the largest absolute value in each patch x patch square of channel x height x width arrays, by line; what is left over at the edges counts for none."""
+
+    def body(x, dims):
+        c, h, w = dims[0], dims[1] // patch, dims[2] // patch
+        return np.abs(x.reshape(dims)[:, : h * patch, : w * patch]).reshape(c, h, patch, w, patch).max((0, 2, 4)).ravel()
+
+    return _each(made, keep, "peaks", "array<double>", body)
 
 
 # ---- steps on height x width x 3 arrays of whole values from 0 to 255 ----

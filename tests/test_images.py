@@ -212,3 +212,21 @@ def test_plain_recipe_sheet_and_fallback(spark, folder):
     m = np.frombuffer(one["pixels"], np.uint8).reshape(512, 512, 3)
     assert m[0, 0].tolist() == [100, 150, 200] and m[250, 250].tolist() == [220, 100, 50]
     assert views.chosen(True, False) == "official"
+
+
+def test_masks_meet_images_before_views_are_drawn(spark):
+    """The same views as by masking them once drawn, but what is shuffled is images; a mask of the wrong size is an error, whatever on_error says."""
+    d = spark.range(40).select(F.col("id").alias("path"), F.lit(20).alias("height"), F.lit(24).alias("width"), F.expr("cast(repeat(char(65 + id), 1440) as binary)").alias("pixels"))
+    config = RunConfig("x", n_global=2, n_local=1, image_side=32)
+    mask = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda p: (p + F.col("path")) % 3 == 0)
+    hidden = d.where("path % 5 > 0").select("path", F.explode(F.array(F.lit(0), F.lit(1))).alias("view"), mask.alias("mask"))
+    made = {}
+    for name, df in {"drawn": render.rendered(d, "official", config=config, hidden=hidden, patch=8), "after": render.masked(render.rendered(d, "official", config=config), hidden, patch=8)}.items():
+        made[name] = {(r["path"], r["view"]): bytes(r["data"]) for r in df.collect()}
+        plan = df._jdf.queryExecution().toString().split("== Physical Plan ==")[1].split("== Initial Plan ==")[0]
+        assert ("MapInArrow" in plan[plan.index("Join") :]) == (name == "after")
+    assert len(made["drawn"]) == 120 and made["drawn"] == made["after"]
+    peaks = t.peaks(render.rendered(d, "official", config=config, hidden=hidden, patch=8), ["path", "view"], 8).where("path = 6 AND view = 1").first()["peaks"]
+    assert [x == 0 for x in peaks] == [p % 3 == 0 for p in range(16)]
+    with pytest.raises(Exception, match="a mask of 1 for 4 x 4 patches"):
+        render.rendered(d, "official", config=config, hidden=hidden.withColumn("mask", F.array(F.lit(True))), patch=8).collect()
