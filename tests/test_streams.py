@@ -127,6 +127,35 @@ def test_rows_of_closed_stretches_are_counted(spark, tmp_path):
     assert math.isclose(rows[0]["ema"], fold([5, 4, 3])) and math.isclose(rows[1]["ema"], fold([5, 4, 2, 3]))
 
 
+def test_a_key_reads_and_writes_its_rows_own_parts_only():
+    """Rows in any order fold to what they do in their own; parts are bounded, but for rows of one step; a row at the end meets one part."""
+
+    class Rows(dict):
+        def getValue(self, k):  # noqa: N802
+            reads.append(k)
+            return (self[k][0],)
+
+        def updateValue(self, k, v):  # noqa: N802
+            self[k] = v
+
+    fold, reads = ordered._Average(0.999, "s", "v", "k", None, None), []
+    fold.rows = Rows()
+    r = np.random.default_rng(0)
+    steps, values = np.concatenate([r.permutation(60_000), np.full(9000, 77)]), r.normal(size=69_000)
+    shuffled, parts, told = r.permutation(len(steps)), np.empty(0, ordered._PART), b""
+    for own in np.array_split(shuffled, 23):
+        parts, told = fold.take(parts, told, steps[own], values[own])
+    assert sorted(len(x[0]) // ordered._ROW.itemsize for x in fold.rows.values())[-2] <= ordered.PART_ROWS and len(parts) > 7 and parts["n"].sum() == 69_000
+    assert {(int(p["start"]),) for p in parts} == set(fold.rows)
+    want = 0.0
+    for v in values[np.lexsort((values, steps))]:
+        want = want * 0.999 + v * 0.001
+    assert math.isclose(fold.told((1,), parts, b"", told, 1, 0)["ema"][0], want, rel_tol=1e-9)
+    reads.clear()
+    parts, told = fold.take(parts, told, np.array([60_000, 60_001]), np.array([1.0, 2.0]))
+    assert len(reads) == 1 and parts["n"].sum() == 69_002
+
+
 def test_what_a_late_row_undoes(spark, tmp_path):
     batches = [[(1, 10, 5.0), (1, 20, 3.0), (2, 5, 1.0)], [(1, 5, 4.0), (1, 15, 3.5)], [(1, 20, 3.0)]]
     told = metrics.finished(ordered.best_so_far(feed(spark, tmp_path / "in", batches), "k", "s", "v", changes=True))
