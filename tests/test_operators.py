@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +44,32 @@ def test_neighbours_agree_with_numpy(spark):
         assert [got[i, k + 1] for k in range(4)] == want.tolist()
 
 
+def test_a_tile_holds_little_and_makes_few_products_twice(spark):
+    """Where most vectors are nearly alike and many are equal, a tile gives the neighbours of the plain definition, from arrays of a few MB; its references may be more than its queries."""
+    import tracemalloc
+
+    r = np.random.default_rng(2)
+    m = np.repeat(r.normal(size=8) + 1e-4 * r.normal(size=(2000, 8)), 3, 0).astype(np.float32)
+    u = m / np.sqrt((m.astype(float) ** 2).sum(1, keepdims=True))
+    side = lambda role, keys: pa.RecordBatch.from_arrays([pa.array([0] * len(keys), pa.int32()), pa.array([role] * len(keys), pa.int32()), pa.array(keys), pa.array(list(m[keys]), pa.list_(pa.float32()))], ["tile", "role", "key", "v"])
+    keys = np.arange(len(m))
+    batches = [side(0, keys), *(side(1, keys[a : a + 3000]) for a in range(0, len(m), 3000))]
+    tracemalloc.start()
+    (out,) = similarity._best(5)(iter(batches))
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+    got = {}
+    for q, x, s in sorted(zip(*(c.to_pylist() for c in out.columns), strict=True), key=lambda p: (p[0], -p[2], p[1])):
+        got.setdefault(q, []).append((x, round(s * 1e9)))
+    for i in range(0, len(m), 97):
+        sims = np.rint(u[i].astype(float) / np.sqrt((u[i].astype(float) ** 2).sum()) @ (u.astype(float) / np.sqrt((u.astype(float) ** 2).sum(1, keepdims=True))).T * 1e9).astype(int)
+        sims[i] = -(10**10)
+        want = np.lexsort((keys, -sims))[:5]
+        assert len(got[i]) == 5 and all(abs(s - w) <= 100 for (_, s), w in zip(got[i], sims[want], strict=True))
+    made = similarity.tiles(vectors(spark, [(i, [1.0, float(i)], 0) for i in range(64)]), vectors(spark, [(i, [1.0, float(i)], 0) for i in range(64)]), "vec_id", "embedding", 4)
+    assert made.select("tile").distinct().count() == 16 * 2 and made.where("role = 1").count() == 64 * 16
+
+
 def test_neighbours_of_few_odd_and_no_rows(spark):
     rows = [(1, [1.0, 0.0], 5), (2, [0.0, 0.0], 5), (3, [1.0, 0.0], None), (4, None, 7)]
     got = similarity.nearest(vectors(spark, rows), k=10).collect()
