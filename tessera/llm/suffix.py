@@ -243,8 +243,8 @@ def _transform(length: int, chunk: int):
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array((place[context] + lo) << 32 | (place[context] + hi))], ["key", "span"])
 
     def run(batches):
-        rows, size, last, group = [], 0, None, 0
-        for b in batches:
+        rows, size, last = [], 0, None
+        for b in pieces(batches, "data", 1 << 18):
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (row[0], row[1]) == last:
                     continue
@@ -279,19 +279,20 @@ def spans(texts: DataFrame, length: int = LENGTH, k: int = K, chunk: int = CHUNK
 
     def fetch(batches):
         done = None
-        for b in batches:
-            out: list = []
-            for key, data, asked in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if key != done:  # copies of a text come one after the other
-                    out += [(r["hash"], r["context"], r["large"], key, r["lo"], data[r["lo"] : r["hi"]]) for r in asked]
-                    done = key
-                if len(out) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
-
-    names, kinds = ["hash", "context", "large", "key", "lo", "data"], (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.binary())
+        for b in pieces(batches, "data", 1 << 18):
+            keys, texts = b.column(0).to_pylist(), b.column(1)
+            asked, ends = b.column(2).flatten(), np.cumsum(b.column(2).value_lengths().to_numpy(zero_copy_only=False))
+            hashes, contexts, large, lo, hi = asked.flatten()
+            for i, key in enumerate(keys):
+                if key == done:  # copies of a text come one after the other
+                    continue
+                done, data = key, texts[i].as_py()
+                for a in range(int(ends[i - 1]) if i else 0, int(ends[i]), 4096):
+                    part = slice(a, min(a + 4096, int(ends[i])))
+                    own = [data[s:e] for s, e in zip(lo[part].to_pylist(), hi[part].to_pylist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([hashes[part], contexts[part], large[part], pa.array([key] * len(own), pa.binary()), lo[part], pa.array(own, pa.binary())], names)
+
+    names = ["hash", "context", "large", "key", "lo", "data"]
     once = texts.select("key", "data").mapInArrow(_once, "key binary, data binary")
     contexts = written(once.join(ask, "key").select("key", "data", "asked").mapInArrow(fetch, "hash long, context long, large boolean, key binary, lo long, data binary"), "contexts")
     inside = contexts.where("NOT large").select("hash", "context", "key", "lo", "data").repartition("hash").sortWithinPartitions("hash", "context").mapInArrow(_transform(length, chunk), "key binary, span long")
