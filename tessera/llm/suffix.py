@@ -10,6 +10,7 @@
    transform of their concatenation, intervals of common prefixes are extended backward, breadth
    first; common prefixes come out by increasing length, and extension stops at LENGTH.
    Neighbours whose boundary is still open then share LENGTH bytes.
+   An anchor with more contexts than a transform holds has them dealt by the bytes around it.
 4. Removal.  The spans found for a text are joined to it, and what they cover goes.
 
 Texts are known by their md5, so equal texts share anchors' work and nothing depends on row numbers.
@@ -231,32 +232,112 @@ def _merged(context: np.ndarray, start: np.ndarray, length: int) -> tuple[np.nda
     return context[new], start[new], start[end] + length
 
 
-def _transform(length: int, chunk: int):
+def _hashed(texts: list[bytes]) -> np.ndarray:
+    """A hash of each text, worked out some at a time."""
+    found = [np.zeros(0, np.uint64)]
+    for a in range(0, len(texts), 2048):
+        data, starts = joined(texts[a : a + 2048])
+        found.append(Spans(data).hash(starts[:-1], starts[1:] - 1))
+    return np.concatenate(found)
+
+
+def crowded(contexts: list[bytes], context: np.ndarray, text: np.ndarray, place: np.ndarray, length: int, reach: int, most: int):
+    """(context, from, to) of repeated strings in the different contexts of one anchor (context: their hashes), by transforms of at most `most` bytes.
+
+    Strings that begin `low` to `high` bytes before the anchor share what lies between the last beginning and the first end, so contexts
+    with other bytes there needn't meet.  Of those that do, stretches that occur twice repeat wholly, and one of each goes on.  Where
+    these are too many for a transform, they are dealt again for each half of the beginnings; strings of one beginning are equal or don't meet.
+    """
+    told = mixed(np.arange(reach + 1, dtype=np.uint64))  # a context's hash tells how many of its bytes are before the anchor
+    by = np.argsort(told)
+    left = by[np.searchsorted(told[by], context ^ _hashed(contexts))]
+    right = np.array([len(c) for c in contexts], np.int64) - left
+    cut = lambda own, lo, hi: [contexts[i][a:e] for i, a, e in zip(own.tolist(), lo.tolist(), hi.tolist(), strict=True)]
+
+    def solve(parts):
+        own, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
+        of, start, end = _merged(*repeated(cut(own, lo, hi), text[own], place[own] + lo, length), length)
+        return own[of], lo[of] + start, lo[of] + end
+
+    todo, ready, size = [(np.arange(len(contexts)), 0, reach)], [], 0
+    while todo:
+        own, low, high = todo.pop()
+        lo, hi = left[own] - np.minimum(high, left[own]), left[own] - np.maximum(low, length - right[own]) + length
+        own, lo, hi = (x[hi - lo >= length] for x in (own, lo, hi))
+        shared = _hashed(cut(own, left[own] - low, left[own] - high + length))
+        whole = _hashed(cut(own, lo, hi)) ^ mixed((left[own] - lo).astype(np.uint64))
+        order = np.lexsort((whole, shared))
+        own, lo, hi, shared, whole = (x[order] for x in (own, lo, hi, shared, whole))
+        first, n = runs(shared)
+        for a, e in zip(first[n > 1].tolist(), (first + n)[n > 1].tolist(), strict=True):
+            head, copies = runs(whole[a:e])
+            twice = a + np.flatnonzero(np.repeat(copies > 1, copies))
+            if len(twice):
+                yield own[twice], lo[twice], hi[twice]
+            if len(head) == 1:
+                continue
+            each = a + head
+            own_size = int((hi[each] - lo[each] + 1).sum())
+            if own_size > most and low < high:
+                middle = (low + high) // 2
+                todo += [(own[each], low, middle), (own[each], middle + 1, high)]
+                continue
+            if ready and size + own_size > most:
+                yield solve(ready)
+                ready, size = [], 0
+            ready.append((own[each], lo[each], hi[each]))
+            size += own_size
+    if ready:
+        yield solve(ready)
+
+
+def _anchored(batches):
+    """(rows, bytes) of each anchor, from contexts that come sorted by anchor and context: one row of each context."""
+    rows, size = [], 0
+    for b in pieces(batches, "data", 1 << 18):
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if rows and row[:2] == rows[-1][:2]:
+                continue
+            if rows and row[0] != rows[-1][0]:
+                yield rows, size
+                rows, size = [], 0
+            rows.append(row)
+            size += len(row[4]) + 1
+    if rows:
+        yield rows, size
+
+
+def _transform(length: int, chunk: int, reach: int):
     """Spans from contexts that come sorted by anchor and context (hash, context, key, lo, data)."""
 
-    def solve(rows):
-        number: dict = {}
-        text = np.array([number.setdefault(r[2], len(number)) for r in rows], np.int64)
-        place = np.array([r[3] for r in rows], np.int64)
-        context, lo, hi = _merged(*repeated([r[4] for r in rows], text, place, length), length)
+    def told(rows, place, context, lo, hi):
         keys = [rows[c][2] for c in context.tolist()]
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array((place[context] + lo) << 32 | (place[context] + hi))], ["key", "span"])
 
+    def solve(rows, alone=False):
+        number: dict = {}
+        text = np.array([number.setdefault(r[2], len(number)) for r in rows], np.int64)
+        place, contexts = np.array([r[3] for r in rows], np.int64), [r[4] for r in rows]
+        if alone:
+            found = crowded(contexts, np.array([r[1] for r in rows], np.int64).view(np.uint64), text, place, length, reach, chunk)
+        else:
+            found = [_merged(*repeated(contexts, text, place, length), length)]
+        for spans_ in found:
+            yield told(rows, place, *spans_)
+
     def run(batches):
-        rows, size, last = [], 0, None
-        for b in pieces(batches, "data", 1 << 18):
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (row[0], row[1]) == last:
-                    continue
-                if last is not None and row[0] != last[0]:
-                    if size >= chunk:
-                        yield solve(rows)
-                        rows, size = [], 0
-                last = (row[0], row[1])
-                rows.append(row)
-                size += len(row[4]) + 1
+        rows, size = [], 0
+        for own, own_size in _anchored(batches):
+            if own_size > chunk:
+                yield from solve(own, alone=True)
+                continue
+            if rows and size + own_size > chunk:
+                yield from solve(rows)
+                rows, size = [], 0
+            rows += own
+            size += own_size
         if rows:
-            yield solve(rows)
+            yield from solve(rows)
 
     return run
 
@@ -295,7 +376,7 @@ def spans(texts: DataFrame, length: int = LENGTH, k: int = K, chunk: int = CHUNK
     names = ["hash", "context", "large", "key", "lo", "data"]
     once = texts.select("key", "data").mapInArrow(_once, "key binary, data binary")
     contexts = written(once.join(ask, "key").select("key", "data", "asked").mapInArrow(fetch, "hash long, context long, large boolean, key binary, lo long, data binary"), "contexts")
-    inside = contexts.where("NOT large").select("hash", "context", "key", "lo", "data").repartition("hash").sortWithinPartitions("hash", "context").mapInArrow(_transform(length, chunk), "key binary, span long")
+    inside = contexts.where("NOT large").select("hash", "context", "key", "lo", "data").repartition("hash").sortWithinPartitions("hash", "context").mapInArrow(_transform(length, chunk, length - k), "key binary, span long")
     # anchors with very many contexts: every string by its hash, in groups that any number of tasks share
     strings = contexts.where("large").dropDuplicates(["hash", "context"]).mapInArrow(_strings(length), "one long, two long, key binary, start long")
     twice = strings.groupBy("one", "two").agg(F.min(F.struct("key", "start")).alias("a"), F.max(F.struct("key", "start")).alias("b")).where("a <> b").select("one", "two")

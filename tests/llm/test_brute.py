@@ -200,6 +200,43 @@ def test_repeats_of_short_strings(spark, options):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_repeats_of_a_crowded_anchor_in_small_transforms(monkeypatch):
+    """An anchor with many contexts, some alike to one side, some around, is solved by transforms of about `chunk` bytes, not by one of them all."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.llm.arrays import Spans, joined, mixed
+
+    r, length, k = random.Random(5), 40, 12
+    some = lambda n: bytes(r.choice(b"abcdefgh") for _ in range(n))
+    anchor, lefts, rights = some(k), [some(28) for _ in range(9)], [some(28) for _ in range(9)]
+    rows, told = [], {}
+    for i in range(400):
+        left, right = (some(n) + side[n:] for side, n in ((r.choice(lefts), r.randrange(29)), (r.choice(rights)[::-1], r.randrange(29))))
+        left, right = left[r.choice([0, 0, r.randrange(29)]) :], right[::-1]
+        data, starts = joined([left + anchor + right])
+        context = int((Spans(data).hash(starts[:-1], starts[1:] - 1) ^ mixed(np.array([len(left)], np.uint64))).view(np.int64)[0])
+        told[context] = (7, context, b"%016d" % i, 0 if len(left) < 28 else 5, left + anchor + right)
+    rows = sorted(told.values())
+    inside, sizes = suffix.repeated, []
+    monkeypatch.setattr(suffix, "repeated", lambda contexts, *more: sizes.append(sum(map(len, contexts))) or inside(contexts, *more))
+    batch = pa.RecordBatch.from_pylist([dict(zip(("hash", "context", "key", "lo", "data"), x, strict=True)) for x in rows])
+
+    def covered(chunk):
+        sizes.clear()
+        found = set()
+        for b in suffix._transform(length, chunk, length - k)(iter([batch])):
+            for key, span in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found |= {(key, i) for i in range(span >> 32, span & 0xFFFFFFFF)}
+        return found, max(sizes)
+
+    whole, size = covered(1 << 20)
+    assert size > 20000 and whole
+    for chunk in (2000, 600):
+        found, size = covered(chunk)
+        assert found == whole and size <= chunk
+
+
 def test_repeats_of_all_documents(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     rows = d.collect()
