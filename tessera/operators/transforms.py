@@ -6,6 +6,8 @@ array height x width x 3.  Functions run on Arrow batches; what they return goes
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,9 +32,25 @@ def pieces(b: pa.RecordBatch):
         yield b.slice(a, rows)
 
 
-def fanned(images: DataFrame, fn, keep: list[str], given: tuple[str, ...] = (), on_error: str = "drop", many: bool = False) -> DataFrame:
+def listed(a: pa.Array) -> list:
+    """a.to_pylist(), taken by fields and not by values."""
+    if pa.types.is_struct(a.type):
+        rows = [dict(zip(a.type.names, r, strict=True)) for r in zip(*map(listed, a.flatten()), strict=True)] if a.type.num_fields else [{}] * len(a)
+    elif pa.types.is_list(a.type):
+        values, ends = listed(a.flatten()), np.cumsum(a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+        rows = [values[b:e] for b, e in zip([0, *ends], ends, strict=False)]
+    elif a.null_count or not (pa.types.is_integer(a.type) or pa.types.is_floating(a.type) or pa.types.is_boolean(a.type)):
+        return a.to_pylist()
+    else:
+        return a.to_numpy(zero_copy_only=False).tolist()
+    return [r if own else None for r, own in zip(rows, a.is_valid().to_pylist(), strict=True)] if a.null_count else rows
+
+
+def fanned(images: DataFrame, fn, keep: list[str], given: tuple[str, ...] = (), on_error: str = "drop", many: bool = False, told: tuple | None = None) -> DataFrame:
     """keep, view (from 0), dims, dtype, data: a row for each array in the list that fn(image, *given) returns.
 
+    told: a measure (`VALUES`, `MEAN`, `peak`); its column comes in place of dtype and data, and arrays don't leave the task that makes them.
+
     An image that is null, and one for which fn returns None or nothing, has no row.  on_error: drop leaves
     out images on which fn fails, fail raises.  many: fn gets a list of images and the Arrow columns of their
     `given`, and returns a list of lists; where it fails, it gets these images one by one.
@@ -41,7 +59,7 @@ def fanned(images: DataFrame, fn, keep: list[str], given: tuple[str, ...] = (),
     def all_of(images, columns):
         if many:
             return fn(images, *columns)
-        return [fn(image, *row) for image, *row in zip(images, *(c.to_pylist() for c in columns), strict=True)]
+        return [fn(image, *row) for image, *row in zip(images, *(listed(c) for c in columns), strict=True)]
 
     def made_of(b):
         """(row, arrays) of the images of a slice."""
@@ -75,7 +93,11 @@ def fanned(images: DataFrame, fn, keep: list[str], given: tuple[str, ...] = (),
             def out():
                 kept = [column(c).take(pa.array(rows)) for c in keep]  # noqa: B023
                 number, arrays = zip(*found, strict=True)  # noqa: B023
-                return pa.RecordBatch.from_arrays([*kept, pa.array(number, pa.int32()), pa.array([list(m.shape) for m in arrays], pa.list_(pa.int32())), pa.array([m.dtype.str for m in arrays]), pa.array([np.ascontiguousarray(m).tobytes() for m in arrays], pa.binary())], [*keep, "view", "dims", "dtype", "data"])
+                kept += [pa.array(number, pa.int32()), pa.array([list(m.shape) for m in arrays], pa.list_(pa.int32()))]
+                if told:
+                    made = [told[2](np.ascontiguousarray(m).ravel().astype(np.float64), m.shape) for m in arrays]
+                    return pa.RecordBatch.from_arrays([*kept, _measured(made, told[1])], [*keep, "view", "dims", told[0]])
+                return pa.RecordBatch.from_arrays([*kept, pa.array([m.dtype.str for m in arrays]), pa.array([np.ascontiguousarray(m).tobytes() for m in arrays], pa.binary())], [*keep, "view", "dims", "dtype", "data"])
 
             for i, made in made_of(b):
                 made = [m for m in made or () if m is not None]
@@ -91,17 +113,22 @@ def fanned(images: DataFrame, fn, keep: list[str], given: tuple[str, ...] = (),
     ship(images.sparkSession)
     wanted = list(dict.fromkeys([*keep, "height", "width", "pixels", *given]))
     schema = ", ".join(f"`{c}` {images.schema[c].dataType.simpleString()}" for c in keep)
-    return images.select(*wanted).mapInArrow(run, f"{schema}, {MADE}" if keep else MADE)
+    made = f"view int, dims array<int>, {told[0]} {told[1]}" if told else MADE
+    return images.select(*wanted).mapInArrow(run, f"{schema}, {made}" if keep else made)
 
 
-def transformed(images: DataFrame, fn, keep: list[str], given: tuple[str, ...] = (), on_error: str = "drop") -> DataFrame:
+def transformed(images: DataFrame, fn, keep: list[str], given: tuple[str, ...] = (), on_error: str = "drop", told: tuple | None = None) -> DataFrame:
     """As `fanned`, for a function that returns one array."""
 
     def one(image, *more):
         made = fn(image, *more)
         return None if made is None else [made]
 
-    return fanned(images, one, keep, given, on_error).drop("view")
+    return fanned(images, one, keep, given, on_error, told=told).drop("view")
+
+
+def _measured(found: list, kind: str) -> pa.Array:
+    return pa.array(found, pa.list_(pa.float64()) if kind == "array<double>" else pa.float64())
 
 
 def _each(made: DataFrame, keep: list[str], name: str, kind: str, body) -> DataFrame:
@@ -111,37 +138,50 @@ def _each(made: DataFrame, keep: list[str], name: str, kind: str, body) -> DataF
         for b in (s for batch in batches for s in pieces(batch)):
             column = lambda c: b.column(b.schema.get_field_index(c))  # noqa: B023, E731
             found = [body(np.frombuffer(d, k).astype(np.float64), s) for k, d, s in zip(*(column(c).to_pylist() for c in ("dtype", "data", "dims")), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(column(c) for c in (*keep, "dims")), pa.array(found, pa.list_(pa.float64()) if kind == "array<double>" else pa.float64())], [*keep, "dims", name])
+            yield pa.RecordBatch.from_arrays([*(column(c) for c in (*keep, "dims")), _measured(found, kind)], [*keep, "dims", name])
 
     schema = ", ".join(f"`{c}` {made.schema[c].dataType.simpleString()}" for c in (*keep, "dims"))
     return made.mapInArrow(run, f"{schema}, {name} {kind}")
 
 
+#: Measures: a column's name and type, and what it says of an array (its values in order, its shape).
+VALUES = ("values", "array<double>", lambda x, dims: x)
+MEAN = ("mean", "double", lambda x, dims: float(x.mean()))
+
+
+def peak(patch: int) -> tuple:
+    """A measure: the largest absolute value in each patch x patch square of channel x height x width arrays, by line; what is left over at the edges counts for none."""
+
+    def body(x, dims):
+        c, h, w = dims[0], dims[1] // patch, dims[2] // patch
+        return np.abs(x.reshape(dims)[:, : h * patch, : w * patch]).reshape(c, h, patch, w, patch).max((0, 2, 4)).ravel()
+
+    return "peaks", "array<double>", body
+
+
 def values(made: DataFrame, keep: list[str]) -> DataFrame:
     """keep, dims and values of what functions returned, as an array of doubles in the array's own order."""
-    return _each(made, keep, "values", "array<double>", lambda x, dims: x)
+    return _each(made, keep, *VALUES)
 
 
 def means(made: DataFrame, keep: list[str]) -> DataFrame:
     """keep, dims and the mean of what functions returned."""
-    return _each(made, keep, "mean", "double", lambda x, dims: float(x.mean()))
+    return _each(made, keep, *MEAN)
 
 
 def peaks(made: DataFrame, keep: list[str], patch: int) -> DataFrame:
-    """keep, dims and peaks: the largest absolute value in each patch x patch square of channel x height x width arrays, by line; what is left over at the edges counts for none."""
-
-    def body(x, dims):
-        c, h, w = dims[0], dims[1] // patch, dims[2] // patch
-        return np.abs(x.reshape(dims)[:, : h * patch, : w * patch]).reshape(c, h, patch, w, patch).max((0, 2, 4)).ravel()
-
-    return _each(made, keep, "peaks", "array<double>", body)
+    """keep, dims and peaks of what functions returned: see `peak`."""
+    return _each(made, keep, *peak(patch))
 
 
 # ---- steps on height x width x 3 arrays of whole values from 0 to 255 ----
 
 
 def whole(x: np.ndarray) -> np.ndarray:
-    return np.clip(np.floor(x + 0.5), 0, 255)
+    x = np.asarray(x + 0.5)
+    np.floor(x, out=x)
+    np.maximum(x, 0, out=x)
+    return np.minimum(x, 255, out=x)
 
 
 def _both(m: np.ndarray, down: np.ndarray, across: np.ndarray) -> np.ndarray:
@@ -196,6 +236,12 @@ def grayed(image: np.ndarray) -> np.ndarray:
     return np.repeat(whole(luma(image))[..., None], 3, 2)
 
 
+@lru_cache(256)
+def _mirrored(n: int, r: int) -> np.ndarray:
+    """Places of a line of n with r more at both ends, mirrored."""
+    return np.pad(np.arange(n), r, mode="reflect" if n > 1 else "edge")
+
+
 def blurred(image: np.ndarray, sigma: float, kernel: int) -> np.ndarray:
     """Gaussian of `kernel` taps along both sides; mirrored at the edges, which aren't repeated."""
     r = kernel // 2
@@ -203,8 +249,11 @@ def blurred(image: np.ndarray, sigma: float, kernel: int) -> np.ndarray:
     weight /= weight.sum()
     for axis in (0, 1):
         n = image.shape[axis]
-        wide = np.pad(image, [(r, r) if a == axis else (0, 0) for a in range(3)], mode="reflect" if n > 1 else "edge")
-        image = sum(w * np.take(wide, np.arange(k, k + n), axis) for k, w in enumerate(weight))
+        wide = image.take(_mirrored(n, r), axis)
+        image, part = np.zeros(image.shape), np.empty(image.shape)
+        for k, w in enumerate(weight):
+            np.multiply(wide[k : k + n] if axis == 0 else wide[:, k : k + n], w, out=part)
+            image += part
     return whole(image)
 
 
@@ -223,20 +272,26 @@ def shifted(image: np.ndarray, dy: int, dx: int, fill) -> np.ndarray:
 # ---- steps on arrays of values from 0 to 1 ----
 
 
+def _clipped(x: np.ndarray) -> np.ndarray:
+    """x, which is nobody else's, held between 0 and 1."""
+    np.maximum(x, 0, out=x)
+    return np.minimum(x, 1, out=x)
+
+
 def lit(x: np.ndarray, cy: float, cx: float, strength: float, dark_edge: bool) -> np.ndarray:
     """Light that falls off from a point, or toward it; the point is given as shares of the sides."""
     h, w = x.shape[:2]
     d = np.hypot(np.arange(h)[:, None] - cy * h, np.arange(w)[None, :] - cx * w) / (np.hypot(h, w) / 2)
-    d = np.clip(d, 0, 1)
-    return np.clip(x * (1 - strength * (d if dark_edge else 1 - d))[..., None], 0, 1)
+    d = _clipped(d)
+    return _clipped(x * (1 - strength * (d if dark_edge else 1 - d))[..., None])
 
 
 def veiled(x: np.ndarray, t: float, veil) -> np.ndarray:
-    return np.clip(x * t + np.array(veil) * (1 - t), 0, 1)
+    return _clipped(x * t + np.array(veil) * (1 - t))
 
 
 def dimmed(x: np.ndarray, factors) -> np.ndarray:
-    return np.clip(x * np.array(factors), 0, 1)
+    return _clipped(x * np.array(factors))
 
 
 def specked(x: np.ndarray, density: float, random: np.random.Generator) -> np.ndarray:

@@ -230,3 +230,52 @@ def test_masks_meet_images_before_views_are_drawn(spark):
     assert [x == 0 for x in peaks] == [p % 3 == 0 for p in range(16)]
     with pytest.raises(Exception, match="a mask of 1 for 4 x 4 patches"):
         render.rendered(d, "official", config=config, hidden=hidden.withColumn("mask", F.array(F.lit(True))), patch=8).collect()
+
+
+def _python_steps(df):
+    return str(df._jdf.queryExecution().executedPlan()).count("MapInArrow")
+
+
+def test_measures_are_taken_where_arrays_are_made(spark, sf):
+    """The arrays of a view aren't sent to a further Python worker to be measured, and the measures are those of the arrays."""
+    for query in ("plain_views", "rendered_views"):
+        assert _python_steps(render.QUERIES[query](spark, sf)) == 2, query
+    images = render.synthetic(spark, sf).where("doc_id < 9")
+    views = render.rendered(images, "marine", "doc_id", config=RunConfig("-", n_global=1, n_local=1, image_side=16), local_side=8)
+    for told, after in ((t.VALUES, t.values), (t.MEAN, t.means), (t.peak(4), lambda made, keep: t.peaks(made, keep, 4))):
+        at_once = render.rendered(images, "marine", "doc_id", config=RunConfig("-", n_global=1, n_local=1, image_side=16), local_side=8, told=told)
+        want = after(views, ["doc_id", "view"])
+        assert at_once.columns == want.columns and sorted(at_once.collect()) == sorted(want.collect())
+
+
+def test_given_columns_as_lists():
+    import pyarrow as pa
+
+    for values in ([None, [{"a": 1, "b": None}, None], []], [{"a": [1, None]}, None], [[True], None, [False]], [{"a": {"b": 1.5}, "c": "x"}] * 3, [[1.5], [None]]):
+        column = pa.array(values)
+        assert t.listed(column) == values and t.listed(column.slice(1)) == values[1:]
+
+
+def test_drawing_steps_are_to_the_last_bit_those_of_plain_formulas():
+    from tessera.operators.kernels import turned_hue
+
+    r = np.random.default_rng(3)
+    for n, turns in ((1, 0), (5, 1), (17, 2), (32, 3)):
+        m = np.rot90(r.integers(0, 256, (n, n + 3, 3)).astype(float), turns)
+        m[0, 0] = 7
+        x = m / 255.0
+        for by in (-0.5, -1e-18, 0.0, 0.15, 1.0):
+            high, low = x.max(-1), x.min(-1)
+            span = np.where(high > low, high - low, 1.0)
+            a, b, c = (x[..., i] for i in range(3))
+            hue = (np.where(high == a, (b - c) / span % 6, np.where(high == b, (c - a) / span + 2, (a - b) / span + 4)) / 6 + by) % 1.0
+            k = (np.array([5.0, 3.0, 1.0]) + hue[..., None] * 6) % 6
+            assert (turned_hue(x, np.array(by)) == high[..., None] - (high - low)[..., None] * np.clip(np.minimum(k, 4 - k), 0, 1)).all()
+        for sigma, kernel in ((0.1, 7), (1.3, 7)):
+            weight = np.exp(-0.5 * (np.arange(-3, 4) / sigma) ** 2)
+            weight /= weight.sum()
+            want = m
+            for axis in (0, 1):
+                wide = np.pad(want, [(3, 3) if i == axis else (0, 0) for i in range(3)], mode="reflect" if want.shape[axis] > 1 else "edge")
+                want = sum(w * np.take(wide, np.arange(i, i + want.shape[axis]), axis) for i, w in enumerate(weight))
+            assert (t.blurred(m, sigma, kernel) == np.clip(np.floor(want + 0.5), 0, 255)).all()
