@@ -70,13 +70,22 @@ def resample(images: DataFrame, side: int, pixels: str = "pixels", box: tuple[st
 
 def turned_hue(rgb: np.ndarray, by: np.ndarray) -> np.ndarray:
     """... x 3 colours from 0 to 1 with their hue moved by a share of the circle."""
-    high, low = rgb.max(-1), rgb.min(-1)
-    span = np.where(high > low, high - low, 1.0)
     r, g, b = (rgb[..., i] for i in range(3))
-    hue = np.where(high == r, (g - b) / span % 6, np.where(high == g, (b - r) / span + 2, (r - g) / span + 4)) / 6
-    hue = (hue + by) % 1.0
-    k = (np.array([5.0, 3.0, 1.0]) + hue[..., None] * 6) % 6
-    return high[..., None] - (high - low)[..., None] * np.clip(np.minimum(k, 4 - k), 0, 1)
+    high, low = np.maximum(np.maximum(r, g), b), np.minimum(np.minimum(r, g), b)
+    width = high - low
+    span = np.where(width > 0, width, 1.0)
+    # remainders by what they are here: from -1 to 1 and from 1 to 11 by 6
+    red = (g - b) / span
+    hue = np.where(high == r, red + 6.0 * (red < 0), np.where(high == g, (b - r) / span + 2, (r - g) / span + 4)) / 6
+    hue = hue + by
+    hue -= np.floor(hue)
+    k = np.array([5.0, 3.0, 1.0]) + (hue * 6)[..., None]
+    k -= 6.0 * (k >= 6)
+    np.minimum(k, 4 - k, out=k)
+    np.maximum(k, 0, out=k)
+    np.minimum(k, 1, out=k)
+    k *= width[..., None]
+    return np.subtract(high[..., None], k, out=k)
 
 
 def shift_hue(images: DataFrame, pixels: str = "px", by: str = "hue") -> DataFrame:
