@@ -174,11 +174,11 @@ def open_boundaries(symbols: np.ndarray, order: np.ndarray, length: int) -> np.n
     Intervals are read by the transform's runs of equal symbols, few where much repeats.
     """
     n = len(symbols)
-    last = symbols[order - 1].astype(np.int64)
+    last = symbols[order - 1]  # of two bytes each, which are sorted by counting
     back = np.empty(n, np.int64)  # where a suffix goes when its preceding symbol is put in front
     back[np.argsort(last, kind="stable")] = np.arange(n)
     first, width = runs(last)
-    end, symbol, goes = first + width, last[first], back[first]
+    end, symbol, goes = first + width, last[first].astype(np.int64), back[first]
     of = np.repeat(np.arange(len(first)), width)
     still = np.ones(n + 1, bool)
     still[[0, n]] = False
