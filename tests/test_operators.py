@@ -284,3 +284,9 @@ def test_neighbours_in_many_tiles_are_the_same(spark):
     rows = [(i * 7 - 300, v.tolist(), i % 3) for i, v in enumerate(m)]
     want = sorted(tuple(x) for x in similarity.nearest(vectors(spark, rows), k=6).collect())
     assert len(want) == 720 and sorted(tuple(x) for x in similarity.nearest(vectors(spark, rows), k=6, size=7).collect()) == want
+
+
+def test_all_pairs_have_every_row_on_both_sides(spark, sf):
+    keys = {x["vec_id"] for x in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
+    got = [(x["q"], x["r"]) for x in similarity.knn_pairs(spark, sf).collect()]
+    assert len(got) == len(keys) * (len(keys) - 1) and set(got) == {(q, r) for q in keys for r in keys if q != r}
