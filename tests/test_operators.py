@@ -290,3 +290,40 @@ def test_all_pairs_have_every_row_on_both_sides(spark, sf):
     keys = {x["vec_id"] for x in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
     got = [(x["q"], x["r"]) for x in similarity.knn_pairs(spark, sf).collect()]
     assert len(got) == len(keys) * (len(keys) - 1) and set(got) == {(q, r) for q in keys for r in keys if q != r}
+
+
+def test_all_pairs_of_odd_rows_are_those_of_their_sql(spark, tmp_path):
+    """Vectors of zeros, none and NaN, a key that occurs twice or is missing, halves at the last digit, products under it; in many partitions too."""
+    import duckdb
+
+    from tests.oracle import same
+
+    r = np.random.default_rng(6)
+    rows = [(i * 3 - 40, v.tolist(), 0) for i, v in enumerate(r.normal(size=(70, 2)))]
+    rows += [(500, [0.0, 0.0], 0), (501, None, 0), (502, None, 1), (None, [1.0, 2.0], 0), (None, None, 0), (503, [1.0, 1.0], 0), (503, [1.0, 0.0], 1), (504, [math.nan, 1.0], 0)]
+    rows += [(505, [1.0, 0.0], 0), (506, [1.0, 1e-7], 0), (507, [-1e-7, 1.0], 0)]
+    vectors(spark, rows).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert same(similarity.knn_pairs(spark, str(tmp_path)), similarity.ORACLES["knn_pairs"], con) == 79 * 78 - 2
+    assert same(similarity.pairs(vectors(spark, rows), size=20), similarity.ORACLES["knn_pairs"], con) == 79 * 78 - 2
+    assert similarity.pairs(vectors(spark, rows).limit(0)).count() == 0
+    with pytest.raises(Exception, match="of one length"):
+        similarity.pairs(vectors(spark, [(i, [1.0] * (1 + i % 2 * 2), 0) for i in range(40)])).collect()
+    assert [str(x) for x in similarity._rounded(np.array([0.0078125, -0.0078125, -1e-9, 0.25, math.nan]), 6)] == ["0.007813", "-0.007813", "-0.0", "0.25", "nan"]
+
+
+def test_all_pairs_send_a_vector_once_and_write_a_product_once(spark, tmp_path):
+    r = np.random.default_rng(7)
+    n = 1300
+    rows = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(r.normal(size=(n, 16)))], "vec_id long, embedding array<float>, label int")
+    made = similarity.blocks(rows, "vec_id", "embedding", 100).collect()
+    assert sorted(k for b in made for k in np.frombuffer(b["keys"], np.int64)) == list(range(n))
+    assert all(len(b["keys"]) <= 800 and len(b["v"]) == 8 * len(b["keys"]) for b in made) and len({b["block"] for b in made}) == len(made)
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    out = similarity.knn_pairs(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan and "Broadcast" not in plan
+    out.write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == n * (n - 1)
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 6.5 * n * (n - 1)
